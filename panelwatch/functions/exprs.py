@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 def finite(c: Column | str) -> Column:
     """The value as double, with NaN and both infinities turned into NULL."""
     c = (F.col(c) if isinstance(c, str) else c).cast("double")
-    return F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
+    return F.when(F.abs(c) < float("inf"), c)
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -19,7 +19,7 @@ def ratio(a: Column, b: Column) -> Column:
 
 
 def or_zero(c: Column) -> Column:
-    return F.coalesce(finite(c), F.lit(0.0))
+    return F.when(F.abs(c) < float("inf"), c).otherwise(0.0)
 
 
 def one_if_zero(c: Column) -> Column:

@@ -130,6 +130,8 @@ def _grow(x: np.ndarray, tree: int, depth: int, rng: np.random.Generator) -> pd.
             continue
         feature = int(rng.choice(usable))
         split = float(rng.uniform(low[feature], high[feature]))
+        if split >= high[feature]:  # rounding; both sides must get a row
+            split = float(low[feature])
         out.append((tree, node, feature, split, 0.0))
         left = x[members, feature] <= split
         todo += [(2 * node + 1, level + 1, members[left]), (2 * node + 2, level + 1, members[~left])]

@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import ceil, floor
 from typing import NamedTuple
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelwatch.functions.exprs import finite
 from panelwatch.plans.segments import largest_group, segment_rows
 from panelwatch.plans.totals import running_total
 
+_QUICK_SKETCH_ACCURACY = 1_000
 _SKETCH_ACCURACY = 10_000
-_COLLECTED_VALUES = 2_000
-_MAX_COLUMNS_PER_JOB = 25
+_LARGE_TABLE = 10_000_000
+_COLLECTED_VALUES = 10_000
+_MAX_COLUMNS_PER_JOB = 100
 
 
 def group_quantiles(df: DataFrame, keys: list[str], columns: dict[str, Column], probs: list[float]) -> DataFrame:
@@ -66,65 +72,56 @@ def _ranked_quantiles(values: DataFrame, keys: list[str], name: str, probs: list
 
 
 def table_quantiles(
-    df: DataFrame, columns: list[str], probs: list[float], rows_at_once: int | None = None
+    df: DataFrame, columns: list[str], probs: list[float], values_at_once: int | None = None
 ) -> dict[str, list[float | None]]:
-    """Quantiles of whole columns, as plain numbers.
+    """Quantiles of whole columns, as plain numbers; missing and infinite values do not count.
 
     A small table takes one ``percentile`` job. Otherwise each wanted rank is bracketed by a sketch, the bracket is
-    counted exactly, and the sketch is repeated inside it until so few values are left that they can be sorted. Each
-    pass only aggregates, and narrows a bracket by about four orders of magnitude.
+    counted exactly, and the sketch is repeated inside it until so few values are left that they can be sorted. Every
+    pass leaves a few numbers per task, and narrows each bracket by two to four orders of magnitude.
     """
-    limit = rows_at_once if rows_at_once is not None else segment_rows(df.sparkSession)
+    limit = values_at_once if values_at_once is not None else segment_rows(df.sparkSession)
     result: dict[str, list[float | None]] = {}
     for start in range(0, len(columns), _MAX_COLUMNS_PER_JOB):
         names = columns[start : start + _MAX_COLUMNS_PER_JOB]
-        narrow = df.select(*[F.col(f"`{c}`").cast("double").alias(f"v{i}") for i, c in enumerate(names)])
-        counts = narrow.agg(F.count(F.lit(1)), *[F.count(f"v{i}") for i in range(len(names))]).first()
-        if counts[0] * len(names) <= limit * 10:
+        narrow = df.select(*[finite(f"`{c}`").alias(f"v{i}") for i, c in enumerate(names)])
+        sizes = list(narrow.agg(*[F.count(c) for c in narrow.columns]).first())
+        if sum(sizes) <= limit:
             grid = F.array(*[F.lit(float(p)) for p in probs])
-            row = narrow.agg(*[F.percentile(f"v{i}", grid) for i in range(len(names))]).first()
+            row = narrow.agg(*[F.percentile(c, grid) for c in narrow.columns]).first()
             found = [list(v) if v is not None else [None] * len(probs) for v in row]
         else:
-            found = _bracketed(narrow, list(counts[1:]), probs)
+            found = _bracketed(narrow, sizes, probs)
         result.update(zip(names, found))
     return result
 
 
 class _Bracket(NamedTuple):
-    """The wanted value is number ``rank`` (from 0) of the ``size`` values strictly between ``low`` and ``high``."""
+    """The wanted values have these ranks (from 0) among the ``size`` values strictly between ``low`` and ``high``."""
 
     column: int
-    low: float | None
-    high: float | None
-    rank: int
+    low: float
+    high: float
+    ranks: tuple[int, ...]
+    skipped: int  # how many values of the column lie at or below ``low``
     size: int
 
-    def values(self) -> Column:
-        v, keep = F.col(f"v{self.column}"), F.lit(True)
-        if self.low is not None:
-            keep = keep & (v > self.low)
-        if self.high is not None:
-            keep = keep & (v < self.high)
-        return F.when(keep, v)
-
-    def probabilities(self) -> tuple[float, float]:
-        """Two sketch quantiles that enclose the rank for all but a breach of the sketch's error bound."""
-        share = self.rank / max(1, self.size - 1)
-        slack = 2.0 / _SKETCH_ACCURACY + 2.0 / self.size
-        return max(0.0, share - slack), min(1.0, share + slack)
+    def ends(self, accuracy: int) -> tuple[float, float]:
+        """Two probabilities whose sketch quantiles enclose the ranks, unless the sketch breaks its error bound."""
+        slack, last = 2.0 / accuracy + 2.0 / self.size, max(1, self.size - 1)
+        return max(0.0, self.ranks[0] / last - slack), min(1.0, self.ranks[-1] / last + slack)
 
 
 def _bracketed(narrow: DataFrame, sizes: list[int], probs: list[float]) -> list[list[float | None]]:
     values: dict[tuple[int, int], float] = {}
-    open_brackets = {
-        (i, rank): _Bracket(i, None, None, rank, n)
-        for i, n in enumerate(sizes)
-        if n
-        for p in probs
-        for rank in (floor(p * (n - 1)), ceil(p * (n - 1)))
+    wanted = {
+        (i, floor(p * (n - 1)), ceil(p * (n - 1))) for i, n in enumerate(sizes) if n for p in probs
     }
-    while open_brackets:
-        open_brackets = _narrow_once(narrow, open_brackets, values)
+    brackets = [
+        _Bracket(i, float("-inf"), float("inf"), tuple(sorted({low, high})), 0, sizes[i]) for i, low, high in wanted
+    ]
+    while brackets:
+        brackets = _narrowed(narrow, brackets, values)
 
     def interpolated(i: int, h: float) -> float:
         low, high = values[i, floor(h)], values[i, ceil(h)]
@@ -133,52 +130,76 @@ def _bracketed(narrow: DataFrame, sizes: list[int], probs: list[float]) -> list[
     return [[interpolated(i, p * (n - 1)) if n else None for p in probs] for i, n in enumerate(sizes)]
 
 
-def _narrow_once(narrow: DataFrame, brackets: dict, values: dict) -> dict:
-    """A sketch job inside every bracket, then a counting job that is exact; returns the brackets still open."""
-    same: dict[tuple, list[tuple[int, int]]] = {}
-    for key, b in brackets.items():
-        same.setdefault((b.column, b.low, b.high), []).append(key)
-    sketches, ends = [], {}
-    for members in same.values():
-        grid = F.array(*[F.lit(p) for key in members for p in brackets[key].probabilities()])
-        sketches.append(F.percentile_approx(brackets[members[0]].values(), grid, _SKETCH_ACCURACY))
-    for members, found in zip(same.values(), narrow.agg(*sketches).first()):
-        for j, key in enumerate(members):
-            ends[key] = (found[2 * j], found[2 * j + 1])
-
-    distinct = list({(b.column, b.low, b.high, *ends[key]): key for key, b in brackets.items()}.items())
-    counts = []
-    for (*_, low, high), key in distinct:
-        v = brackets[key].values()
-        between = F.when((v > low) & (v < high), v)
-        collected = brackets[key].size * 6.0 / _SKETCH_ACCURACY + 6 <= _COLLECTED_VALUES
-        counts += [
-            F.count_if(v < low),
-            F.count_if(v == low),
-            F.count(between),
-            F.count_if(v == high),
-            F.sort_array(F.collect_list(between)) if collected else F.lit(None),
-        ]
-    row = narrow.agg(*counts).first()
-    counted = {where: row[5 * j : 5 * j + 5] for j, (where, _) in enumerate(distinct)}
-
-    still_open = {}
-    for key, b in brackets.items():
-        low, high = ends[key]
-        below, at_low, between, at_high, few = counted[(b.column, b.low, b.high, low, high)]
-        at_high = 0 if low == high else at_high
-        rank = b.rank - below
-        if rank < 0:
-            still_open[key] = b._replace(high=low, size=below)
-        elif rank < at_low:
-            values[key] = low
-        elif rank < at_low + between and few is not None:
-            values[key] = few[rank - at_low]
-        elif rank < at_low + between:
-            still_open[key] = _Bracket(b.column, low, high, rank - at_low, between)
-        elif rank < at_low + between + at_high:
-            values[key] = high
-        else:
-            passed = at_low + between + at_high
-            still_open[key] = b._replace(low=high, rank=rank - passed, size=b.size - below - passed)
+def _narrowed(narrow: DataFrame, brackets: list[_Bracket], values: dict) -> list[_Bracket]:
+    """Sketch inside every bracket, count exactly around what it finds, and keep what is still open."""
+    accuracy = _SKETCH_ACCURACY if max(b.size for b in brackets) > _LARGE_TABLE else _QUICK_SKETCH_ACCURACY
+    spans: dict[tuple, list[_Bracket]] = {}
+    for b in brackets:
+        spans.setdefault((b.column, b.low, b.high), []).append(b)
+    sketches = []
+    for (column, low, high), members in spans.items():
+        v = F.col(f"v{column}")
+        grid = F.array(*[F.lit(p) for b in members for p in b.ends(accuracy)])
+        sketches.append(F.percentile_approx(F.when((v > low) & (v < high), v), grid, accuracy))
+    jobs = []
+    for members, found in zip(spans.values(), narrow.agg(*sketches).first()):
+        jobs += [(b, found[2 * j], found[2 * j + 1]) for j, b in enumerate(members)]
+
+    still_open = []
+    for (b, low, high), seen in zip(jobs, _counted_around(narrow, jobs, accuracy)):
+        below, at_low, between, at_high, few = seen
+        marks = [(below, None), (at_low, low), (between, few), (at_high, high), (b.size, None)]
+        start, areas = 0, []
+        for count, content in marks:
+            areas.append((start, start + count, content))
+            start += count
+        for place, (first, end, content) in enumerate(areas):
+            ranks = tuple(r - first for r in b.ranks if first <= r < end)
+            if not ranks:
+                continue
+            if place in (1, 3):
+                values.update({(b.column, b.skipped + first + r): content for r in ranks})
+            elif place == 2 and few is not None:
+                values.update({(b.column, b.skipped + first + r): few[r] for r in ranks})
+            else:
+                span = [(b.low, low), None, (low, high), None, (high, b.high)][place]
+                size = min(end, b.size) - first
+                still_open.append(_Bracket(b.column, *span, ranks, b.skipped + first, size))
     return still_open
+
+
+def _counted_around(narrow: DataFrame, jobs: list[tuple[_Bracket, float, float]], accuracy: int) -> list[tuple]:
+    """For each (bracket, low, high): values below low, at low, between, at high, and the sorted ones between if few."""
+    limits = [(b.column, b.low, b.high, low, high) for b, low, high in jobs]
+    listed = [b.size * 8.0 / accuracy + 8 <= _COLLECTED_VALUES for b, _, _ in jobs]
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts, kept = np.zeros((len(limits), 4), dtype=np.int64), [[] for _ in limits]
+        for batch in batches:
+            columns = batch.to_numpy(dtype=float, na_value=np.nan)
+            for j, (column, outer_low, outer_high, low, high) in enumerate(limits):
+                v = columns[:, column]
+                v = v[(v > outer_low) & (v < outer_high) & (v <= high)]
+                inner = v[(v > low) & (v < high)]
+                counts[j] += (
+                    np.count_nonzero(v < low),
+                    np.count_nonzero(v == low),
+                    len(inner),
+                    np.count_nonzero(v == high) if high > low else 0,
+                )
+                if listed[j]:
+                    kept[j].append(inner)
+        yield pd.DataFrame(
+            {
+                "job": range(len(limits)),
+                **{name: counts[:, i] for i, name in enumerate(("below", "at_low", "between", "at_high"))},
+                "few": [np.concatenate(k) if k else np.empty(0) for k in kept],
+            }
+        )
+
+    schema = "job int, below long, at_low long, between long, at_high long, few array<double>"
+    totals = narrow.mapInPandas(count, schema).groupBy("job").agg(
+        *[F.sum(c) for c in ("below", "at_low", "between", "at_high")], F.flatten(F.collect_list("few"))
+    )
+    rows = {r[0]: r[1:] for r in totals.collect()}
+    return [(*rows[j][:4], sorted(rows[j][4]) if listed[j] else None) for j in range(len(limits))]
