@@ -76,15 +76,15 @@ def detection(df: DataFrame, spec: PanelSpec, truth: str, flag: str) -> DataFram
     """Overlap of true and detected anomalies as sets of (entity, time): rate of true ones found, share of false ones."""
     place = [spec.key] + ([spec.time] if spec.time else list(spec.tie))
     t, f = is_true(F.col(truth).cast("boolean")), is_true(F.col(flag).cast("boolean"))
-    per_place = df.groupBy(*place).agg(F.max(t).alias("t"), F.max(f).alias("f"))
+    per_place = df.groupBy(*place).agg(F.max(t).alias("__true"), F.max(f).alias("__flag"))
     total, found = F.col("total_anomalies"), F.col("detected_anomalies")
     hits, extra = F.col("true_positives"), F.col("false_positives")
     return per_place.agg(
-        F.count_if("t").alias("total_anomalies"),
-        F.count_if("f").alias("detected_anomalies"),
-        F.count_if(F.col("t") & F.col("f")).alias("true_positives"),
-        F.count_if(~F.col("t") & F.col("f")).alias("false_positives"),
-        F.count_if(F.col("t") & ~F.col("f")).alias("false_negatives"),
+        F.count_if("__true").alias("total_anomalies"),
+        F.count_if("__flag").alias("detected_anomalies"),
+        F.count_if(F.col("__true") & F.col("__flag")).alias("true_positives"),
+        F.count_if(~F.col("__true") & F.col("__flag")).alias("false_positives"),
+        F.count_if(F.col("__true") & ~F.col("__flag")).alias("false_negatives"),
     ).select(
         "*",
         F.coalesce(ratio(hits, total), F.lit(0.0)).alias("anomaly_detection_rate"),
@@ -111,6 +111,13 @@ def rule_hits(classified: DataFrame, spec: PanelSpec) -> DataFrame:
     return counts.select(F.inline(F.array(*rows)))
 
 
+def verdict_columns(df: DataFrame, row_id: list[str], methods: dict[str, Column], truth: Column) -> DataFrame:
+    """(method, row id, truth, flag) of verdicts that are columns of one table: one pass, however many methods."""
+    flags = [F.struct(F.lit(m).alias("method"), is_true(c).alias("flag")) for m, c in methods.items()]
+    named = df.select(*row_id, is_true(truth).alias("truth"), F.inline(F.array(*flags)))
+    return named.select("method", *row_id, "truth", "flag")
+
+
 def long_verdicts(methods: dict[str, DataFrame], row_id: list[str], flag: str = "flag") -> DataFrame:
     """(method, row id, flag) of several verdict tables, one under the other."""
     parts = [d.select(F.lit(m).alias("method"), *row_id, is_true(F.col(flag)).alias("flag")) for m, d in methods.items()]
@@ -120,11 +127,17 @@ def long_verdicts(methods: dict[str, DataFrame], row_id: list[str], flag: str =
     return together
 
 
-def compare(verdicts: DataFrame, truth: DataFrame, row_id: list[str], target_rate: float = 0.6) -> DataFrame:
-    """One row per method: confusion counts, metrics, and whether its anomaly rate reaches ``target_rate``."""
-    known = truth.select(*[F.col(c).alias(f"__of_{c}") for c in row_id], F.col("truth"))
-    joined = verdicts.join(known, [F.col(c) == F.col(f"__of_{c}") for c in row_id])
-    return metrics(joined, ["method"]).withColumn("meets_target", F.col("anomaly_rate") >= target_rate)
+def compare(
+    verdicts: DataFrame, truth: DataFrame | None = None, row_id: list[str] | None = None, target_rate: float = 0.6
+) -> DataFrame:
+    """One row per method: confusion counts, metrics, and whether its anomaly rate reaches ``target_rate``.
+
+    ``truth`` is joined by row id, unless the verdicts carry it already.
+    """
+    if truth is not None:
+        known = truth.select(*[F.col(c).alias(f"__of_{c}") for c in row_id], F.col("truth"))
+        verdicts = verdicts.join(known, [F.col(c) == F.col(f"__of_{c}") for c in row_id])
+    return metrics(verdicts, ["method"]).withColumn("meets_target", F.col("anomaly_rate") >= target_rate)
 
 
 def grouped_means(results: DataFrame, by: list[str], columns: Iterable[str] = METRICS, digits: int = 3) -> DataFrame:

@@ -57,7 +57,7 @@ def _scale_gamma(rows: DataFrame, vector: str) -> tuple[int, float]:
 
 
 def fit_one_class_svm(
-    rows: DataFrame, vector: str, nu: float = 0.1, n_features: int = 128, passes: int = 12, seed: int = 42
+    rows: DataFrame, vector: str, nu: float = 0.1, n_features: int = 256, passes: int = 12, seed: int = 42
 ) -> OneClassSvm:
     """``rows`` should be a staged or cached table: it is read ``passes`` + 2 times."""
     d, gamma = _scale_gamma(rows, vector)

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from panelwatch.functions.exprs import any_of, is_true
 from panelwatch.operators import evaluate
-from panelwatch.operators.rules import apply_rules
+from panelwatch.operators.entity import rule_features
+from panelwatch.operators.rules import apply_rules, with_market
+from panelwatch.operators.rules import rule_flags as rule_columns
 from workloads import Workloads
 from workloads.rules import RULE_LIMITS, STRICT_LIMITS, rules_sql
 from workloads.tables import EVENTS, SUPPLIER_MONTH, num, nums, supplier_month, table, tidy
@@ -141,11 +144,15 @@ _COMPARED_SQL = f"SELECT *, anomaly_rate >= 0.6::DOUBLE AS meets_target FROM ({m
 
 
 def _compared(spark, folder):
-    classified = _rules(spark, folder, RULE_LIMITS)
-    rules, moves = _verdicts(classified), _verdicts(classified, F.expr(_BIG_MOVE))
-    hybrid = _verdicts(classified, F.col("final_anomaly") | F.coalesce(F.expr(_BIG_MOVE), F.lit(False)))
-    verdicts = evaluate.long_verdicts({"rules": rules, "moves": moves, "hybrid": hybrid}, _ROW_ID)
-    return evaluate.compare(verdicts, ground_truth_statistical(spark, folder), _ROW_ID)
+    """All methods and the truth come from one table of rule features."""
+    features = with_market(rule_features(supplier_month(spark, folder), SUPPLIER_MONTH), SUPPLIER_MONTH)
+
+    def fired(limits):
+        return any_of([f for a in SUPPLIER_MONTH.attributes for f in rule_columns(a, limits).values()])
+
+    rules, moves = fired(RULE_LIMITS), is_true(F.expr(_BIG_MOVE))
+    methods = {"rules": rules, "moves": moves, "hybrid": rules | moves}
+    return evaluate.compare(evaluate.verdict_columns(features, _ROW_ID, methods, fired(STRICT_LIMITS)))
 
 
 @WORK.add(
