@@ -57,6 +57,12 @@ class Detector:
         self, df: DataFrame, spec: PanelSpec, feature_columns: list[str] | None = None, small_period: str = "global"
     ) -> Model:
         """``feature_columns`` picks or replaces the derived features; features are only built when one is missing."""
+        return self.fit_score(df, spec, feature_columns, small_period)[0]
+
+    def fit_score(
+        self, df: DataFrame, spec: PanelSpec, feature_columns: list[str] | None = None, small_period: str = "global"
+    ) -> tuple[Model, DataFrame]:
+        """The model, and ``df`` with its verdicts on these training rows; features are computed once for both."""
         supervised = self.algorithm in SUPERVISED
         spec.check(df, need_label=supervised)
         if supervised and not spec.label:
@@ -66,14 +72,15 @@ class Detector:
             raise ValueError("the label cannot be a feature")
         with_features = _with_features(df, spec, names, small_period)
         label = label_value(spec.label) if spec.label else F.lit(None).cast("int")
-        ids = [c for c in dict.fromkeys([spec.key, *spec.row_id]) if c not in names]
-        base = staged(with_features.select(*ids, label.alias(_LABEL), *names))
+        base = staged(with_features.select(*dict.fromkeys([*df.columns, *names]), label.alias(_LABEL)))
         scaler = Scaler.fit(base, names)
         rows = base.withColumn(_VECTOR, scaler.vector())
         mixed = self._labels(rows, spec) if supervised else {"labelled_ratio": None, "pseudo_labels": False}
-        estimator, training_rows = self._fit_estimator(rows, spec, mixed)
+        estimator, scored = self._fit_estimator(rows, spec, mixed)
         fitted = Model(self, spec, tuple(names), tuple(df.columns), scaler, estimator, None, small_period, {})
-        return fitted._with_training(training_rows, mixed)
+        kept = staged(scored.select(*df.columns, "score"))
+        model = fitted._with_training(kept, mixed)
+        return model, model._verdicts(kept, df.columns)
 
     def _labels(self, rows: DataFrame, spec: PanelSpec) -> dict:
         known = rows.agg(F.count(F.lit(1)).alias("n"), F.count(_LABEL).alias("labelled")).first()
@@ -126,8 +133,7 @@ class Model:
     def supervised(self) -> bool:
         return self.detector.algorithm in SUPERVISED
 
-    def _with_training(self, scored: DataFrame, mixed: dict) -> Model:
-        kept = staged(scored.select(self.spec.key, "score"))
+    def _with_training(self, kept: DataFrame, mixed: dict) -> Model:
         cut = None if self.supervised else contamination_threshold(kept, self.detector.contamination)
         model = _replaced(self, threshold=cut)
         counts = kept.agg(
@@ -160,11 +166,13 @@ class Model:
             rows = rows.unionByName(history.withColumn(_NEW, F.lit(False)), allowMissingColumns=True)
         featured = _with_features(rows, self.spec, list(self.feature_columns), self.small_period)
         vectors = featured.filter(_NEW).withColumn(_VECTOR, self.scaler.vector())
-        scored = self._with_score(vectors)
+        return self._verdicts(self._with_score(vectors), df.columns)
+
+    def _verdicts(self, scored: DataFrame, columns: list[str]) -> DataFrame:
         flag = self._flag(F.col("score"))
         confidence = F.col("score") if self.supervised else confidence_of_score(F.col("score"))
         return scored.select(
-            *df.columns,
+            *columns,
             flag.alias("is_anomaly"),
             "score",
             confidence.alias("confidence"),

@@ -110,12 +110,27 @@ def _tree_samples(
         picked = rows.select(tree.alias("tree"), place.alias("place"), x)
         return picked.filter(F.col("place") < 2 * n_trees * size * _HASH_RANGE // n)
     rate = min(_HASH_RANGE, 2 * size * _HASH_RANGE // n)
-    base = F.xxhash64(*row_id, F.lit(seed))
-    draws = F.transform(
-        F.sequence(F.lit(0), F.lit(n_trees - 1)),
-        lambda t: F.struct(t.alias("tree"), F.pmod(F.xxhash64(base, t), F.lit(_HASH_RANGE)).alias("place")),
-    )
-    return rows.select(x, F.inline(F.filter(draws, lambda d: d["place"] < rate)))
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            hashes = batch["hash"].to_numpy().astype(np.uint64)
+            for tree in range(n_trees):
+                place = (_mixed(hashes, tree) % np.uint64(_HASH_RANGE)).astype(np.int64)
+                drawn = np.flatnonzero(place < rate)
+                if len(drawn):
+                    yield pd.DataFrame({"tree": tree, "place": place[drawn], "x": batch["x"].to_numpy()[drawn]})
+
+    hashed = rows.select(F.xxhash64(*row_id, F.lit(seed)).alias("hash"), x)
+    return hashed.mapInPandas(draw, "tree int, place long, x array<double>")
+
+
+def _mixed(hashes: np.ndarray, tree: int) -> np.ndarray:
+    """Another hash of each row for each tree (the finaliser of the public splitmix64 generator)."""
+    with np.errstate(over="ignore"):
+        z = hashes + np.uint64(tree + 1) * np.uint64(0x9E3779B97F4A7C15)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
 
 
 def _grow(x: np.ndarray, tree: int, depth: int, rng: np.random.Generator) -> pd.DataFrame:

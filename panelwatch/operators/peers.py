@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from panelwatch.config import PEER_STATISTICS, PanelSpec
 from panelwatch.functions.exprs import finite, or_zero, ratio
 from panelwatch.plans.quantiles import group_quantiles, table_quantiles
+from panelwatch.plans.segments import GroupSizes, group_sizes
 
 _PROBS = [0.5, 0.25, 0.75]
 _QUANTILE_NAMES = ("median", "q25", "q75")
@@ -43,14 +44,18 @@ def _as_struct(spec: PanelSpec) -> Column:
     return F.struct(*[F.col(f"{a}_{s}") for a in spec.attributes for s in PEER_STATISTICS])
 
 
-def period_statistics(df: DataFrame, spec: PanelSpec) -> DataFrame:
+def _period_sizes(df: DataFrame, spec: PanelSpec) -> GroupSizes:
+    return group_sizes(df.select(spec.period_column().alias(_PERIOD)), [_PERIOD])
+
+
+def period_statistics(df: DataFrame, spec: PanelSpec, sizes: GroupSizes | None = None) -> DataFrame:
     """One row per period: ``rows`` and, for each attribute, mean, std, median, min, max, q25 and q75."""
     keyed = df.select(spec.period_column().alias(_PERIOD), *spec.attributes)
     moments = keyed.groupBy(_PERIOD).agg(
         F.count(F.lit(1)).alias("rows"), *[c for a in spec.attributes for c in _aggregates(a)]
     )
     columns = {f"__{i}": finite(a) for i, a in enumerate(spec.attributes)}
-    quantiles = group_quantiles(keyed, [_PERIOD], columns, _PROBS).select(
+    quantiles = group_quantiles(keyed, [_PERIOD], columns, _PROBS, sizes).select(
         F.col(_PERIOD).alias("__q_period"),
         *[
             F.col(f"__{i}_q{j}").alias(f"{a}_{name}")
@@ -78,10 +83,13 @@ def _table_statistics(df: DataFrame, spec: PanelSpec) -> Column:
 
 
 def _with_period_statistics(df: DataFrame, spec: PanelSpec, small_period: str) -> DataFrame:
-    stats = period_statistics(df, spec).select(
+    sizes = _period_sizes(df, spec)
+    stats = period_statistics(df, spec, sizes).select(
         F.col("period").alias("__of"), F.col("rows").alias("__rows"), _as_struct(spec).alias("__own")
     )
     joined = df.withColumn(_PERIOD, spec.period_column()).join(stats, F.col(_PERIOD) == F.col("__of"), "left")
+    if sizes.smallest >= 2:
+        return joined.select("*", F.col("__own").alias("__peer"))
     if small_period == "skip":
         return joined.select("*", F.when(F.col("__rows") >= 2, F.col("__own")).alias("__peer"))
     whole = _table_statistics(df, spec)

@@ -32,7 +32,7 @@ def sweep(
     parts = []
     for algorithm, contamination in product(algorithms, contaminations):
         detector = Detector(algorithm, contamination, options=(options or {}).get(algorithm, {}))
-        scored = detector.fit(base, spec, names).score(base)
+        _, scored = detector.fit_score(base, spec, names)
         parts.append(
             scored.select(
                 F.lit(algorithm).alias("algorithm"),

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelwatch.functions.exprs import finite
-from panelwatch.plans.segments import largest_group, segment_rows
+from panelwatch.plans.segments import GroupSizes, group_sizes, segment_rows
 from panelwatch.plans.totals import running_total
 
 _QUICK_SKETCH_ACCURACY = 1_000
@@ -22,15 +22,17 @@ _COLLECTED_VALUES = 10_000
 _MAX_COLUMNS_PER_JOB = 100
 
 
-def group_quantiles(df: DataFrame, keys: list[str], columns: dict[str, Column], probs: list[float]) -> DataFrame:
+def group_quantiles(
+    df: DataFrame, keys: list[str], columns: dict[str, Column], probs: list[float], sizes: GroupSizes | None = None
+) -> DataFrame:
     """One row per group: ``{name}_q{i}`` is the quantile of ``columns[name]`` at ``probs[i]``.
 
-    Groups up to the segment size use the ``percentile`` aggregate. Beyond it, equal values are counted first and the
+    ``sizes`` saves the job that measures the groups. Groups up to the segment size use the ``percentile`` aggregate. Beyond it, equal values are counted first and the
     two neighbouring ranks of each quantile are read off running totals of those counts.
     """
     narrow = df.select(*keys, *[c.cast("double").alias(f"__v{i}") for i, c in enumerate(columns.values())])
-    largest, _ = largest_group(df.select(*keys), keys)
-    if largest <= segment_rows(df.sparkSession):
+    sizes = sizes or group_sizes(df.select(*keys), keys)
+    if sizes.largest <= segment_rows(df.sparkSession):
         grid = F.array(*[F.lit(float(p)) for p in probs])
         return narrow.groupBy(*keys).agg(
             *[F.percentile(f"__v{i}", grid).alias(f"__p{i}") for i in range(len(columns))]

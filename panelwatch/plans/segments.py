@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from math import ceil
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,15 +46,21 @@ class Segments:
         return self.keys + [SEGMENT] if self.split else self.keys
 
 
-def largest_group(df: DataFrame, keys: list[str]) -> tuple[int, int]:
-    """(rows of the largest group, rows of the table); one job over the key columns, combined before its shuffle."""
+class GroupSizes(NamedTuple):
+    largest: int
+    smallest: int
+    rows: int
+
+
+def group_sizes(df: DataFrame, keys: list[str]) -> GroupSizes:
+    """Rows of the largest and smallest group and of the table; one job over the key columns, combined before its shuffle."""
     row = (
         df.groupBy(*_group(keys))
         .agg(F.count(F.lit(1)).alias("n"))
-        .agg(F.max("n").alias("largest"), F.sum("n").alias("rows"))
+        .agg(F.max("n"), F.min("n"), F.sum("n"))
         .first()
     )
-    return row["largest"] or 0, row["rows"] or 0
+    return GroupSizes(*(v or 0 for v in row))
 
 
 def segmented(df: DataFrame, keys: list[str], order: list[str], rows: int | None = None) -> Segments:
@@ -63,10 +70,10 @@ def segmented(df: DataFrame, keys: list[str], order: list[str], rows: int | None
     segment.
     """
     limit = rows or segment_rows(df.sparkSession)
-    largest, total = largest_group(df, keys)
-    if largest <= limit:
+    sizes = group_sizes(df, keys)
+    if sizes.largest <= limit:
         return Segments(df, keys, order, split=False)
-    limit = max(limit, ceil(total / _MAX_SEGMENTS))
+    limit = max(limit, ceil(sizes.rows / _MAX_SEGMENTS))
     return Segments(_with_segment(df, keys, order, _cut_points(df, keys, order, limit)), keys, order, split=True)
 
 

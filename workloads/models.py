@@ -138,7 +138,7 @@ def class_weights_labels(spark, folder):
 
 
 def _scored(detector, df, spec, features=None):
-    return detector.fit(df, spec, features).score(df)
+    return detector.fit_score(df, spec, features)[1]
 
 
 _VERDICT = ["is_anomaly", "score", "confidence", "indicator"]
