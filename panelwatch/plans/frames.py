@@ -52,12 +52,7 @@ def entity_frames(
     if not seg.split:
         return EntityFrames(with_fill, seg.parts, order, split=False)
 
-    carried = _carried_values(seg, filled)
-    on = [F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in seg.parts]
-    columns = [c for c in with_fill.columns if c not in filled.values()]
-    body = with_fill.join(F.broadcast(carried), on, "left").select(
-        *columns, *[F.coalesce(F.col(n), F.col(f"__carried_{n}")).alias(n) for n in filled.values()]
-    )
+    body = _with_carried_values(with_fill, seg, filled) if filled else with_fill
     halo = _halo_rows(body, seg, lookback, [*inputs, *filled.values()])
     together = body.withColumn(_HALO, F.lit(False)).unionByName(
         halo.withColumn(_HALO, F.lit(True)), allowMissingColumns=True
@@ -69,6 +64,15 @@ def _by_segment(seg: Segments) -> WindowSpec:
     return Window.partitionBy(*seg.keys).orderBy(SEGMENT)
 
 
+def _with_carried_values(df: DataFrame, seg: Segments, filled: dict[str, str]) -> DataFrame:
+    """Rows before the first value of their segment take the last value of the segments before it."""
+    on = [F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in seg.parts]
+    columns = [c for c in df.columns if c not in filled.values()]
+    return df.join(F.broadcast(_carried_values(seg, filled)), on, "left").select(
+        *columns, *[F.coalesce(F.col(n), F.col(f"__carried_{n}")).alias(n) for n in filled.values()]
+    )
+
+
 def _carried_values(seg: Segments, filled: dict[str, str]) -> DataFrame:
     """Last non-null value of each filled column before each segment: one row per segment of a large entity."""
     position = F.struct(*seg.order)
@@ -77,7 +81,7 @@ def _carried_values(seg: Segments, filled: dict[str, str]) -> DataFrame:
     return (
         seg.df.filter(F.col(SEGMENT).isNotNull())
         .groupBy(*seg.parts)
-        .agg(F.count(F.lit(1)), *latest)
+        .agg(*latest)
         .select(
             *[F.col(c).alias(f"__of_{c}") for c in seg.parts],
             *[F.last(n, ignorenulls=True).over(before).alias(f"__carried_{n}") for n in filled.values()],

@@ -18,6 +18,7 @@ from panelwatch.plans.totals import running_total
 _QUICK_SKETCH_ACCURACY = 1_000
 _SKETCH_ACCURACY = 10_000
 _LARGE_TABLE = 10_000_000
+_GROUPS_AT_ONCE = 10  # the percentile aggregate of a task keeps the values of many groups side by side
 _COLLECTED_VALUES = 10_000
 _MAX_COLUMNS_PER_JOB = 100
 
@@ -27,12 +28,12 @@ def group_quantiles(
 ) -> DataFrame:
     """One row per group: ``{name}_q{i}`` is the quantile of ``columns[name]`` at ``probs[i]``.
 
-    ``sizes`` saves the job that measures the groups. Groups up to the segment size use the ``percentile`` aggregate. Beyond it, equal values are counted first and the
+    ``sizes`` saves the job that measures the groups. Groups up to a tenth of the segment size use the ``percentile`` aggregate. Beyond it, equal values are counted first and the
     two neighbouring ranks of each quantile are read off running totals of those counts.
     """
     narrow = df.select(*keys, *[c.cast("double").alias(f"__v{i}") for i, c in enumerate(columns.values())])
     sizes = sizes or group_sizes(df.select(*keys), keys)
-    if sizes.largest <= segment_rows(df.sparkSession):
+    if sizes.largest <= segment_rows(df.sparkSession) // _GROUPS_AT_ONCE:
         grid = F.array(*[F.lit(float(p)) for p in probs])
         return narrow.groupBy(*keys).agg(
             *[F.percentile(f"__v{i}", grid).alias(f"__p{i}") for i in range(len(columns))]

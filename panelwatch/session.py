@@ -15,6 +15,8 @@ def local_session(cores: int | str = "*", partitions: int = 8, **conf: str) -> S
         .appName("panelwatch")
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
+        # Window features cost far more per byte than a plain shuffle, so small partitions are worth keeping apart.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "8g")

@@ -108,9 +108,15 @@ def _rank(v: pd.Series, n: int, needed: int = 1) -> pd.Series:
 
 def _std(v: pd.Series, n: int, needed: int = 1) -> pd.Series:
     """Deviations frame by frame: a running update would carry rounding errors from one frame to the next."""
-    return v.rolling(n, min_periods=max(1, needed)).apply(
-        lambda x: np.std(x[~np.isnan(x)], ddof=1) if np.count_nonzero(~np.isnan(x)) > 1 else np.nan, raw=True
-    )
+    padded = np.concatenate([np.full(n - 1, np.nan), v.to_numpy(dtype=float)])
+    frames = np.lib.stride_tricks.sliding_window_view(padded, n)
+    known = ~np.isnan(frames)
+    count = known.sum(axis=1)
+    filled = np.where(known, frames, 0.0)
+    mean = filled.sum(axis=1) / np.maximum(count, 1)
+    squares = np.where(known, frames - mean[:, None], 0.0) ** 2
+    std = np.sqrt(squares.sum(axis=1) / np.maximum(count - 1, 1))
+    return pd.Series(np.where((count > 1) & (count >= needed), std, np.nan), index=v.index)
 
 
 def _entity_features(v: pd.Series, filled: pd.Series) -> dict[str, pd.Series]:
