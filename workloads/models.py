@@ -110,10 +110,12 @@ def documents(spark, folder):
 
 @WORK.add(
     "document_measures",
-    f"SELECT doc_id, {nums('n_chars', 'words', 'lines', 'distinct_share')}, quality, toxic FROM ({_DOC_FEATURES_SQL})",
+    f"""SELECT doc_id, {nums('n_chars', 'words', 'lines', 'distinct_share')}, toxic IS NOT NULL AS is_labelled
+        FROM ({_DOC_FEATURES_SQL})""",
 )
 def document_measures(spark, folder):
-    return tidy(documents(spark, folder).drop("source"))
+    measured = documents(spark, folder)
+    return tidy(measured.select("doc_id", *_DOC_FEATURES, F.col("toxic").isNotNull().alias("is_labelled")))
 
 
 @WORK.add(

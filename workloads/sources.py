@@ -143,14 +143,15 @@ def clean_ratio(spark, folder):
 
 @WORK.add(
     "label_values",
-    """SELECT doc_id, quality AS quality_label, (toxic = 1)::INTEGER AS toxic_label
+    """SELECT doc_id, coalesce(quality, -1) AS quality_label, coalesce((toxic = 1)::INTEGER, -1) AS toxic_label
        FROM documents LEFT JOIN labels USING (doc_id)""",
 )
 def label_values(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id").join(table(spark, folder, "labels"), "doc_id", "left")
     typed = docs.select("doc_id", "quality", (F.col("toxic") == 1).alias("toxic"))
     return typed.select(
-        "doc_id", prep.label_value("quality").alias("quality_label"), prep.label_value("toxic").alias("toxic_label")
+        "doc_id",
+        *[F.coalesce(prep.label_value(c), F.lit(-1)).alias(f"{c}_label") for c in ("quality", "toxic")],
     )
 
 

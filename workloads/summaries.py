@@ -8,6 +8,7 @@ from panelwatch.operators import cross_entity, summarize
 from panelwatch.operators.entity import rule_features
 from panelwatch.operators.events import classify_events
 from panelwatch.operators.rules import apply_rules
+from panelwatch.sources.io import format_datetimes
 from workloads import Workloads
 from workloads.features import rule_sql
 from workloads.rules import EVENT_LIMITS, EVENT_SQL, RULE_LIMITS, rules_sql
@@ -115,10 +116,10 @@ def entity_scores(spark, folder):
     "entity_inputs",
     """SELECT user_id, 0::BIGINT AS piece, count(*) AS rows, list(ts ORDER BY ts, event_id) AS ts,
               list(value ORDER BY ts, event_id) AS value, list(event_id ORDER BY ts, event_id) AS event_id
-       FROM events GROUP BY user_id""",
+       FROM (SELECT event_id, user_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, value FROM events) GROUP BY user_id""",
 )
 def entity_inputs(spark, folder):
-    df = events(spark, folder)
+    df = format_datetimes(events(spark, folder))
     return summarize.entity_inputs(df, EVENTS, df.columns)
 
 
