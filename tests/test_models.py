@@ -182,6 +182,8 @@ def test_panel_features_flow_into_the_model(spark, panel):
 
 
 def test_errors_come_before_any_job(spark, labelled):
+    with pytest.raises(ValueError, match="rename"):
+        Detector().fit(spark.createDataFrame([("a", 1.0, 1)], "k string, v double, hour int"), PanelSpec("k", ("v",), "hour"))
     with pytest.raises(ValueError, match="unknown algorithm"):
         Detector("magic")
     with pytest.raises(ValueError, match="missing required columns"):
