@@ -126,10 +126,10 @@ def chosen_paths(sets: DataFrame, runs: int) -> DataFrame:
     return out
 
 
-def ngram_join(
+def ngram_classes(
     df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, threshold: float = 0.8, recall: float = 0.9999
 ) -> DataFrame:
-    """``doc_id, class_id, n_links``, one row per row of ``df``.
+    """``doc_id, source, class_id, n_links``, one row per row of ``df``; ``source`` is the MD5 of its text.
 
     Two rows are linked when the Jaccard similarity of their sets of ``size``-word n-grams (lower-case A-Z, words between
     white space) is at least ``threshold``. ``n_links`` counts a row's links, ``class_id`` is the smallest ``doc_id``
@@ -162,8 +162,8 @@ def ngram_join(
         F.coalesce("class_id", "least").alias("class_id"),
         (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
     )
-    return signed.select("doc_id", "name").join(per_set, "name", "left").select(
-        "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
+    return signed.select("doc_id", "source", "name").join(per_set, "name", "left").select(
+        "doc_id", "source", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
     )
 
 
@@ -202,3 +202,20 @@ def _links(buckets: DataFrame, payload: DataFrame, threshold: float) -> DataFram
     return dealt.select("path", "i", "j", "own", "name", "set").groupBy("path", "i", "j").applyInPandas(
         compare, "a binary, b binary"
     )
+
+
+def ngram_join(df: DataFrame, **options) -> DataFrame:
+    """``doc_id, class_id, n_links`` of ``ngram_classes``."""
+    return ngram_classes(df, **options).drop("source")
+
+
+def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of ``df`` whose id names their class, and those without id that are alone; of repeated rows one."""
+    kept = ngram_classes(df, key, text, **options).filter(F.coalesce(F.col("class_id") == F.col("doc_id"), F.col("class_id").isNull()))
+    kept = staged(kept.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source")))
+    keyed = df.withColumn("__of", F.unhex(F.md5(F.coalesce(F.col(f"`{text}`"), F.lit("")))))
+    same = (keyed["__of"] == F.col("__source")) & keyed[key].eqNullSafe(F.col("__id"))
+    rows = keyed.join(kept.distinct(), same, "left_semi")
+    if not kept.groupBy("__id", "__source").count().filter("count > 1").isEmpty():
+        rows = rows.dropDuplicates([key, "__of"])
+    return rows.drop("__of")

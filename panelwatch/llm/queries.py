@@ -48,6 +48,21 @@ def op4_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(table(spark, folder, "documents"))
 
 
+def domains(labels: DataFrame) -> DataFrame:
+    """The domain of each labelled document: toxic, else good or plain by its quality."""
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "plain")
+    return labels.select(F.col("doc_id").alias("key"), domain.alias("domain"))
+
+
+TARGETS = {"good": 0.90, "plain": 0.09, "toxic": 0.01}
+
+
+def op5_soft_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    from panelwatch.llm.mixing import mix
+
+    return mix(table(spark, folder, "documents"), domains(table(spark, folder, "labels")), TARGETS).drop("row")
+
+
 def op6_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     from panelwatch.llm.url_filter import filter_urls
 
@@ -60,6 +75,12 @@ def op7_nn_descent(spark: SparkSession, folder: str) -> DataFrame:
     return near_vectors(table(spark, folder, "embeddings"))
 
 
+def op8_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    from panelwatch.llm.lm_scoring import score_texts
+
+    return score_texts(table(spark, folder, "documents"), crc_mod(F.col("doc_id"), 7) == 2)
+
+
 def op9_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     from panelwatch.llm.suffix_dedup import remove_repeats
 
@@ -74,8 +95,8 @@ def op10_top_k_search(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict:
     ours = (
-        op1_pii_bootstrap, op2_ngram_jaccard_join, op3_toxicity_ftrl, op4_best_fit_packing, op6_url_filter, op7_nn_descent,
-        op9_suffix_dedup, op10_top_k_search,
+        op1_pii_bootstrap, op2_ngram_jaccard_join, op3_toxicity_ftrl, op4_best_fit_packing, op5_soft_mixing, op6_url_filter,
+        op7_nn_descent, op8_lm_scoring, op9_suffix_dedup, op10_top_k_search,
     )
     return {f.__name__: f for f in ours}
 
