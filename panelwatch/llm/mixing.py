@@ -69,11 +69,11 @@ def domain_posteriors(measured: DataFrame, labels: DataFrame, domains: list[str]
     return scored.select(*[c for c in measured.columns if c != "seen"], F.array(*p).alias("p"))
 
 
-def fit_rates(rows: DataFrame, targets: list[float], pull: float = 0.01, tolerance: float = 1e-5, most_steps: int = 200) -> DataFrame:
+def fit_rates(rows: DataFrame, targets: list[float], pull: float = 0.01, tolerance: float = 1e-5, most_steps: int = 60) -> DataFrame:
     """``rows`` (``n_tokens``, ``p``) with ``rate``: how often to take each document so that domains meet their targets.
 
     Least squares over nonnegative rates: half the squared distance between the expected tokens of each domain and its
-    target, as shares of all tokens, plus ``pull`` times half the squared distance of the rates from 1, weighted by
+    target, as shares of all tokens and divided by the domain's share at rate 1 (so small domains move as fast), plus ``pull`` times half the squared distance of the rates from 1, weighted by
     tokens. Each step is one sum over all rows, of one number per domain, and a projected step of every rate, which a row
     makes for itself; until no domain's share moves by ``tolerance``. Documents without tokens keep the rate 1.
     """
@@ -83,7 +83,7 @@ def fit_rates(rows: DataFrame, targets: list[float], pull: float = 0.01, toleran
     if not total:
         return state
     goal = np.array(targets) / sum(targets)
-    before, rate = None, F.col("rate")
+    before, scale, rate = None, None, F.col("rate")
     for step in range(most_steps):
         sums = state.withColumn("now", rate).agg(
             *[F.sum(F.col("now") * F.col("n_tokens") * F.get("p", d)) for d in range(len(goal))]
@@ -91,7 +91,8 @@ def fit_rates(rows: DataFrame, targets: list[float], pull: float = 0.01, toleran
         share = np.array([v or 0.0 for v in sums]) / total
         if before is not None and np.abs(share - before).max() < tolerance:
             break
-        before, gap = share, share - goal
+        scale = np.maximum(share, 1e-3) if scale is None else scale
+        before, gap = share, (share - goal) / scale
         slope = sum((F.get("p", d) * float(g) for d, g in enumerate(gap)), F.lit(0.0))
         rate = F.greatest(F.lit(0.0), rate - (slope + pull * (rate - 1.0)))
         if step % _STEPS_PER_STAGE == _STEPS_PER_STAGE - 1:

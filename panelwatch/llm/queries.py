@@ -49,12 +49,12 @@ def op4_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def domains(labels: DataFrame) -> DataFrame:
-    """The domain of each labelled document: toxic, else good or plain by its quality."""
-    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "plain")
+    """The domain of each labelled document, by its quality."""
+    domain = F.when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "plain")
     return labels.select(F.col("doc_id").alias("key"), domain.alias("domain"))
 
 
-TARGETS = {"good": 0.90, "plain": 0.09, "toxic": 0.01}
+TARGETS = {"good": 0.95, "plain": 0.05}
 
 
 def op5_soft_mixing(spark: SparkSession, folder: str) -> DataFrame:
