@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelwatch.llm.subwords import Subwords, default_path
+from panelwatch.llm.subwords import CHUNK_BYTES, Subwords, default_path
 from panelwatch.llm.tables import encoded, in_chunks
 from panelwatch.session import staged
 
@@ -27,7 +27,7 @@ def cut_documents(
         encoder = Subwords.at(tokenizer)
         for batch in batches:
             keys, texts = batch.column(0), encoded(batch.column(1))
-            for first, last in in_chunks(texts):
+            for first, last in in_chunks(texts, CHUNK_BYTES):
                 ids, bounds = encoder.encode(texts[first:last])
                 raw = memoryview(ids.astype("<u4").tobytes())
                 tail = np.uint32(end).astype("<u4").tobytes()

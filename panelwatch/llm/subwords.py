@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import base64
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+CHUNK_BYTES = 1 << 23  # larger chunks hold fewer distinct pieces for their size
 _SPECIAL = b"<|endoftext|>"
-_MOST_KNOWN = 200_000
 _loaded: dict[str, Subwords] = {}
 
 
@@ -42,7 +43,6 @@ class Subwords:
             self._pieces = tiktoken.Encoding(
                 "ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
             )
-        self._known: dict[str, np.ndarray] = {}
 
     @classmethod
     def at(cls, path: str) -> Subwords:
@@ -74,19 +74,16 @@ class Subwords:
         data = np.frombuffer(b"".join(texts), dtype=np.uint8)
         lengths = np.array([len(t) for t in texts], dtype=np.int64)
         bounds = np.concatenate(([0], np.cumsum(lengths)))
-        cuts = np.unique(np.concatenate((bounds, np.flatnonzero(data == 0x20)))).astype(np.int32)
+        cut = np.zeros(len(data) + 1, dtype=bool)
+        cut[:-1] = data == 0x20
+        cut[bounds] = True
+        cuts = np.flatnonzero(cut).astype(np.int32)
         pieces = pa.StringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts), pa.py_buffer(data))
         coded = pc.dictionary_encode(pieces)
-        codes, distinct = coded.indices.to_numpy(), coded.dictionary.to_pylist()
-        if len(self._known) > _MOST_KNOWN:
-            self._known.clear()
-        known = self._known
-        new = [w for w in distinct if w not in known]
-        for w in new:
-            known[w] = np.array(self._pieces.encode_ordinary(w), dtype=np.uint32)
-        vectors = [known[w] for w in distinct]
-        sizes = np.array([len(v) for v in vectors], dtype=np.int64)
-        flat = np.concatenate(vectors) if vectors else np.empty(0, dtype=np.uint32)
+        codes = coded.indices.to_numpy()
+        vectors = list(map(self._pieces.encode_ordinary, coded.dictionary.to_pylist()))
+        flat = np.fromiter(chain.from_iterable(vectors), dtype=np.uint32)
+        sizes = np.fromiter(map(len, vectors), dtype=np.int64, count=len(vectors))
         starts = np.cumsum(sizes) - sizes
         piece_sizes = sizes[codes]
         before = np.concatenate(([0], np.cumsum(piece_sizes)))
