@@ -69,7 +69,7 @@ def domain_posteriors(measured: DataFrame, labels: DataFrame, domains: list[str]
     return scored.select(*[c for c in measured.columns if c != "seen"], F.array(*p).alias("p"))
 
 
-def fit_rates(rows: DataFrame, targets: list[float], pull: float = 0.01, tolerance: float = 1e-5, most_steps: int = 60) -> DataFrame:
+def fit_rates(rows: DataFrame, targets: list[float], pull: float = 0.01, tolerance: float = 1e-4, most_steps: int = 60) -> DataFrame:
     """``rows`` (``n_tokens``, ``p``) with ``rate``: how often to take each document so that domains meet their targets.
 
     Least squares over nonnegative rates: half the squared distance between the expected tokens of each domain and its
