@@ -108,7 +108,7 @@ class Detector:
             scored = staged(scored.select(*rows.columns, "score"))
             cut = contamination_threshold(scored, self.contamination)
             rows = scored.withColumn(_LABEL, below(F.col("score"), cut).cast("int")).drop("score")
-        classifier = fit_classifier(rows, _VECTOR, _LABEL, self.algorithm, self.seed)
+        classifier = fit_classifier(rows, _VECTOR, _LABEL, self.algorithm, self.seed, **self.options)
         return classifier, with_probability(classifier, rows, _VECTOR)
 
 

@@ -87,7 +87,7 @@ def detection(df: DataFrame, spec: PanelSpec, truth: str, flag: str) -> DataFram
         F.count_if(F.col("__true") & ~F.col("__flag")).alias("false_negatives"),
     ).select(
         "*",
-        F.coalesce(ratio(hits, total), F.lit(0.0)).alias("anomaly_detection_rate"),
+        F.coalesce(ratio(hits, total), F.lit(0.0)).alias("detection_rate"),
         F.coalesce(ratio(extra, found), F.lit(0.0)).alias("false_positive_rate"),
     )
 

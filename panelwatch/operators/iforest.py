@@ -101,15 +101,13 @@ def _tree_samples(
 ) -> DataFrame:
     """(tree, place, x): about twice ``size`` rows for each tree, of which the lowest places are used.
 
-    A large table gives each tree rows of its own; a small one lets trees share rows. Both depend on row ids alone.
+    Trees draw from a pool of the rows with the smallest hashes, large enough that no tree has to take most of it; while
+    the table is not larger than that, the pool is the whole table. Both depend on row ids alone.
     """
     x = F.col(vector).alias("x")
-    if n > 2 * n_trees * size:
-        place = F.pmod(F.xxhash64(*row_id, F.lit(seed)), F.lit(_HASH_RANGE))
-        tree = F.pmod(F.xxhash64(*row_id, F.lit(seed + 1)), F.lit(n_trees)).cast("int")
-        picked = rows.select(tree.alias("tree"), place.alias("place"), x)
-        return picked.filter(F.col("place") < 2 * n_trees * size * _HASH_RANGE // n)
-    rate = min(_HASH_RANGE, 2 * size * _HASH_RANGE // n)
+    pool_size = 2 * n_trees * size
+    pool = F.pmod(F.xxhash64(*row_id, F.lit(seed + 1)), F.lit(_HASH_RANGE)) < min(_HASH_RANGE, pool_size * _HASH_RANGE // n)
+    rate = min(_HASH_RANGE, 2 * size * _HASH_RANGE // min(n, pool_size))
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -120,7 +118,7 @@ def _tree_samples(
                 if len(drawn):
                     yield pd.DataFrame({"tree": tree, "place": place[drawn], "x": batch["x"].to_numpy()[drawn]})
 
-    hashed = rows.select(F.xxhash64(*row_id, F.lit(seed)).alias("hash"), x)
+    hashed = rows.filter(pool).select(F.xxhash64(*row_id, F.lit(seed)).alias("hash"), x)
     return hashed.mapInPandas(draw, "tree int, place long, x array<double>")
 
 

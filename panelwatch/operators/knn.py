@@ -133,14 +133,10 @@ def _placed_in_cells(refs: DataFrame, n: int, needed: int) -> tuple[DataFrame, _
     """Every reference with its cell and block, staged because statistics and blocks both read it."""
     wanted = max(2, min(_MAX_PIVOTS, n // _ROWS_PER_CELL))
     rate = min(_HASH_RANGE, 2 * wanted * _HASH_RANGE // n)
-    sample = (
-        refs.withColumn("h", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(_HASH_RANGE)))
-        .filter(F.col("h") < rate)
-        .orderBy("h")
-        .limit(wanted)
-        .select("x")
-        .collect()
-    )
+    hashed = refs.withColumn("h", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(_HASH_RANGE)))
+    sample = hashed.filter(F.col("h") < rate).orderBy("h").limit(wanted).select("x").collect()
+    if len(sample) < wanted:  # the filter only makes the sort cheaper
+        sample = hashed.orderBy("h").limit(wanted).select("x").collect()
     pivots = np.array([r["x"] for r in sample])
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

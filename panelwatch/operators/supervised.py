@@ -21,8 +21,11 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
     return counts.select("*", (totals["rows"] / (totals["classes"] * F.col("rows"))).alias("weight"))
 
 
-def fit_classifier(rows: DataFrame, vector: str, label: str, algorithm: str, seed: int = 42):
-    """A fitted Spark ML model. ``label`` holds 0/1; rows without a label are left out."""
+def fit_classifier(rows: DataFrame, vector: str, label: str, algorithm: str, seed: int = 42, **options):
+    """A fitted Spark ML model. ``label`` holds 0/1; rows without a label are left out.
+
+    ``options`` are parameters of the Spark ML estimator (``numTrees``, ``maxDepth``, ``maxIter``, ``regParam`` and so on).
+    """
     weights = {r[label]: r["weight"] for r in class_weights(rows, label).collect()}
     if not weights:
         raise ValueError("no labelled rows to fit on")
@@ -31,14 +34,14 @@ def fit_classifier(rows: DataFrame, vector: str, label: str, algorithm: str, see
         array_to_vector(vector).alias("features"), F.col(label).cast("double").alias("label"), weight.alias("weight")
     )
     if algorithm == "random_forest":
-        model = RandomForestClassifier(
-            numTrees=_TREES, maxDepth=_DEPTH, featureSubsetStrategy="sqrt", seed=seed, weightCol="weight"
-        )
+        settings = {"numTrees": _TREES, "maxDepth": _DEPTH, "featureSubsetStrategy": "sqrt"} | options
+        model = RandomForestClassifier(seed=seed, weightCol="weight", **settings)
     else:
         # An L2 penalty of one per table equals regParam = 1 / rows, as the weights add up to the number of rows.
-        model = LogisticRegression(
-            maxIter=_ITERATIONS, regParam=1.0 / training.count(), standardization=False, weightCol="weight"
-        )
+        settings = {"maxIter": _ITERATIONS, "standardization": False} | options
+        if "regParam" not in settings:
+            settings["regParam"] = 1.0 / training.count()
+        model = LogisticRegression(weightCol="weight", **settings)
     return model.fit(training)
 
 

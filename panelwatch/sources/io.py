@@ -14,6 +14,8 @@ _TEXT_TIMES = {
     "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][XXX]",
 }
 
+_QUOTING = {"quote": '"', "escape": '"'}
+
 
 def format_of(path: str) -> str:
     for suffix, name in _FORMATS.items():
@@ -23,16 +25,18 @@ def format_of(path: str) -> str:
 
 
 def load_panel(
-    spark: SparkSession, path: str, format: str | None = None, schema: T.StructType | str | None = None
+    spark: SparkSession, path: str, format: str | None = None, schema: T.StructType | str | None = None,
+    multiline: bool = True,
 ) -> DataFrame:
     """Read a CSV (with header), JSON (array of records), JSON-lines or parquet file or folder, chosen by its suffix.
 
-    Give ``schema`` for large text files: types are otherwise inferred, which reads the data once more.
+    Give ``schema`` for large text files: types are otherwise inferred, which reads the data once more. Quoted CSV values
+    may hold line breaks and doubled quotes; ``multiline=False`` rules line breaks out and lets large files be split.
     """
     name = format or format_of(path)
     reader = spark.read.schema(schema) if schema else spark.read
     if name == "csv":
-        return reader.csv(path, header=True, inferSchema=schema is None)
+        return reader.options(**_QUOTING).csv(path, header=True, inferSchema=schema is None, multiLine=multiline)
     if name == "json":
         return reader.json(path, multiLine=True)
     if name == "jsonl":
@@ -55,7 +59,8 @@ def write_panel(
     if name == "parquet":
         writer.parquet(path)
     elif name == "csv":
-        writer.csv(path, header=True)
+        kept = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+        writer.options(**_QUOTING, **kept).csv(path, header=True)
     elif name in ("json", "jsonl"):
         writer.json(path)
     else:

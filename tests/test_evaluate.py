@@ -54,7 +54,7 @@ def test_detection_counts_places_once(spark):
     df = spark.createDataFrame(rows, "k string, t int, truth boolean, flag boolean")
     found = evaluate.detection(df, PanelSpec("k", ("t",), "t"), "truth", "flag").first()
     assert (found["true_positives"], found["false_positives"], found["false_negatives"]) == (1, 1, 1)
-    assert (found["anomaly_detection_rate"], found["false_positive_rate"]) == (0.5, 0.5)
+    assert (found["detection_rate"], found["false_positive_rate"]) == (0.5, 0.5)
 
 
 def test_comparison_of_methods(spark, verdicts):

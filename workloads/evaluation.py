@@ -70,7 +70,7 @@ def score_auc(spark, folder):
 
 @WORK.add(
     "detection_overlap",
-    f"""SELECT *, {num("coalesce(true_positives / nullif(total_anomalies, 0), 0)", "anomaly_detection_rate")},
+    f"""SELECT *, {num("coalesce(true_positives / nullif(total_anomalies, 0), 0)", "detection_rate")},
                {num("coalesce(false_positives / nullif(detected_anomalies, 0), 0)", "false_positive_rate")}
         FROM (SELECT count(*) FILTER (WHERE t) AS total_anomalies, count(*) FILTER (WHERE f) AS detected_anomalies,
                      count(*) FILTER (WHERE t AND f) AS true_positives,

@@ -29,14 +29,20 @@ def load_csv(spark, folder):
     return _round_trip(spark, df, "csv")
 
 
+@WORK.add("load_csv_documents", "SELECT doc_id, text, lang, source FROM documents")
+def load_csv_documents(spark, folder):
+    """Texts with quotes, separators and line breaks."""
+    return _round_trip(spark, table(spark, folder, "documents").select("doc_id", "text", "lang", "source"), "csv")
+
+
 @WORK.add("load_json", "SELECT o_orderkey, o_custkey, o_orderdate, o_totalprice FROM orders")
 def load_json(spark, folder):
     return _round_trip(spark, orders(spark, folder), "jsonl")
 
 
-@WORK.add("load_parquet", "SELECT event_id, user_id, ts, value FROM events WHERE value > 100")
+@WORK.add("load_parquet", "SELECT event_id, user_id, ts, value FROM events")
 def load_parquet(spark, folder):
-    return _round_trip(spark, events(spark, folder), "parquet").filter("value > 100")
+    return _round_trip(spark, events(spark, folder), "parquet")
 
 
 _PROFILE_TYPES = {
