@@ -8,35 +8,33 @@ from pyspark.sql import functions as F
 from panelwatch.config import PanelSpec
 
 
-def stream_periods(
-    scored: DataFrame,
-    spec: PanelSpec,
-    period: str = "1 day",
-    threshold: float = 0.3,
-    watermark: str = "1 hour",
-    flag: str = "is_anomaly",
-    error: float = 0.01,
+def stream_entity_periods(
+    scored: DataFrame, spec: PanelSpec, period: str = "1 day", watermark: str = "1 hour", flag: str = "is_anomaly"
 ) -> DataFrame:
-    """Per time window: flagged entities, all entities, their ratio, and whether it reaches ``threshold``.
+    """``period``, the key and ``flagged`` per time window and entity: whether any row of the entity was flagged so far.
 
-    Entities are counted with a sketch of relative error ``error``, as streams cannot count distinct values exactly.
+    The counts stay exact, as every entity of an open window has one boolean of state. Rows behind the watermark are
+    dropped by Spark, which reports their number in the progress of the query (``numRowsDroppedByWatermark``).
     """
-    flagged = F.when(F.coalesce(F.col(flag), F.lit(False)), F.col(spec.key))
     # Watermarks need an instant, so the wall clock is read in the session zone and turned back at the end.
-    counted = (
+    grouped = (
         scored.withColumn("__instant", F.col(spec.time).cast("timestamp"))
         .withWatermark("__instant", watermark)
-        .groupBy(F.window("__instant", period).alias("w"))
-        .agg(
-            F.approx_count_distinct(flagged, error).alias("flagged_entities"),
-            F.approx_count_distinct(spec.key, error).alias("total_entities"),
-        )
+        .groupBy(F.window("__instant", period).alias("__window"), F.col(spec.key))
+        .agg(F.max(F.coalesce(F.col(flag), F.lit(False))).alias("flagged"))
     )
-    rate = F.col("flagged_entities") / F.col("total_entities")
-    return counted.select(
-        F.col("w.start").cast("timestamp_ntz").alias("period"),
-        "flagged_entities",
-        "total_entities",
-        rate.alias("anomaly_rate"),
-        (rate >= threshold).alias("is_cross_entity"),
+    return grouped.select(F.col("__window.start").cast("timestamp_ntz").alias("period"), spec.key, "flagged")
+
+
+def period_rates(entity_periods: DataFrame, spec: PanelSpec, threshold: float = 0.3) -> DataFrame:
+    """Per period: flagged entities, all entities, their ratio, and whether it reaches ``threshold``.
+
+    ``entity_periods`` is what ``stream_entity_periods`` wrote; of several updates of one entity and period the flag of
+    any counts, as flags are never taken back.
+    """
+    entities = entity_periods.filter(F.col(spec.key).isNotNull()).groupBy("period", spec.key).agg(F.max("flagged").alias("flagged"))
+    counted = entities.groupBy("period").agg(
+        F.count_if("flagged").alias("flagged_entities"), F.count(F.lit(1)).alias("total_entities")
     )
+    rate = F.col("flagged_entities") / F.col("total_entities")
+    return counted.select("*", rate.alias("anomaly_rate"), (rate >= threshold).alias("is_cross_entity"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from datetime import date
+from decimal import Decimal
 
 import numpy as np
 import pandas as pd
@@ -45,6 +47,7 @@ def stream_features(stream: DataFrame, spec: PanelSpec, rules: bool = False) ->
     position = [T.StructField(f"last{i}", T.StringType()) for i in range(len(spec.order))]
     state_type = T.StructType([*arrays, *position])
     column_order = [f.name for f in out]
+    decoders = [_decoder(stream.schema[c].dataType) for c in spec.order]
     features = _rule_features if rules else _entity_features
     attributes, order, key = spec.attributes, spec.order, spec.key
 
@@ -52,18 +55,18 @@ def stream_features(stream: DataFrame, spec: PanelSpec, rules: bool = False) ->
         rows = pd.concat(list(chunks), ignore_index=True).sort_values(order, ignore_index=True)
         rows[key] = group_key[0]
         kept = state.get if state.exists else None
-        rows["late"] = _late(rows[order], kept[len(arrays) :] if kept else None)
+        rows["late"] = _late(rows[order], [d(t) for d, t in zip(decoders, kept[len(arrays) :])] if kept else None)
         fresh, result = rows[~rows["late"]], rows.copy()
         tails = []
         for i, a in enumerate(attributes):
             old = np.array(kept[2 * i], dtype=float) if kept else np.empty(0)
             old_filled = np.array(kept[2 * i + 1], dtype=float) if kept else np.empty(0)
-            values = pd.Series(np.concatenate([old, fresh[a].to_numpy(dtype=float)]))
+            values = np.concatenate([old, fresh[a].to_numpy(dtype=float)])
             new = pd.Series(np.concatenate([old_filled[-1:], fresh[a].to_numpy(dtype=float)])).ffill()
-            filled = pd.Series(np.concatenate([old_filled, new.to_numpy()[len(old_filled[-1:]) :]]))
+            filled = np.concatenate([old_filled, new.to_numpy()[len(old_filled[-1:]) :]])
             for name, column in features(values, filled).items():
-                result.loc[fresh.index, f"{a}_{name}"] = column.to_numpy()[len(old) :]
-            tails += [values.to_numpy()[-_KEPT:].tolist(), filled.to_numpy()[-_KEPT:].tolist()]
+                result.loc[fresh.index, f"{a}_{name}"] = column[len(old) :]
+            tails += [values[-_KEPT:].tolist(), filled[-_KEPT:].tolist()]
         if len(fresh):
             state.update((*tails, *_encoded(fresh[order].iloc[-1])))
         yield result.reindex(columns=column_order)
@@ -77,73 +80,113 @@ def stream_features(stream: DataFrame, spec: PanelSpec, rules: bool = False) ->
 
 
 def _encoded(place: pd.Series) -> list[str]:
-    return [v.isoformat() if isinstance(v, pd.Timestamp) else repr(v.item() if hasattr(v, "item") else v) for v in place]
-
-
-def _late(order: pd.DataFrame, last: tuple | None) -> np.ndarray:
+    """The order values as text that ``_decoder`` of their type reads back without loss."""
+    return [v.isoformat() if isinstance(v, (pd.Timestamp, date)) else str(v) for v in place]
+
+
+def _decoder(kind: T.DataType) -> Callable[[str], object]:
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return pd.Timestamp
+    if isinstance(kind, T.DateType):
+        return date.fromisoformat
+    if isinstance(kind, T.DecimalType):
+        return Decimal
+    if isinstance(kind, T.IntegralType):
+        return int
+    if isinstance(kind, T.FractionalType):
+        return float
+    if isinstance(kind, T.BooleanType):
+        return "True".__eq__
+    return str
+
+
+def _late(order: pd.DataFrame, last: list | None) -> np.ndarray:
     """Rows at or before the last position seen."""
     late = np.zeros(len(order), dtype=bool)
     if last is None:
         return late
     equal = np.ones(len(order), dtype=bool)
-    for (_, column), text in zip(order.items(), last):
-        if pd.api.types.is_datetime64_any_dtype(column):
-            bound = pd.Timestamp(text)
-        elif pd.api.types.is_numeric_dtype(column):
-            bound = float(text) if "." in text else int(text)
-        else:
-            bound = text.strip("'\"")
-        late |= equal & (column < bound).to_numpy()
-        equal &= (column == bound).to_numpy()
+    for (_, column), bound in zip(order.items(), last):
+        late |= equal & (column < bound).to_numpy(dtype=bool)
+        equal &= (column == bound).to_numpy(dtype=bool)
     return late | equal
 
 
-def _divided(a: pd.Series, b: pd.Series) -> pd.Series:
-    return (a / b.where(b != 0)).replace([np.inf, -np.inf], np.nan)
+class _Frames:
+    """The last ``n`` values before and at each position, one row each; frames with too few known values give NaN."""
+
+    def __init__(self, v: np.ndarray, n: int, needed: int = 1):
+        padded = np.concatenate([np.full(n - 1, np.nan), v])
+        self._rows = np.lib.stride_tricks.sliding_window_view(padded, n)
+        self._known = ~np.isnan(self._rows)
+        self._count = self._known.sum(axis=1)
+        self._needed = needed
+
+    def _where_enough(self, result: np.ndarray, needed: int) -> np.ndarray:
+        return np.where(self._count >= max(needed, self._needed), result, np.nan)
+
+    def total(self) -> np.ndarray:
+        return self._where_enough(np.where(self._known, self._rows, 0.0).sum(axis=1), 1)
+
+    def mean(self) -> np.ndarray:
+        return self.total() / np.maximum(self._count, 1)
+
+    def std(self) -> np.ndarray:
+        gaps = np.where(self._known, self._rows - self.mean()[:, None], 0.0)
+        return self._where_enough(np.sqrt((gaps**2).sum(axis=1) / np.maximum(self._count - 1, 1)), 2)
+
+    def rank(self) -> np.ndarray:
+        """The mean rank of the newest value in its frame, as a share of the known values."""
+        newest = self._rows[:, -1:]
+        below, equal = (self._rows < newest).sum(axis=1), (self._rows == newest).sum(axis=1)
+        share = (below + (equal + 1) / 2) / np.maximum(self._count, 1)
+        return self._where_enough(np.where(np.isnan(newest[:, 0]), np.nan, share), 1)
+
+
+def _earlier(v: np.ndarray, steps: int) -> np.ndarray:
+    return np.concatenate([np.full(steps, np.nan), v])[: len(v)]
 
 
-def _rank(v: pd.Series, n: int, needed: int = 1) -> pd.Series:
-    return v.rolling(n, min_periods=needed).rank(pct=True)
+def _growth(now: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """The relative change; NaN where there is no finite one."""
+    possible = ~np.isnan(now) & ~np.isnan(before) & (before != 0)
+    quotient = np.divide(now, before, out=np.full(len(now), np.nan), where=possible)
+    return np.where(np.isfinite(quotient), quotient, np.nan) - 1
 
 
-def _std(v: pd.Series, n: int, needed: int = 1) -> pd.Series:
-    """Deviations frame by frame: a running update would carry rounding errors from one frame to the next."""
-    padded = np.concatenate([np.full(n - 1, np.nan), v.to_numpy(dtype=float)])
-    frames = np.lib.stride_tricks.sliding_window_view(padded, n)
-    known = ~np.isnan(frames)
-    count = known.sum(axis=1)
-    filled = np.where(known, frames, 0.0)
-    mean = filled.sum(axis=1) / np.maximum(count, 1)
-    squares = np.where(known, frames - mean[:, None], 0.0) ** 2
-    std = np.sqrt(squares.sum(axis=1) / np.maximum(count - 1, 1))
-    return pd.Series(np.where((count > 1) & (count >= needed), std, np.nan), index=v.index)
+def _one_if_zero(v: np.ndarray) -> np.ndarray:
+    return np.where(v == 0, 1.0, v)
 
 
-def _entity_features(v: pd.Series, filled: pd.Series) -> dict[str, pd.Series]:
-    f = {"change": _divided(filled, filled.shift()) - 1}
+def _entity_features(v: np.ndarray, filled: np.ndarray) -> dict[str, np.ndarray]:
+    change = _growth(filled, _earlier(filled, 1))
+    f = {"change": change, "percentile_5": _Frames(v, 20).rank(), "percentile_20": _Frames(v, 50).rank()}
     for n in (5, 20):
-        f[f"ma_{n}"] = v.rolling(n, min_periods=1).mean()
-        f[f"std_{n}"] = _std(v, n)
-        f[f"zscore_{n}"] = (v - f[f"ma_{n}"]) / f[f"std_{n}"].replace(0, 1)
-        f[f"volatility_{n}"] = _std(f["change"], n)
-        f[f"momentum_{n}"] = _divided(v, v.shift(n)) - 1
-    f["volatility_ratio"] = f["volatility_5"] / f["volatility_20"].replace(0, 1)
-    f["percentile_5"], f["percentile_20"] = _rank(v, 20), _rank(v, 50)
-    return {name: f[name].replace([np.inf, -np.inf], np.nan).fillna(0.0) for name in ENTITY_FEATURES}
-
-
-def _rule_features(v: pd.Series, filled: pd.Series) -> dict[str, pd.Series]:
-    mean, std = v.rolling(20, min_periods=5).mean(), _std(v, 20, 5)
-    short, long = _std(v, 10, 5), _std(v, 30, 5)
+        level = _Frames(v, n)
+        mean, std = level.mean(), level.std()
+        f |= {
+            f"ma_{n}": mean,
+            f"std_{n}": std,
+            f"zscore_{n}": (v - mean) / _one_if_zero(std),
+            f"volatility_{n}": _Frames(change, n).std(),
+            f"momentum_{n}": _growth(v, _earlier(v, n)),
+        }
+    f["volatility_ratio"] = f["volatility_5"] / _one_if_zero(f["volatility_20"])
+    return {name: np.where(np.isfinite(f[name]), f[name], 0.0) for name in ENTITY_FEATURES}
+
+
+def _rule_features(v: np.ndarray, filled: np.ndarray) -> dict[str, np.ndarray]:
+    base, short, long = _Frames(v, 20, needed=5), _Frames(v, 10, needed=5), _Frames(v, 30, needed=5)
+    mean, std, near, far = base.mean(), base.std(), short.std(), long.std()
     f = {
         "rolling_mean": mean,
         "rolling_std": std,
         "z_score": (v - mean) / (std + 1e-8),
-        "volatility_10": short,
-        "volatility_30": long,
-        "volatility_ratio": short / (long + 1e-8),
-        "momentum_5": v.rolling(5, min_periods=3).sum(),
-        "momentum_10": v.rolling(10, min_periods=5).sum(),
-        "percentile_20": _rank(v, 20, 5),
+        "volatility_10": near,
+        "volatility_30": far,
+        "volatility_ratio": near / (far + 1e-8),
+        "momentum_5": _Frames(v, 5, needed=3).total(),
+        "momentum_10": short.total(),
+        "percentile_20": base.rank(),
     }
     return {name: f[name] for name in RULE_FEATURES}

@@ -10,12 +10,11 @@ from panelwatch import Detector
 from panelwatch.config import ENTITY_FEATURES
 from panelwatch.operators.entity import RULE_FEATURES
 from panelwatch.session import shared_folder
-from panelwatch.streaming.events import stream_periods
+from panelwatch.streaming.events import period_rates, stream_entity_periods
 from panelwatch.streaming.rolling import stream_features
 from panelwatch.streaming.score import score_stream
 from workloads import Workloads
 from workloads.features import entity_sql, rule_sql
-from workloads.summaries import _CROSS_COLUMNS
 from workloads.tables import EVENTS, events, num, nums, table, tidy
 
 WORK = Workloads()
@@ -59,20 +58,39 @@ def stream_rule_features(spark, folder):
     return tidy(rows.select("event_id", *[f"value_{s}" for s in RULE_FEATURES]))
 
 
-@WORK.add("stream_scores")
+_PARTS = 4
+
+
+@WORK.add("stream_scores", "SELECT event_id, true AS equals_batch FROM events")
 def stream_scores(spark, folder):
-    model = Detector("isolation_forest", options={"n_trees": 50}).fit(events(spark, folder), EVENTS)
-    out = _fresh(spark, "scored")
+    """Events scored in several micro-batches of whole days against the same events scored as one table."""
+    df = events(spark, folder)
+    model = Detector("isolation_forest", options={"n_trees": 50}).fit(df, EVENTS)
+    arriving, out, keep = (_fresh(spark, purpose) for purpose in ("arriving", "scored", "seen"))
+    days = df.agg(F.min("ts").alias("first"), F.max("ts").alias("last")).first()
+    part = F.floor(_PARTS * F.datediff("ts", F.lit(days["first"])) / (F.datediff(F.lit(days["last"]), F.lit(days["first"])) + 1))
+    numbered = df.select("event_id", "user_id", "ts", "value", part.alias("part"))
+    for i in range(_PARTS):
+        numbered.filter(F.col("part") == i).drop("part").coalesce(1).write.mode("append").parquet(arriving)
 
     def write(scored, batch_id):
         scored.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    stream = _stream(spark, folder, "events").select("event_id", "user_id", "ts", "value")
-    score_stream(stream, model, write, _fresh(spark, "checkpoint"), available_now=True).awaitTermination()
-    return spark.read.parquet(out).select("event_id", "is_anomaly", "score", "confidence", "indicator")
+    stream = spark.readStream.schema(numbered.drop("part").schema).option("maxFilesPerTrigger", 1).parquet(arriving)
+    score_stream(stream, model, write, _fresh(spark, "checkpoint"), available_now=True, keep=keep).awaitTermination()
+    found = spark.read.parquet(out)
+    whole = model.score(numbered.drop("part")).select("event_id", F.col("score").alias("want"), F.col("is_anomaly").alias("flagged"))
+    same = (F.abs(F.col("score") - F.col("want")) < 1e-9) & (F.col("is_anomaly") == F.col("flagged"))
+    return whole.join(found, "event_id", "left").select("event_id", F.coalesce(same, F.lit(False)).alias("equals_batch"))
 
 
-@WORK.add("stream_periods")
+@WORK.add(
+    "stream_periods",
+    f"""SELECT period, flagged_entities, total_entities, {num("anomaly_rate")}, is_cross_entity FROM (
+            SELECT *, flagged_entities / total_entities AS anomaly_rate, flagged_entities / total_entities >= 0.3 AS is_cross_entity FROM (
+                SELECT date_trunc('day', ts)::TIMESTAMP AS period, count(DISTINCT user_id) FILTER (WHERE value > 100) AS flagged_entities,
+                       count(DISTINCT user_id) AS total_entities FROM events WHERE user_id IS NOT NULL GROUP BY ALL))""",
+)
 def stream_periods_events(spark, folder):
     flagged = _stream(spark, folder, "events").withColumn("is_anomaly", F.col("value") > 100)
     out = _fresh(spark, "periods")
@@ -81,7 +99,7 @@ def stream_periods_events(spark, folder):
         batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     query = (
-        stream_periods(flagged, EVENTS)
+        stream_entity_periods(flagged, EVENTS)
         .writeStream.outputMode("update")
         .foreachBatch(write)
         .option("checkpointLocation", _fresh(spark, "checkpoint"))
@@ -89,5 +107,4 @@ def stream_periods_events(spark, folder):
         .start()
     )
     query.awaitTermination()
-    newest = spark.read.parquet(out).groupBy("period").agg(F.max_by(F.struct("*"), "batch").alias("row"))
-    return newest.select("row.*").drop("batch")
+    return tidy(period_rates(spark.read.parquet(out).drop("batch"), EVENTS))
