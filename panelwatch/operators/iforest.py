@@ -137,7 +137,9 @@ def _grow(x: np.ndarray, tree: int, depth: int, rng: np.random.Generator) -> pd.
     while todo:
         node, level, members = todo.pop()
         low, high = x[members].min(axis=0), x[members].max(axis=0)
-        usable = np.flatnonzero(high > low)
+        # Values that differ by rounding only are one value: a split among them would depend on the order of sums.
+        rounding = np.maximum(1e-12, 1e-9 * np.maximum(np.abs(low), np.abs(high)))
+        usable = np.flatnonzero(high - low > rounding)
         if level == depth or len(members) < 2 or not len(usable):
             out.append((tree, node, -1, 0.0, level + float(_average_path(np.array([len(members)]))[0])))
             continue

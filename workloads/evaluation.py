@@ -203,7 +203,11 @@ def caught_or_missed(spark, folder):
     return evaluate.caught_or_missed(_documents(spark, folder))
 
 
-@WORK.add("train_test_split")
+@WORK.add(
+    "train_test_split",
+    """SELECT o_orderkey, CASE WHEN ('0x' || substr(md5(o_orderkey || '|42'), 1, 8))::BIGINT % 10000 < 7000
+                               THEN 'train' ELSE 'test' END AS part FROM orders""",
+)
 def train_test_split(spark, folder):
     """Both parts under each other; the test suite checks that they are disjoint, complete and near 70/30."""
     train, test = evaluate.split_rows(table(spark, folder, "orders").select("o_orderkey"), ["o_orderkey"])
