@@ -2,131 +2,232 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from math import ceil
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelwatch.llm.linking import components, links_within
+from panelwatch.llm.linking import components, in_blocks
 from panelwatch.session import staged
 
 _CODE_BITS = 24
 _LEAF_ROWS = 64
 _BLOCK = 512
+_STEP = 1024
+_MARGIN = 1e-4  # searched in single precision; nearer to the threshold than this, double precision decides
 _AUDITED = 256
 _NAVIGABLE = 0.8  # a neighbour farther off than this does not lead to near ones
 
 
 def unit_vectors(df: DataFrame, key: str, vector: str, label: str) -> DataFrame:
-    """``node, label, unit, copies``: distinct usable vectors of each label at length one; ``node`` is the least id."""
+    """``vec_id, label, unit`` of the rows that can have links, their vectors scaled to length one."""
     x = F.col(f"`{vector}`").cast("array<double>")
     bad = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    largest = F.aggregate(x, F.lit(0.0), lambda m, v: F.greatest(m, F.abs(v)))
-    usable = df.select(F.col(f"`{key}`").alias("vec_id"), F.col(f"`{label}`").alias("label"), x.alias("x")).filter(
-        F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("x").isNotNull() & ~bad & (largest > 0)
+    usable = df.select(F.col(f"`{key}`").cast("long").alias("vec_id"), F.col(f"`{label}`").alias("label"), x.alias("unit")).filter(
+        F.col(f"`{key}`").isNotNull() & F.col(f"`{label}`").isNotNull() & ~bad & F.exists(x, lambda v: v != 0)
     )
-    largest = F.aggregate("x", F.lit(0.0), lambda m, v: F.greatest(m, F.abs(v)))  # keeps squares in range
-    scaled = F.transform("x", lambda v: v / F.col("largest") + F.lit(0.0))
-    norm = F.sqrt(F.aggregate("s", F.lit(0.0), lambda t, v: t + v * v))
-    return (
-        usable.withColumn("largest", largest).withColumn("s", scaled).withColumn("norm", norm)
-        .select("vec_id", "label", F.transform("s", lambda v: v / F.col("norm")).alias("unit"))
-    )
-
 
-def _codes(nodes: DataFrame, tables: range, label_type: str) -> DataFrame:
-    """``node, label, unit, table, code``: the sides of random planes the vector lies on, most splitting planes first."""
-
-    def coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        planes: dict[int, np.ndarray] = {}
+    def scaled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            dims = batch["unit"].map(len)
-            for d in dims.unique():
-                mine = batch[dims == d]
-                if d not in planes:
-                    planes[d] = np.stack([np.random.default_rng([11, t, d]).normal(size=(d, _CODE_BITS)) for t in tables])
-                x = np.stack(mine["unit"].to_list())
-                for k, t in enumerate(tables):
-                    sides = (x @ planes[d][k] > 0) @ (1 << np.arange(_CODE_BITS)[::-1])
-                    yield mine.assign(table=t, code=sides)
-
-    return nodes.select("node", "label", "unit").mapInPandas(
-        coded, f"node long, label {label_type}, unit array<double>, table int, code long"
-    )
-
+            if not batch.num_rows:
+                continue
+            flat, at = _vectors(pa.chunked_array([batch["unit"]]))
+            flat, at = flat[at[0] : at[-1]], at - at[0]
+            dims = np.diff(at)
+            flat = flat / np.repeat(np.maximum.reduceat(np.abs(flat), at[:-1]), dims)  # keeps squares in range
+            flat = flat / np.repeat(np.sqrt(np.add.reduceat(flat * flat, at[:-1])), dims) + 0.0
+            unit = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat))
+            yield pa.RecordBatch.from_pydict({"vec_id": batch["vec_id"], "label": batch["label"], "unit": unit})
 
-def _near_pairs(ids: np.ndarray, x: np.ndarray, keep: np.ndarray | int) -> pd.DataFrame:
-    """For each row its ``keep`` most similar other rows among those that are navigable."""
-    sim = x @ x.T
-    np.fill_diagonal(sim, -2.0)
-    sim[ids[:, None] == ids[None, :]] = -2.0
-    most = min(int(np.max(keep)), len(ids) - 1)
-    if most < 1:
-        return pd.DataFrame({"src": ids[:0], "dst": ids[:0], "sim": sim[0, :0]})
-    top = np.argpartition(-sim, most - 1, axis=1)[:, :most]
-    value = np.take_along_axis(sim, top, 1)
-    r, c = np.nonzero(value >= _NAVIGABLE)
-    return pd.DataFrame({"src": ids[r], "dst": ids[top[r, c]], "sim": value[r, c]})
+    return usable.mapInArrow(scaled, usable.schema)
 
 
-_EDGES = "src long, dst long, sim double"
+def _grouped(rows: DataFrame, keys: list[str], work: Callable[[pa.Table, np.ndarray], dict], schema: str) -> DataFrame:
+    """``work(table, bounds)`` over whole groups: rows dealt and sorted by ``keys``, many groups to a call.
 
+    ``bounds`` are the starts of the groups and the end. A group has to fit in memory; one that began in one Arrow batch
+    is carried to the next.
+    """
 
-def _started(nodes: DataFrame, tables: range, keep: int, label_type: str) -> DataFrame:
-    """First neighbour lists, from leaves of random-plane trees; a leaf that stays large is dealt over chunks."""
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            now = pa.Table.from_batches([batch])
+            now = now if held is None else pa.concat_tables([held, now])
+            if not now.num_rows:
+                continue
+            turn = np.zeros(now.num_rows, dtype=bool)
+            turn[0] = True
+            for key in keys:
+                code = now[key].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+                turn[1:] |= code[1:] != code[:-1]
+            starts = np.flatnonzero(turn)
+            held = now.slice(starts[-1])
+            if len(starts) > 1:
+                yield pa.RecordBatch.from_pydict(work(now.slice(0, starts[-1]), starts))
+        if held is not None:
+            yield pa.RecordBatch.from_pydict(work(held, np.array([0, held.num_rows])))
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(stream, schema)
+
+
+def _vectors(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all vectors in one row, and where each vector starts (one entry more than vectors)."""
+    lists = column.combine_chunks()
+    return lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+
+
+def _coded(nodes: DataFrame, tables: range) -> DataFrame:
+    """``node, label, dim, table, code``: the sides of random planes the vector lies on, most splitting planes first."""
+    node_type = nodes.schema["node"].dataType.simpleString()
+
+    def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        planes: dict[int, np.ndarray] = {}
+        for batch in batches:
+            flat, at = _vectors(pa.chunked_array([batch["probe"]]))
+            dims, out = np.diff(at), np.zeros((batch.num_rows, len(tables)), dtype=np.int64)
+            for d in np.unique(dims).tolist():
+                if d not in planes:
+                    planes[d] = np.concatenate([np.random.default_rng([11, t, d]).normal(size=(d, _CODE_BITS)) for t in tables], axis=1)
+                mine = np.flatnonzero(dims == d)
+                x = flat[at[mine][:, None] + np.arange(d)]
+                sides = (x @ planes[d] > 0).reshape(len(mine), len(tables), _CODE_BITS)
+                out[mine] = sides @ (1 << np.arange(_CODE_BITS)[::-1])
+            listed = pa.ListArray.from_arrays(np.arange(len(out) + 1, dtype=np.int32) * len(tables), pa.array(out.ravel()))
+            yield pa.RecordBatch.from_pydict({"node": batch["node"], "codes": listed})
+
+    coded = nodes.select("node", "probe").mapInArrow(codes, f"node {node_type}, codes array<long>")
+    each = coded.select("node", F.posexplode("codes").alias("table", "code"))
+    return each.join(nodes.select("node", "label", F.size("probe").alias("dim")), "node")
+
+
+_EDGES = "src long, dst long, sim float"
+
+
+def _nearest(most: int) -> Callable[[pa.Table, np.ndarray], dict]:
+    """For each row of a group its ``most`` most similar other rows among those that are navigable."""
+
+    def work(table: pa.Table, bounds: np.ndarray) -> dict:
+        ids = table["node"].to_numpy()
+        flat, at = _vectors(table["probe"])
+        src, dst, near = [ids[:0]], [ids[:0]], [np.zeros(0, dtype=np.float32)]
+        for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            n = e - s
+            if n < 2:
+                continue
+            x = flat[at[s] : at[e]].reshape(n, -1)
+            sim = x @ x.T
+            sim[np.arange(n), np.arange(n)] = -2.0
+            top = np.argpartition(-sim, most - 1, axis=1)[:, :most] if n - 1 > most else np.broadcast_to(np.arange(n), (n, n))
+            near_to = np.take_along_axis(sim, top, 1)
+            r, c = np.nonzero(near_to >= np.float32(_NAVIGABLE))
+            src.append(ids[s + r])
+            dst.append(ids[s + top[r, c]])
+            near.append(near_to[r, c])
+        return {"src": np.concatenate(src), "dst": np.concatenate(dst), "sim": np.concatenate(near)}
+
+    return work
+
+
+def _started(nodes: DataFrame, tables: range, most: int) -> DataFrame:
+    """Neighbours to start from, in leaves of random-plane trees; a leaf that stays large is dealt over chunks."""
     in_label = nodes.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     bits = F.greatest(F.least(F.ceil(F.log2(F.col("n") / F.lit(_LEAF_ROWS))), F.lit(_CODE_BITS)), F.lit(0)).cast("int")
-    coded = _codes(nodes, tables, label_type).join(in_label.select("label", bits.alias("bits")), "label")
+    coded = staged(_coded(nodes, tables)).join(in_label.select("label", bits.alias("bits")), "label")
     coded = coded.withColumn("leaf", F.floor(F.col("code") / F.pow(F.lit(2.0), F.lit(_CODE_BITS) - F.col("bits"))).cast("long"))
-    keys = ["label", "table", "leaf"]
+    keys = ["label", "dim", "table", "leaf"]
     sizes = coded.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"))
     chunk = F.pmod(F.xxhash64("node", "table"), F.ceil(F.col("size") / F.lit(_BLOCK))).cast("int")
-    dealt = coded.join(sizes.filter("size > 1"), keys).withColumn("chunk", chunk).select(*keys, "chunk", "node", "unit")
+    dealt = coded.join(sizes.filter("size > 1"), keys).select(*keys, chunk.alias("chunk"), "node")
+    with_vectors = dealt.join(nodes.select("node", "probe"), "node")
+    return _grouped(with_vectors, [*keys, "chunk"], _nearest(most), _EDGES).withColumn("fresh", F.lit(1))
 
-    def leaf(batch: pd.DataFrame) -> pd.DataFrame:
-        out = [
-            _near_pairs(b["node"].to_numpy(), np.stack(b["unit"].to_list()), keep)
-            for _, b in batch.groupby(batch["unit"].map(len)) if len(b) > 1
-        ]
-        return pd.concat(out) if out else pd.DataFrame({"src": [], "dst": [], "sim": []})
 
-    return dealt.groupBy(*keys, "chunk").applyInPandas(leaf, _EDGES)
+def _limits(edges: DataFrame, threshold: float) -> DataFrame:
+    """``src, keep, grown``: lists whose last entry is still a link are saturated and get twice the length."""
+    full = (F.count(F.lit(1)) >= F.first("keep")) & (F.min("sim") >= threshold - _MARGIN)
+    found = edges.groupBy("src").agg(F.first("keep").alias("was"), full.alias("grown"))
+    return found.select("src", F.when(F.col("grown"), 2 * F.col("was")).otherwise(F.col("was")).alias("keep"), "grown")
 
 
-def _best(edges: DataFrame, keep: DataFrame, least: int) -> DataFrame:
-    """The ``keep`` most similar neighbours of each node (``least`` where ``keep`` has no row)."""
+def _best(found: DataFrame, limits: DataFrame | None, least: int) -> DataFrame:
+    """``src, dst, sim, fresh, keep``: the most similar neighbours of each node, ``fresh`` 1 where it had not met them."""
     order = Window.partitionBy("src").orderBy(F.desc("sim"), "dst")
-    distinct = edges.groupBy("src", "dst").agg(F.max("sim").alias("sim"))
-    return (
-        distinct.join(keep, "src", "left").withColumn("place", F.row_number().over(order))
-        .filter(F.col("place") <= F.coalesce("keep", F.lit(least))).select("src", "dst", "sim")
-    )
+    distinct = found.groupBy("src", "dst").agg(F.max("sim").alias("sim"), F.min("fresh").alias("fresh"))
+    distinct = distinct.withColumn("keep", F.lit(None).cast("int")) if limits is None else distinct.join(limits.select("src", "keep"), "src", "left")
+    placed = distinct.withColumn("keep", F.coalesce("keep", F.lit(least))).withColumn("place", F.row_number().over(order))
+    return placed.filter(F.col("place") <= F.col("keep")).drop("place")
+
 
+def _refined(edges: DataFrame, nodes: DataFrame, limits: DataFrame, least: int, most: int) -> DataFrame:
+    """One round: the neighbours of a node, in either direction, are compared with each other and with it.
 
-def _refined(edges: DataFrame, nodes: DataFrame, keep: DataFrame, least: int) -> DataFrame:
-    """One round: the neighbours of every node, in either direction, are compared with each other and with it."""
-    around = edges.select(F.col("src").alias("centre"), F.col("dst").alias("node"), "sim")
-    back = edges.select(F.col("dst").alias("centre"), F.col("src").alias("node"), "sim")
+    Nodes around which nothing is new, and whose list did not grow, have been compared before and are left out.
+    """
+    around = edges.select(F.col("src").alias("centre"), F.col("dst").alias("node"), "fresh")
+    back = edges.select(F.col("dst").alias("centre"), F.col("src").alias("node"), "sim", "fresh")
+    own = limits.select(F.col("src").alias("centre"), "keep", "grown")
     order = Window.partitionBy("centre").orderBy(F.desc("sim"), "node")
-    most = F.coalesce("keep", F.lit(least))
     back = (
-        back.join(keep.withColumnRenamed("src", "centre"), "centre", "left").withColumn("place", F.row_number().over(order))
-        .filter(F.col("place") <= most).select("centre", "node", "sim")
+        back.join(own.drop("grown"), "centre", "left").withColumn("place", F.row_number().over(order))
+        .filter(F.col("place") <= F.coalesce("keep", F.lit(least))).select("centre", "node", "fresh")
     )
-    itself = edges.select(F.col("src").alias("centre"), F.col("src").alias("node")).distinct()
-    met = around.unionByName(back).select("centre", "node").unionByName(itself).distinct()
-    with_vectors = met.join(nodes.select("node", "unit"), "node")
-
-    def local(batch: pd.DataFrame) -> pd.DataFrame:
-        return _near_pairs(batch["node"].to_numpy(), np.stack(batch["unit"].to_list()), len(batch))
+    met = around.unionByName(back).groupBy("centre").agg(F.collect_set("node").alias("nodes"), F.max("fresh").alias("fresh"))
+    active = met.join(own, "centre", "left").filter((F.col("fresh") == 1) | F.coalesce("grown", F.lit(False)))
+    each = active.select("centre", F.explode(F.array_union("nodes", F.array("centre"))).alias("node"))
+    with_vectors = each.join(nodes.select("node", "probe"), "node")
+    return _grouped(with_vectors, ["centre"], _nearest(most), _EDGES).withColumn("fresh", F.lit(1))
+
+
+def _links(edges: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """``a, b`` of cosine ``threshold`` or more; those near the threshold are judged again in double precision."""
+    pairs = edges.filter(F.col("sim") >= threshold - _MARGIN).select(
+        F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), (F.col("sim") >= threshold + _MARGIN).alias("sure")
+    ).groupBy("a", "b").agg(F.max("sure").alias("sure"))
+    one, two = (nodes.select(F.col("node").alias(k), F.col("unit").alias(f"u{k}")) for k in ("a", "b"))
+    cosine = F.aggregate(F.zip_with("ua", "ub", lambda x, y: x * y), F.lit(0.0), lambda t, v: t + v)
+    judged = pairs.filter(~F.col("sure")).join(one, "a").join(two, "b").filter(cosine >= threshold)
+    return pairs.filter("sure").select("a", "b").unionByName(judged.select("a", "b"))
+
+
+def _counted(members: DataFrame, threshold: float) -> DataFrame:
+    """``id, links``: the copies of all other members of the component with a cosine of ``threshold`` or more."""
+    sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("__size"))
+    dealt = in_blocks(members.join(sizes, "component"), ["component"], "__size", "id")
+
+    def count(table: pa.Table, bounds: np.ndarray) -> dict:
+        ids, copies = table["id"].to_numpy(), table["copies"].to_numpy()
+        flat, at = _vectors(table["unit"])
+        own, i, j = (table[c].to_numpy() for c in ("own", "i", "j"))
+        out = np.zeros(len(ids), dtype=np.int64)
+        for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            x = flat[at[s] : at[e]].reshape(e - s, -1)
+            one = i[s] == j[s]
+            left, right = np.flatnonzero(own[s:e] == i[s]), np.flatnonzero(own[s:e] == j[s])
+            for r in range(0, len(left), _STEP):
+                for c in range(0, len(right), _STEP):
+                    a, b = left[r : r + _STEP], right[c : c + _STEP]
+                    hit = x[a] @ x[b].T >= threshold
+                    if one:
+                        hit &= a[:, None] != b[None, :]
+                    out[s + a] += hit @ copies[s + b]
+                    if not one:
+                        out[s + b] += copies[s + a] @ hit
+        return {"id": ids, "links": out}
+
+    columns = ["component", "i", "j", "own", "id", "copies", "unit"]
+    partial = _grouped(dealt.select(*columns), ["component", "i", "j"], count, "id long, links long")
+    return partial.groupBy("id").agg(F.sum("links").alias("links"))
 
-    return with_vectors.groupBy("centre").applyInPandas(lambda b: local(b[["node", "unit"]]), _EDGES)
 
+def audit(nodes: DataFrame, kin: DataFrame, threshold: float) -> tuple[int, int]:
+    """Links of a sample of at most ``_AUDITED`` nodes by brute force, and how many of them lie inside one component."""
+    sample = nodes.orderBy(F.xxhash64("node"), "node").limit(_AUDITED).select("node", "label", "unit").toPandas()
+    shared = nodes.sparkSession.sparkContext.broadcast(sample)  # _AUDITED vectors
 
-def _near_cosine(threshold: float):
     def near(left: list, right: list) -> np.ndarray:
         a, b = np.array([len(v) for v in left]), np.array([len(v) for v in right])
         hit = np.zeros((len(a), len(b)), dtype=bool)
@@ -135,15 +236,6 @@ def _near_cosine(threshold: float):
             hit[np.ix_(i, j)] = np.stack([left[k] for k in i]) @ np.stack([right[k] for k in j]).T >= threshold
         return hit
 
-    return near
-
-
-def audit(nodes: DataFrame, kin: DataFrame, threshold: float) -> tuple[int, int]:
-    """Links of a sample of at most ``_AUDITED`` nodes by brute force, and how many of them lie inside one component."""
-    sample = nodes.orderBy(F.xxhash64("node"), "node").limit(_AUDITED).select("node", "label", "unit").toPandas()
-    shared = nodes.sparkSession.sparkContext.broadcast(sample)  # _AUDITED vectors
-    near = _near_cosine(threshold)
-
     def linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         s = shared.value
         for batch in batches:
@@ -175,26 +267,25 @@ def near_vectors(
     or non-finite components, rows without label and rows of different dimension link with nothing; a row without id
     keeps a null component. Rows are expected to have distinct ids; repeated ids count as further copies.
     """
-    label_type = df.schema[label].dataType.simpleString()
     rows = staged(unit_vectors(df, key, vector, label))
-    nodes = staged(rows.groupBy("label", "unit").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies")))
-    keep = nodes.sparkSession.createDataFrame([], "src long, keep int")
-    edges = staged(_best(_started(nodes, range(tables), neighbours, label_type), keep, neighbours))
+    alike = rows.groupBy("label", "unit").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies"))
+    nodes = staged(alike.withColumn("probe", F.col("unit").cast("array<float>")))
+    edges = staged(_best(_started(nodes, range(tables), neighbours), None, neighbours))
+    most = neighbours
     for repeat in range(most_repeats):
         for _ in range(rounds):
-            last = edges.groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.min("sim").alias("last"))
-            wide = last.join(keep, "src", "left").withColumn("keep", F.coalesce("keep", F.lit(neighbours)))
-            keep = staged(wide.select("src", F.when((F.col("n") >= F.col("keep")) & (F.col("last") >= threshold), 2 * F.col("keep")).otherwise(F.col("keep")).alias("keep")))
-            edges = staged(_best(edges.unionByName(_refined(edges, nodes, keep, neighbours)), keep, neighbours))
-        links = edges.filter(F.col("sim") >= threshold).select(F.col("src").alias("a"), F.col("dst").alias("b"))
-        kin = staged(components(links))
+            limits = _limits(edges, threshold)
+            most *= 2  # no list is longer by now
+            found = edges.withColumn("fresh", F.lit(0)).drop("keep").unionByName(_refined(edges, nodes, limits, neighbours, most))
+            edges = staged(_best(found, limits, neighbours))
+        kin = staged(components(_links(edges, nodes, threshold)))
         true, found = audit(nodes, kin, threshold)
         if found >= recall * true or repeat == most_repeats - 1:
             break
-        more = _started(nodes, range((repeat + 1) * tables, (repeat + 2) * tables), neighbours, label_type)
-        edges = staged(_best(edges.unionByName(more), keep, neighbours))
+        more = _started(nodes, range((repeat + 1) * tables, (repeat + 2) * tables), most)
+        edges = staged(_best(edges.drop("keep").unionByName(more), _limits(edges, threshold), neighbours))
     members = nodes.join(kin, F.col("node") == F.col("id")).select("id", "component", "copies", "unit")
-    counted = links_within(members, "id", "copies", _near_cosine(threshold), "unit", "long")
+    counted = _counted(members, threshold)
     per_node = (
         nodes.select("node", "label", "unit", "copies").join(counted.join(kin, "id").withColumnRenamed("id", "node"), "node", "left")
         .select("label", "unit", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
