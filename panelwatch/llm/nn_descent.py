@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelwatch.llm.linking import components, in_blocks
+from panelwatch.llm.linking import components, in_blocks, spanning
 from panelwatch.session import staged
 
 _CODE_BITS = 24
@@ -133,12 +133,21 @@ def _nearest(most: int) -> Callable[[pa.Table, np.ndarray], dict]:
 
 
 def _started(nodes: DataFrame, tables: range, most: int) -> DataFrame:
-    """Neighbours to start from, in leaves of random-plane trees; a leaf that stays large is dealt over chunks."""
+    """Neighbours to start from, in leaves of random-plane trees.
+
+    A leaf over the block size is split by further planes. One that stays large is dealt over chunks: what is not met
+    there is left to the rounds, and in the end to the audit and ``_missed``.
+    """
     in_label = nodes.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     bits = F.greatest(F.least(F.ceil(F.log2(F.col("n") / F.lit(_LEAF_ROWS))), F.lit(_CODE_BITS)), F.lit(0)).cast("int")
     coded = staged(_coded(nodes, tables)).join(in_label.select("label", bits.alias("bits")), "label")
-    coded = coded.withColumn("leaf", F.floor(F.col("code") / F.pow(F.lit(2.0), F.lit(_CODE_BITS) - F.col("bits"))).cast("long"))
-    keys = ["label", "dim", "table", "leaf"]
+    leaf = F.floor(F.col("code") / F.pow(F.lit(2.0), F.lit(_CODE_BITS) - F.col("bits"))).cast("long")
+    keys = ["label", "dim", "table", "bits", "leaf"]
+    coded = coded.withColumn("leaf", leaf)
+    large = coded.groupBy(*keys).agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > _BLOCK)
+    further = F.coalesce(F.ceil(F.log2(F.col("size") / F.lit(_LEAF_ROWS))), F.lit(0))
+    coded = coded.join(large, keys, "left").withColumn("bits", F.least(F.col("bits") + further, F.lit(_CODE_BITS)).cast("int"))
+    coded = coded.drop("size").withColumn("leaf", leaf)
     sizes = coded.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"))
     chunk = F.pmod(F.xxhash64("node", "table"), F.ceil(F.col("size") / F.lit(_BLOCK))).cast("int")
     dealt = coded.join(sizes.filter("size > 1"), keys).select(*keys, chunk.alias("chunk"), "node")
@@ -223,6 +232,40 @@ def _counted(members: DataFrame, threshold: float) -> DataFrame:
     return partial.groupBy("id").agg(F.sum("links").alias("links"))
 
 
+def _missed(nodes: DataFrame, kin: DataFrame, threshold: float) -> DataFrame:
+    """``a, b``: links between different components, from all pairs of equal label and dimension, block by block.
+
+    Of the links found between two blocks a forest is returned, so what connects them is whole and few rows are written.
+    """
+    known = nodes.join(kin.withColumnRenamed("id", "node"), "node", "left")
+    rows = known.select("label", F.size("unit").alias("dim"), "node", F.coalesce("component", "node").alias("component"), "unit")
+    sizes = rows.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("__size"))
+    dealt = in_blocks(rows.join(sizes, ["label", "dim"]), ["label", "dim"], "__size", "node")
+
+    def search(table: pa.Table, bounds: np.ndarray) -> dict:
+        ids, component = table["node"].to_numpy(), table["component"].to_numpy()
+        flat, at = _vectors(table["unit"])
+        own, i, j = (table[c].to_numpy() for c in ("own", "i", "j"))
+        one, two = [ids[:0]], [ids[:0]]
+        for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            x = flat[at[s] : at[e]].reshape(e - s, -1)
+            same = i[s] == j[s]
+            left, right = np.flatnonzero(own[s:e] == i[s]), np.flatnonzero(own[s:e] == j[s])
+            for r in range(0, len(left), _STEP):
+                for c in range(r if same else 0, len(right), _STEP):
+                    a, b = left[r : r + _STEP], right[c : c + _STEP]
+                    hit = x[a] @ x[b].T >= threshold
+                    hit &= component[s + a][:, None] != component[s + b][None, :]
+                    if hit.any():
+                        pairs = np.array(spanning(hit))
+                        one.append(ids[s + a[pairs[:, 0]]])
+                        two.append(ids[s + b[pairs[:, 1]]])
+        return {"a": np.concatenate(one), "b": np.concatenate(two)}
+
+    columns = ["label", "dim", "i", "j", "own", "node", "component", "unit"]
+    return _grouped(dealt.select(*columns), ["label", "dim", "i", "j"], search, "a long, b long")
+
+
 def audit(nodes: DataFrame, kin: DataFrame, threshold: float) -> tuple[int, int]:
     """Links of a sample of at most ``_AUDITED`` nodes by brute force, and how many of them lie inside one component."""
     sample = nodes.orderBy(F.xxhash64("node"), "node").limit(_AUDITED).select("node", "label", "unit").toPandas()
@@ -253,7 +296,7 @@ def audit(nodes: DataFrame, kin: DataFrame, threshold: float) -> tuple[int, int]
 
 def near_vectors(
     df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = 0.98,
-    neighbours: int = 8, rounds: int = 2, tables: int = 8, recall: float = 0.99, most_repeats: int = 3,
+    neighbours: int = 8, rounds: int = 2, tables: int = 8, recall: float = 0.99,
 ) -> DataFrame:
     """``vec_id, n_links, component_id, kept``, one row per row of ``df``.
 
@@ -261,7 +304,8 @@ def near_vectors(
     ``neighbours`` nearest ones starts from leaves of random-plane trees and is refined by comparing neighbours of
     neighbours; lists whose last entry is still a link are saturated and double their length for the next round. Links of
     the graph give the components, inside which all pairs are then compared in blocks. A brute-force audit of a sample
-    measures the recall; below ``recall``, further trees are grown and the search goes on.
+    measures the recall; below ``recall``, further trees are grown and the search goes on as long as each repeat halves
+    what is missed. If one does not, all pairs of a label are compared in blocks, and nothing is missed.
 
     Equal vectors of one label are one node and count as links of each other. Vectors that are null, zero, or hold null
     or non-finite components, rows without label and rows of different dimension link with nothing; a row without id
@@ -271,8 +315,8 @@ def near_vectors(
     alike = rows.groupBy("label", "unit").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies"))
     nodes = staged(alike.withColumn("probe", F.col("unit").cast("array<float>")))
     edges = staged(_best(_started(nodes, range(tables), neighbours), None, neighbours))
-    most = neighbours
-    for repeat in range(most_repeats):
+    most, repeat, missed = neighbours, 0, 1.0
+    while True:
         for _ in range(rounds):
             limits = _limits(edges, threshold)
             most *= 2  # no list is longer by now
@@ -280,9 +324,14 @@ def near_vectors(
             edges = staged(_best(found, limits, neighbours))
         kin = staged(components(_links(edges, nodes, threshold)))
         true, found = audit(nodes, kin, threshold)
-        if found >= recall * true or repeat == most_repeats - 1:
+        if found >= recall * true:
+            break
+        if 1 - found / true > missed / 2:
+            known = kin.select(F.col("id").alias("a"), F.col("component").alias("b"))
+            kin = staged(components(known.unionByName(_missed(nodes, kin, threshold))))
             break
-        more = _started(nodes, range((repeat + 1) * tables, (repeat + 2) * tables), most)
+        missed, repeat = 1 - found / true, repeat + 1
+        more = _started(nodes, range(repeat * tables, (repeat + 1) * tables), most)
         edges = staged(_best(edges.drop("keep").unionByName(more), _limits(edges, threshold), neighbours))
     members = nodes.join(kin, F.col("node") == F.col("id")).select("id", "component", "copies", "unit")
     counted = _counted(members, threshold)

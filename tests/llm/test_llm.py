@@ -248,6 +248,36 @@ def test_near_vectors_equal_all_pairs(spark):
         assert found[r[0]]["component_id"] == min(reach) and found[r[0]]["kept"] == (min(reach) == r[0])
 
 
+def _dense(pairs, background, hot):
+    """Vectors of one label and a mutual cosine of about 0.9, isolated pairs of 0.985 among them, and ``hot`` near copies."""
+    rng = np.random.default_rng(12)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    centre = unit(rng.normal(size=64))
+    near = lambda x, cosine: unit(cosine * x + math.sqrt(1 - cosine**2) * unit(rng.normal(size=x.shape)))
+    single = near(np.tile(centre, (background + pairs, 1)), 0.9**0.5)
+    x = np.concatenate([single, near(single[:pairs], 0.985), near(np.tile(unit(rng.normal(size=64)), (hot, 1)), 0.9995)])
+    return x[rng.permutation(len(x))].astype(np.float32)
+
+
+def _found_components(spark, x, **options):
+    rows = [(i, [float(v) for v in r], 0) for i, r in enumerate(x)]
+    found = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in near_vectors(_vectors(spark, rows), **options).collect()}
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    hit = unit @ unit.T >= 0.98
+    np.fill_diagonal(hit, False)
+    least = np.arange(len(x))
+    while True:
+        lower = np.array([min(least[i], least[h].min()) if (h := np.flatnonzero(hit[i])).size else least[i] for i in range(len(x))])
+        if (lower == least).all():
+            return found, {i: (int(hit[i].sum()), int(least[i])) for i in range(len(x))}
+        least = lower
+
+
+def test_isolated_pairs_of_a_dense_label_are_all_found(spark):
+    found, want = _found_components(spark, _dense(150, 300, 0), neighbours=2, rounds=1, tables=1, recall=1.0)
+    assert found == want
+
+
 def test_top_k_equals_sorting_all(spark):
     rng = np.random.default_rng(7)
     rows = [(i, [float(v) for v in np.round(rng.normal(size=6) * 3) / 3], 0) for i in range(700)]
