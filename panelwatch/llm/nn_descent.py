@@ -18,7 +18,9 @@ _LEAF_ROWS = 64
 _BLOCK = 512
 _STEP = 1024
 _MARGIN = 1e-4  # searched in single precision; nearer to the threshold than this, double precision decides
-_AUDITED = 256
+_AUDITED = 256  # nodes with links, in and outside hot groups
+_SAMPLES = (256, 1024, 4096)
+_HOT = 64
 _NAVIGABLE = 0.8  # a neighbour farther off than this does not lead to near ones
 
 
@@ -266,32 +268,61 @@ def _missed(nodes: DataFrame, kin: DataFrame, threshold: float) -> DataFrame:
     return _grouped(dealt.select(*columns), ["label", "dim", "i", "j"], search, "a long, b long")
 
 
-def audit(nodes: DataFrame, kin: DataFrame, threshold: float) -> tuple[int, int]:
-    """Links of a sample of at most ``_AUDITED`` nodes by brute force, and how many of them lie inside one component."""
-    sample = nodes.orderBy(F.xxhash64("node"), "node").limit(_AUDITED).select("node", "label", "unit").toPandas()
-    shared = nodes.sparkSession.sparkContext.broadcast(sample)  # _AUDITED vectors
-
-    def near(left: list, right: list) -> np.ndarray:
-        a, b = np.array([len(v) for v in left]), np.array([len(v) for v in right])
-        hit = np.zeros((len(a), len(b)), dtype=bool)
-        for d in np.intersect1d(a, b):
-            i, j = np.flatnonzero(a == d), np.flatnonzero(b == d)
-            hit[np.ix_(i, j)] = np.stack([left[k] for k in i]) @ np.stack([right[k] for k in j]).T >= threshold
-        return hit
+def _shares(placed: DataFrame, sample: DataFrame, threshold: float) -> pd.DataFrame:
+    """``node, hot, share`` of the sampled nodes that have links: the share of these inside the node's component, by brute force."""
+    drawn = sample.toPandas()
+    groups = {}
+    for (label, dim), rows in drawn.groupby(["label", "dim"]):
+        groups[label, dim] = rows["node"].to_numpy(), rows["component"].to_numpy(), np.stack(rows["unit"].tolist())
+    shared = placed.sparkSession.sparkContext.broadcast(groups)  # at most _AUDITED + _SAMPLES[-1] vectors
 
     def linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        s = shared.value
         for batch in batches:
-            hit = near(s["unit"].tolist(), batch["unit"].tolist())
-            hit &= s["label"].to_numpy()[:, None] == batch["label"].to_numpy()[None, :]
-            hit &= s["node"].to_numpy()[:, None] != batch["node"].to_numpy()[None, :]
-            r, c = np.nonzero(hit)
-            yield pd.DataFrame({"a": s["node"].to_numpy()[r], "b": batch["node"].to_numpy()[c]})
-
-    true = nodes.select("node", "label", "unit").mapInPandas(linked, "a long, b long")
-    one, two = kin.select(F.col("id").alias("a"), F.col("component").alias("ca")), kin.select(F.col("id").alias("b"), F.col("component").alias("cb"))
-    row = true.join(one, "a", "left").join(two, "b", "left").agg(F.count(F.lit(1)), F.count_if(F.col("ca") == F.col("cb"))).first()
-    return int(row[0]), int(row[1])
+            for key, rows in batch.groupby(["label", "dim"]):
+                if key not in shared.value:
+                    continue
+                node, component, x = shared.value[key]
+                true, inside = np.zeros(len(node), dtype=np.int64), np.zeros(len(node), dtype=np.int64)
+                for s in range(0, len(rows), _STEP):
+                    part = rows.iloc[s : s + _STEP]
+                    hit = x @ np.stack(part["unit"].tolist()).T >= threshold
+                    hit &= node[:, None] != part["node"].to_numpy()[None, :]
+                    true += hit.sum(axis=1)
+                    inside += (hit & (component[:, None] == part["component"].to_numpy()[None, :])).sum(axis=1)
+                some = np.flatnonzero(true)
+                yield pd.DataFrame({"node": node[some], "links": true[some], "inside": inside[some]})
+
+    found = placed.select("label", "dim", "node", "component", "unit").mapInPandas(linked, "node long, links long, inside long")
+    sums = found.groupBy("node").agg((F.sum("inside") / F.sum("links")).alias("share")).toPandas()
+    return sums.merge(drawn[["node", "hot"]], on="node")
+
+
+def audit(nodes: DataFrame, kin: DataFrame, threshold: float) -> tuple[float, bool]:
+    """The mean share of a node's links that lie inside its component, and whether enough nodes were seen to say so.
+
+    Nodes in components of more than ``_HOT`` nodes and all others are sampled apart, and the lower of the two means counts:
+    a hot group's many links do not hide what small groups miss. The sample of the others grows until ``_AUDITED`` of
+    its nodes have links or it holds all of them; where even the largest one has fewer, nothing can be said.
+    """
+    large = kin.groupBy("component").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > _HOT)
+    known = nodes.join(kin.withColumnRenamed("id", "node"), "node", "left").join(large, "component", "left")
+    placed = staged(known.select(
+        "label", F.size("unit").alias("dim"), "node", F.coalesce("component", "node").alias("component"), "unit", F.col("size").isNotNull().alias("hot")
+    ))
+    order = (F.xxhash64("node"), F.col("node"))
+    others = placed.filter("not hot").count()
+    shares, enough = None, False
+    for most in _SAMPLES:
+        sample = placed.filter("not hot").orderBy(*order).limit(most)
+        if shares is None:
+            sample = sample.unionByName(placed.filter("hot").orderBy(*order).limit(_AUDITED))
+            shares = _shares(placed, sample, threshold)
+        else:
+            shares = pd.concat([shares[shares["hot"]], _shares(placed, sample, threshold)])
+        enough = bool((~shares["hot"]).sum() >= _AUDITED or most >= others)
+        if enough:
+            break
+    return float(shares.groupby("hot")["share"].mean().min()) if len(shares) else 1.0, enough
 
 
 def near_vectors(
@@ -304,8 +335,9 @@ def near_vectors(
     ``neighbours`` nearest ones starts from leaves of random-plane trees and is refined by comparing neighbours of
     neighbours; lists whose last entry is still a link are saturated and double their length for the next round. Links of
     the graph give the components, inside which all pairs are then compared in blocks. A brute-force audit of a sample
-    measures the recall; below ``recall``, further trees are grown and the search goes on as long as each repeat halves
-    what is missed. If one does not, all pairs of a label are compared in blocks, and nothing is missed.
+    measures the recall per node, hot groups and others apart; below ``recall``, further trees are grown and the search
+    goes on as long as each repeat halves what is missed. If one does not, or links are too rare to be audited, all pairs
+    of a label are compared in blocks, and nothing is missed.
 
     Equal vectors of one label are one node and count as links of each other. Vectors that are null, zero, or hold null
     or non-finite components, rows without label and rows of different dimension link with nothing; a row without id
@@ -323,14 +355,14 @@ def near_vectors(
             found = edges.withColumn("fresh", F.lit(0)).drop("keep").unionByName(_refined(edges, nodes, limits, neighbours, most))
             edges = staged(_best(found, limits, neighbours))
         kin = staged(components(_links(edges, nodes, threshold)))
-        true, found = audit(nodes, kin, threshold)
-        if found >= recall * true:
+        share, enough = audit(nodes, kin, threshold)
+        if enough and share >= recall:
             break
-        if 1 - found / true > missed / 2:
+        if not enough or 1 - share > missed / 2:
             known = kin.select(F.col("id").alias("a"), F.col("component").alias("b"))
             kin = staged(components(known.unionByName(_missed(nodes, kin, threshold))))
             break
-        missed, repeat = 1 - found / true, repeat + 1
+        missed, repeat = 1 - share, repeat + 1
         more = _started(nodes, range(repeat * tables, (repeat + 1) * tables), most)
         edges = staged(_best(edges.drop("keep").unionByName(more), _limits(edges, threshold), neighbours))
     members = nodes.join(kin, F.col("node") == F.col("id")).select("id", "component", "copies", "unit")

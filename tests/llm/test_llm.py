@@ -278,6 +278,13 @@ def test_isolated_pairs_of_a_dense_label_are_all_found(spark):
     assert found == want
 
 
+def test_a_hot_group_does_not_hide_missed_pairs(spark):
+    found, want = _found_components(spark, _dense(100, 700, 500), neighbours=2, rounds=1, tables=1)
+    small = [i for i, w in want.items() if w[0] == 1]
+    assert len(small) >= 150 and sum(found[i] == want[i] for i in small) >= 0.99 * len(small)
+    assert all(found[i] == w for i, w in want.items() if w[0] != 1)
+
+
 def test_top_k_equals_sorting_all(spark):
     rng = np.random.default_rng(7)
     rows = [(i, [float(v) for v in np.round(rng.normal(size=6) * 3) / 3], 0) for i in range(700)]
