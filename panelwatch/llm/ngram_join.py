@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import ceil, log
 
 import numpy as np
@@ -19,6 +19,7 @@ from panelwatch.session import staged
 
 _LARGE_BUCKET = 1024
 _DEPTH = 3
+_MOST_BRANCHES = 6
 
 
 def shingles(texts: list[bytes], size: int) -> list[np.ndarray]:
@@ -44,6 +45,19 @@ def runs_for(threshold: float, recall: float) -> int:
     return max(1, ceil(log(1 - recall) / log(1 - threshold)))
 
 
+def plan(threshold: float, recall: float) -> tuple[int, int]:
+    """Runs, and branches of each split, after which a pair at the threshold has met however often its buckets were split."""
+    runs = runs_for(threshold, recall)
+    while True:
+        for branches in range(2, _MOST_BRANCHES + 1):
+            meets = 1.0
+            for _ in range(_DEPTH - 1):
+                meets = 1 - (1 - threshold * meets) ** branches
+            if (1 - threshold * meets) ** runs <= 1 - recall:
+                return runs, branches
+        runs += 1
+
+
 def near_sets(threshold: float):
     """Which sets (as bytes of sorted fingerprints) of two lists have at least this Jaccard similarity: exact."""
 
@@ -91,18 +105,20 @@ def _signed(docs: DataFrame, size: int, runs: int) -> DataFrame:
     return docs.mapInArrow(sign, f"doc_id {kind}, source binary, name binary, keys array<long>")
 
 
-def chosen_paths(sets: DataFrame, runs: int) -> DataFrame:
+def chosen_paths(sets: DataFrame, runs: int, branches: int, further: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``path, size, name``: the buckets, of two sets or more, in which sets are compared with each other.
 
     A run starts with one sampled token per set: two sets choose the same with a probability equal to their similarity.
-    Buckets that grow too large are split again by two further sampled tokens each, so a set goes down both branches and
-    similar sets meet again in one of them. Where one branch keeps over half of its bucket the members are alike and
-    more tokens would not part them: such a bucket stays whole and is compared block by block.
+    Buckets that grow too large are split again by ``branches`` further sampled tokens each, so a set goes down all
+    branches and similar sets meet again in one of them. No two branches of any run or depth share a token:
+    ``further(names)`` gives ``name, more``, the tokens of all splits, for the sets that need them. Where one branch keeps
+    over half of its bucket the members are alike and more tokens would not part them: such a bucket stays whole and is
+    compared block by block.
     """
-    rows = sets.select("name", "keys", F.posexplode("keys").alias("run", "token")).select(
-        "name", "keys", "run", F.xxhash64("run", "token").alias("path")
+    rows = sets.select("name", F.posexplode("keys").alias("slot", "token")).select(
+        "name", "slot", F.xxhash64("slot", "token").alias("path")
     )
-    ready = []
+    ready, more, first = [], None, 0
     for depth in range(_DEPTH):
         sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
         rows = staged(rows.join(sizes, "path"))
@@ -111,18 +127,20 @@ def chosen_paths(sets: DataFrame, runs: int) -> DataFrame:
         if depth == _DEPTH - 1 or large.isEmpty():
             ready.append(large.select("path", "size", "name"))
             break
-        branch = F.explode(F.array(F.lit(2 * depth + 1), F.lit(2 * depth + 2)))
-        split = large.withColumn("branch", branch).withColumn(
-            "child", F.xxhash64("path", "branch", F.get("keys", F.pmod(F.col("run") + F.col("branch"), F.lit(runs))))
-        )
+        if more is None:
+            more = staged(further(large.select("name").distinct()))
+        branch = F.explode(F.sequence(F.lit(0), F.lit(branches - 1)))
+        split = large.join(more, "name").withColumn("branch", branch).withColumn("slot", F.col("slot") * branches + F.col("branch"))
+        split = split.withColumn("child", F.xxhash64("path", "slot", F.get("more", F.col("slot") + first))).drop("more")
+        first += runs * branches ** (depth + 1)
         children = split.groupBy("path", "size", "branch", "child").agg(F.count(F.lit(1)).alias("n"))
         alike = children.groupBy("path").agg((F.max("n") > F.first("size") / 2).alias("alike"))
         marked = staged(split.join(alike, "path"))
         ready.append(marked.filter("alike").select("path", "size", "name").distinct())
-        rows = marked.filter("not alike").select("name", "keys", "run", F.col("child").alias("path")).distinct()
+        rows = marked.filter("not alike").select("name", "slot", F.col("child").alias("path"))
     out = ready[0]
-    for more in ready[1:]:
-        out = out.unionByName(more)
+    for part in ready[1:]:
+        out = out.unionByName(part)
     return out
 
 
@@ -133,14 +151,14 @@ def ngram_classes(
 
     Two rows are linked when the Jaccard similarity of their sets of ``size``-word n-grams (lower-case A-Z, words between
     white space) is at least ``threshold``. ``n_links`` counts a row's links, ``class_id`` is the smallest ``doc_id``
-    reachable by links. Candidates come from chosen paths, repeated until a pair at the threshold is met with probability
-    ``recall``; each is tested exactly. Once classes are known, all pairs inside them are counted exactly, in blocks, so
+    reachable by links. Candidates come from chosen paths, with as many runs and branches as meet a pair at the threshold
+    with probability ``recall`` over the whole path; each is tested exactly. Once classes are known, all pairs inside them are counted exactly, in blocks, so
     a link is lost only if no chain of other links joins its ends.
 
     Equal sets are one class from the start and are not expanded. Texts under ``size`` words are one n-gram; empty and
     null texts link with nothing. Rows without id get a class by their links and none if alone. Repeated rows count each.
     """
-    runs = runs_for(threshold, recall)
+    runs, branches = plan(threshold, recall)
     whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     docs = df.select(F.col(f"`{key}`").alias("doc_id"), F.unhex(F.md5(whole)).alias("source"), whole.alias("text"))
     signed = staged(_signed(docs, size, runs))
@@ -149,7 +167,12 @@ def ngram_classes(
             F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.min("source").alias("source"), F.first("keys").alias("keys")
         )
     )
-    buckets = staged(chosen_paths(sets.select("name", "keys"), runs))
+    seeds = range(1000 + runs, 1000 + runs + sum(runs * branches**d for d in range(1, _DEPTH)))
+
+    def further(names: DataFrame) -> DataFrame:
+        return _more_keys(docs, names.join(sets.select("name", "source"), "name"), size, seeds)
+
+    buckets = staged(chosen_paths(sets.select("name", "keys"), runs, branches, further))
     wanted = buckets.select("name").distinct().join(sets, "name").select("name", "source", "copies", "least")
     payload = staged(_sets_of(docs, wanted, size))
     kin = components(_links(buckets, payload, threshold))
@@ -167,6 +190,23 @@ def ngram_classes(
     )
 
 
+def _more_keys(docs: DataFrame, wanted: DataFrame, size: int, seeds: range) -> DataFrame:
+    """``name, more``: for each of ``wanted`` (``name, source``) one sampled token per seed."""
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = encoded(batch.column("text"))
+            keys = np.zeros((len(texts), len(seeds)), dtype=np.uint64)
+            for first, last in in_chunks(texts):
+                for row, found in enumerate(shingles(texts[first:last], size), first):
+                    keys[row] = [mixed(found, seed).min() for seed in seeds]
+            listed = pa.FixedSizeListArray.from_arrays(pa.array(keys.view(np.int64).ravel()), len(seeds)).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("name"), listed], names=["name", "more"])
+
+    texts = docs.select("source", "text").join(wanted, "source").dropDuplicates(["name"])
+    return texts.select("name", "text").mapInArrow(sign, "name binary, more array<long>")
+
+
 def _sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """``wanted`` (one row per set) with the set itself, made again from one of its texts."""
 

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelwatch.llm import attention, mixing, packing, pii, toxicity
+from panelwatch.llm import attention, mixing, ngram_join as joining, packing, pii, toxicity
 from panelwatch.llm.linking import components
 from panelwatch.llm.lm_scoring import score_texts
 from panelwatch.llm.ngram_join import ngram_join, one_of_each
@@ -122,6 +122,22 @@ def test_ngram_join_equals_all_pairs(spark):
     assert kept == sorted({min(least[root(i)]) if least[root(i)] else -1 for i in range(len(rows))})
 
 
+def test_ngram_join_keeps_its_recall_where_buckets_are_split(spark, monkeypatch):
+    monkeypatch.setattr(joining, "_LARGE_BUCKET", 4)
+    rng = np.random.default_rng(14)
+    rows = []
+    for i in range(600):
+        order = rng.permutation(100)
+        rows += [(2 * i, order[:50]), (2 * i + 1, order[5:55])]  # 45 of 55 words shared, all of them common in the table
+    has = np.zeros((len(rows), 100), dtype=np.int64)
+    for i, w in rows:
+        has[i, w] = 1
+    both = has @ has.T
+    links = (both / (100 - both) >= 0.8).sum(axis=1) - 1
+    found = ngram_join(docs(spark, [(i, " ".join(f"w{x}" for x in w)) for i, w in rows]), size=1).collect()
+    assert {r["doc_id"]: r["n_links"] for r in found} == dict(enumerate(links.tolist()))
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (7, 7)]
     found = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
