@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from panelwatch.llm import attention, mixing, ngram_join as joining, packing, pii, toxicity
 from panelwatch.llm.linking import components
-from panelwatch.llm.lm_scoring import score_texts
+from panelwatch.llm.lm_scoring import in_turn, score_texts
 from panelwatch.llm.ngram_join import ngram_join, one_of_each
 from panelwatch.llm.nn_descent import near_vectors
 from panelwatch.llm.subwords import Subwords, default_path
@@ -354,6 +354,14 @@ def test_attention_is_a_distribution_and_its_gradient_is_right():
         assert math.isclose((ends[0] - ends[1]) / 0.04, g[at], rel_tol=0.05, abs_tol=2e-4), name
 
 
+@pytest.mark.parametrize("rounds", [1, 2, 3])
+def test_every_window_of_every_text_is_learned_once(rounds):
+    ids = [np.arange(n) for n in (0, 1, 15, 16, 17, 100, 700, 5)]
+    _, _, ok, owner = attention.windows(ids, np.zeros(attention.END + 1, dtype=np.uint8))
+    learned = sum(in_turn(owner, len(ids), turn, rounds).astype(int) for turn in range(rounds))
+    assert (learned == 1).all() and ok[learned == 1].sum() == sum(len(x) + 1 for x in ids)
+
+
 # repeated strings
 
 
