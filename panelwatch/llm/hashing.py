@@ -76,3 +76,12 @@ def grams(word: np.ndarray, bounds: np.ndarray, offsets: tuple[int, ...], salt:
     for k, offset in enumerate(offsets):
         total = total * np.uint64(0x9E6C63D0876A9A35) + mixed(word[at + offset], 17 + k)
     return mixed(total, salt), before
+
+
+def windows(values: np.ndarray, length: int) -> np.ndarray:
+    """Fingerprints of every ``length`` consecutive values, by the place of the first."""
+    if len(values) < length:
+        return np.empty(0, dtype=np.uint64)
+    sums = np.zeros(len(values) + 1, dtype=np.uint64)
+    np.cumsum(values * _power(_BASE, len(values)), out=sums[1:])
+    return mixed((sums[length:] - sums[:-length]) * _power(_INVERSE, len(values) + 1)[: len(sums) - length], 3)
