@@ -26,7 +26,7 @@ from panelwatch.llm.tables import encoded, in_chunks
 from panelwatch.session import staged
 
 BLOCK = 128
-SHARD_BYTES, SHARD_DOCS = 1 << 24, 1 << 15
+SHARD_BYTES, SHARD_DOCS = 1 << 23, 1 << 15
 _ITEMS = 512
 _SIGN = np.ones(256, dtype=bool)
 _SIGN[[c for c in range(256) if c >= 0x80 or chr(c).isalnum() and c < 0x80]] = False

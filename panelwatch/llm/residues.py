@@ -81,5 +81,5 @@ class ResidueMatrix:
 
 def inner_products(a: ResidueMatrix, b: ResidueMatrix, rows: slice = slice(None)) -> np.ndarray:
     """Exact inner products of the chosen rows of ``a`` with all rows of ``b``, as longs."""
-    primes = moduli(a.norm * b.norm * (1 + 1e-9) + 1)
+    primes = moduli(float(a.norm) * float(b.norm) * (1 + 1e-9) + 1)
     return reconstructed([products(a.modulo(p)[rows], b.modulo(p), p) for p in primes], primes)
