@@ -15,11 +15,15 @@ _HASH_STEPS = 10_000
 METRICS = ("accuracy", "precision", "recall", "f1_score")
 
 
+def row_digest(row_id: list[str], seed: int = 42) -> Column:
+    """32 bits that depend on the row's id (as text) and the seed only."""
+    named = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in row_id], F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(named.cast("binary")), 1, 8), 16, 10).cast("long")
+
+
 def split_rows(df: DataFrame, row_id: list[str], share: float = 0.7, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """Two disjoint parts that together are ``df``; a row's part depends only on its id (as text) and the seed."""
-    named = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in row_id], F.lit(str(seed)))
-    digest = F.conv(F.substring(F.md5(named.cast("binary")), 1, 8), 16, 10).cast("long")
-    here = digest % _HASH_STEPS < int(share * _HASH_STEPS)
+    here = row_digest(row_id, seed) % _HASH_STEPS < int(share * _HASH_STEPS)
     return df.filter(here), df.filter(~here)
 
 

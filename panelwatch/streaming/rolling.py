@@ -8,7 +8,7 @@ from decimal import Decimal
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -18,15 +18,60 @@ from panelwatch.functions.exprs import finite
 from panelwatch.operators.entity import RULE_FEATURES
 
 _KEPT = 50
+_INSTANT, _MILLIS = "__instant", "__millis"
 
 
-def stream_features(stream: DataFrame, spec: PanelSpec, rules: bool = False) -> DataFrame:
+def stream_features(
+    stream: DataFrame, spec: PanelSpec, rules: bool = False, whole_rows: bool = False, forget_after: str | None = None
+) -> DataFrame:
     """(key, order columns, attributes, features, late): entity features of each arriving row.
 
     With ``rules`` the inputs of the rule detectors are computed instead. The rows of a micro-batch are put in order per
-    entity; a row older than one already seen is marked late and has no features, so that the caller can count it or
-    recompute it in batch. Limit the size of micro-batches at the source: the new rows of one entity are held together.
+    entity; a row older than one already seen, or one without a place in the order, is marked late and has no features,
+    so that the caller can count it or recompute it in batch. Limit the size of micro-batches at the source: the new rows
+    of one entity are held together.
+
+    With ``whole_rows`` the columns of ``stream`` are returned as they came, all of them, before the features.
+
+    ``forget_after``, an interval such as ``'30 days'`` of the time column, bounds the state: an entity whose newest row
+    is that much older than the newest row of the stream is forgotten. If it comes back, it starts anew. Rows as old are
+    dropped by Spark, which reports their number in the progress of the query (``numRowsDroppedByWatermark``).
     """
+    if whole_rows:
+        return _whole_rows(stream, spec, rules, forget_after)
+    return _features(stream, spec, rules, [], forget_after)
+
+
+def _whole_rows(stream: DataFrame, spec: PanelSpec, rules: bool, forget_after: str | None) -> DataFrame:
+    """Every column travels through the state function as text that its type is read back from without loss."""
+    carried = {f"__carried_{i}": f for i, f in enumerate(stream.schema)}
+    texts = [_as_text(F.col(f"`{f.name}`"), f).alias(name) for name, f in carried.items()]
+    featured = _features(stream.select("*", *texts), spec, rules, list(carried), forget_after)
+    names = [f"{a}_{s}" for a in spec.attributes for s in (RULE_FEATURES if rules else ENTITY_FEATURES)]
+    return featured.select(*[_from_text(F.col(name), f).alias(f.name) for name, f in carried.items()], *names, "late")
+
+
+def _as_text(c: Column, field: T.StructField) -> Column:
+    if isinstance(field.dataType, T.BinaryType):
+        return F.base64(c)
+    if isinstance(field.dataType, T.TimestampType):
+        return F.unix_micros(c).cast("string")
+    if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+        return F.to_json(F.struct(c.alias("v")), {"ignoreNullFields": "false"})
+    return c.cast("string")
+
+
+def _from_text(c: Column, field: T.StructField) -> Column:
+    if isinstance(field.dataType, T.BinaryType):
+        return F.unbase64(c)
+    if isinstance(field.dataType, T.TimestampType):
+        return F.timestamp_micros(c.cast("long"))
+    if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+        return F.from_json(c, T.StructType([T.StructField("v", field.dataType)]))["v"]
+    return c.cast(field.dataType)
+
+
+def _features(stream: DataFrame, spec: PanelSpec, rules: bool, carried: list[str], forget_after: str | None) -> DataFrame:
     suffixes = RULE_FEATURES if rules else ENTITY_FEATURES
     names = [f"{a}_{s}" for a in spec.attributes for s in suffixes]
     inputs = [stream.schema[c] for c in dict.fromkeys([spec.key, *spec.order])]
@@ -34,6 +79,7 @@ def stream_features(stream: DataFrame, spec: PanelSpec, rules: bool = False) ->
         [
             *inputs,
             *[T.StructField(a, T.DoubleType()) for a in spec.attributes],
+            *[T.StructField(c, T.StringType()) for c in carried],
             *[T.StructField(n, T.DoubleType()) for n in names],
             T.StructField("late", T.BooleanType()),
         ]
@@ -45,13 +91,17 @@ def stream_features(stream: DataFrame, spec: PanelSpec, rules: bool = False) ->
         for kind in ("values", "filled")
     ]
     position = [T.StructField(f"last{i}", T.StringType()) for i in range(len(spec.order))]
-    state_type = T.StructType([*arrays, *position])
+    newest = [T.StructField("newest", T.LongType())] if forget_after else []
+    state_type = T.StructType([*arrays, *position, *newest])
     column_order = [f.name for f in out]
     decoders = [_decoder(stream.schema[c].dataType) for c in spec.order]
     features = _rule_features if rules else _entity_features
     attributes, order, key = spec.attributes, spec.order, spec.key
 
     def advance(group_key, chunks: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         rows = pd.concat(list(chunks), ignore_index=True).sort_values(order, ignore_index=True)
         rows[key] = group_key[0]
         kept = state.get if state.exists else None
@@ -67,16 +117,22 @@ def stream_features(stream: DataFrame, spec: PanelSpec, rules: bool = False) ->
             for name, column in features(values, filled).items():
                 result.loc[fresh.index, f"{a}_{name}"] = column[len(old) :]
             tails += [values[-_KEPT:].tolist(), filled[-_KEPT:].tolist()]
+        last = [kept[-1]] if kept and forget_after else []
         if len(fresh):
-            state.update((*tails, *_encoded(fresh[order].iloc[-1])))
+            last = [int(fresh[_MILLIS].iloc[-1])] if forget_after else []
+            state.update((*tails, *_encoded(fresh[order].iloc[-1]), *last))
+        if last:
+            state.setTimeoutTimestamp(max(last[0], state.getCurrentWatermarkMs()) + 1)
         yield result.reindex(columns=column_order)
 
     cleaned = stream.select(
-        *[F.col(c) for c in dict.fromkeys([spec.key, *spec.order])], *[finite(a).alias(a) for a in spec.attributes]
-    )
-    return cleaned.groupBy(spec.key).applyInPandasWithState(
-        advance, out, state_type, "append", GroupStateTimeout.NoTimeout
+        *[F.col(c) for c in dict.fromkeys([spec.key, *spec.order])], *[finite(a).alias(a) for a in spec.attributes], *carried,
+        *([F.col(spec.time).cast("timestamp").alias(_INSTANT)] if forget_after else []),
     )
+    if not forget_after:
+        return cleaned.groupBy(spec.key).applyInPandasWithState(advance, out, state_type, "append", GroupStateTimeout.NoTimeout)
+    dated = cleaned.withColumn(_MILLIS, F.unix_millis(_INSTANT)).withWatermark(_INSTANT, forget_after)
+    return dated.groupBy(spec.key).applyInPandasWithState(advance, out, state_type, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def _encoded(place: pd.Series) -> list[str]:
@@ -101,15 +157,17 @@ def _decoder(kind: T.DataType) -> Callable[[str], object]:
 
 
 def _late(order: pd.DataFrame, last: list | None) -> np.ndarray:
-    """Rows at or before the last position seen."""
-    late = np.zeros(len(order), dtype=bool)
+    """Rows at or before the last position seen, or with a part of their position missing."""
+    late = order.isna().any(axis=1).to_numpy(dtype=bool)
     if last is None:
         return late
-    equal = np.ones(len(order), dtype=bool)
-    for (_, column), bound in zip(order.items(), last):
-        late |= equal & (column < bound).to_numpy(dtype=bool)
+    placed = order[~late]
+    behind, equal = np.zeros(len(placed), dtype=bool), np.ones(len(placed), dtype=bool)
+    for (_, column), bound in zip(placed.items(), last):
+        behind |= equal & (column < bound).to_numpy(dtype=bool)
         equal &= (column == bound).to_numpy(dtype=bool)
-    return late | equal
+    late[~late] = behind | equal
+    return late
 
 
 class _Frames:

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from panelwatch import Detector
 from panelwatch.functions.exprs import any_of, is_true
 from panelwatch.operators import evaluate
 from panelwatch.operators.entity import rule_features
+from panelwatch.operators.ground_truth import hybrid_truth, ml_truth, statistical_truth
+from panelwatch.operators.peers import peer_features
 from panelwatch.operators.rules import apply_rules, with_market
 from panelwatch.operators.rules import rule_flags as rule_columns
 from workloads import Workloads
 from workloads.rules import RULE_LIMITS, STRICT_LIMITS, rules_sql
-from workloads.tables import EVENTS, SUPPLIER_MONTH, num, nums, supplier_month, table, tidy
+from workloads.tables import COMPONENTS, EVENTS, SUPPLIER_MONTH, VECTORS, num, nums, supplier_month, table, tidy, vector_panel
 
 WORK = Workloads()
 
@@ -105,7 +108,67 @@ _BIG_MOVE = "abs(price_change) > 1"
     "ground_truth_statistical", f"SELECT l_suppkey, month, final_anomaly AS truth FROM ({rules_sql(STRICT_LIMITS)})"
 )
 def ground_truth_statistical(spark, folder):
-    return _verdicts(_rules(spark, folder, STRICT_LIMITS)).withColumnRenamed("flag", "truth")
+    return statistical_truth(supplier_month(spark, folder), SUPPLIER_MONTH, STRICT_LIMITS)
+
+
+_FOLDS = 3
+_FAR = 2.5
+
+# Each fold's vectors against those of the other folds: scaling, neighbours, densities and threshold are theirs alone.
+_UNSEEN_SQL = f"""
+    WITH e AS (SELECT vec_id, ('0x' || substr(md5(vec_id || '|42'), 1, 8))::BIGINT % {_FOLDS} AS fold, embedding::DOUBLE[] AS x FROM embeddings),
+         parts AS (SELECT vec_id, fold, unnest(x) AS v, unnest(range(len(x))) AS d FROM e),
+         folds AS (SELECT unnest(range({_FOLDS})) AS f),
+         q AS (SELECT f, d, quantile_cont(v, 0.5) AS m, quantile_cont(v, 0.75) - quantile_cont(v, 0.25) AS w
+               FROM parts JOIN folds ON fold <> f GROUP BY f, d),
+         s AS (SELECT f, vec_id AS id, fold, list((v - m) / CASE WHEN w = 0 THEN 1 ELSE w END ORDER BY d)::DOUBLE[64] AS x
+               FROM parts JOIN q USING (d) GROUP BY f, vec_id, fold),
+         pairs AS (SELECT a.f, a.id, a.fold = a.f AS unseen, b.id AS ref, array_distance(a.x, b.x) AS d
+                   FROM s a JOIN s b ON a.f = b.f AND b.fold <> b.f AND a.id <> b.id
+                   QUALIFY row_number() OVER (PARTITION BY a.f, a.id ORDER BY array_distance(a.x, b.x), b.id) <= 20),
+         reach AS (SELECT f, id, max(d) AS k_distance FROM pairs WHERE NOT unseen GROUP BY f, id),
+         around AS (SELECT p.f, p.id, unseen, avg(greatest(k_distance, d)) + 1e-10 AS distance
+                    FROM pairs p JOIN reach r ON p.f = r.f AND p.ref = r.id GROUP BY p.f, p.id, unseen),
+         factor AS (SELECT p.f, p.id, p.unseen, -avg(1 / n.distance) * any_value(o.distance) AS score
+                    FROM pairs p JOIN around n ON p.f = n.f AND p.ref = n.id JOIN around o ON p.f = o.f AND p.id = o.id
+                    GROUP BY p.f, p.id, p.unseen),
+         cut AS (SELECT f, quantile_cont(score, 0.1) AS cut FROM factor WHERE NOT unseen GROUP BY f),
+         verdicts AS (SELECT id AS vec_id, f::INTEGER AS fold, score, score < cut AS truth FROM factor JOIN cut USING (f) WHERE unseen)"""
+
+
+def _ml_truth(spark, folder):
+    return ml_truth(vector_panel(spark, folder), VECTORS, Detector("local_outlier_factor"), _FOLDS, COMPONENTS)
+
+
+@WORK.add("ground_truth_ml", f"{_UNSEEN_SQL} SELECT vec_id, fold, {num('score')}, truth FROM verdicts")
+def ground_truth_ml(spark, folder):
+    """The verdict on each vector of a local outlier factor fitted without its fold."""
+    return tidy(_ml_truth(spark, folder))
+
+
+@WORK.add(
+    "ground_truth_hybrid",
+    f"""{_UNSEEN_SQL}
+        SELECT vec_id, truth OR abs(z) > {_FAR} AS truth FROM verdicts
+        JOIN (SELECT vec_id, (embedding[1]::DOUBLE - m) / s AS z FROM embeddings,
+                     (SELECT avg(embedding[1]::DOUBLE) AS m, stddev_samp(embedding[1]::DOUBLE) AS s FROM embeddings)) USING (vec_id)""",
+)
+def ground_truth_hybrid(spark, folder):
+    """Flagged by the model or far from the mean in the first component."""
+    compared = peer_features(vector_panel(spark, folder), VECTORS)
+    far = compared.select("vec_id", (F.abs("x0_cross_zscore") > _FAR).alias("truth"))
+    return hybrid_truth(far, _ml_truth(spark, folder), VECTORS)
+
+
+@WORK.add("ground_truth_forest")
+def ground_truth_forest(spark, folder):
+    """Statistical, out-of-fold forest and hybrid truth of the supplier months, side by side."""
+    panel = supplier_month(spark, folder)
+    rules = statistical_truth(panel, SUPPLIER_MONTH, STRICT_LIMITS)
+    forest = ml_truth(panel, SUPPLIER_MONTH, Detector("isolation_forest", options={"n_trees": 50}))
+    both = hybrid_truth(rules, forest, SUPPLIER_MONTH)
+    named = [d.select(*_ROW_ID, F.col("truth").alias(n)) for d, n in ((rules, "statistical"), (forest, "ml"), (both, "hybrid"))]
+    return named[0].join(named[1], _ROW_ID).join(named[2], _ROW_ID)
 
 
 @WORK.add(

@@ -127,11 +127,14 @@ def entity_features_orders(spark, folder):
 
 @WORK.add(
     "entity_features_supplier_month",
-    entity_sql(SUPPLIER_MONTH_SQL, SUPPLIER_MONTH, "l_suppkey, month", "quantity_change"),
+    "SELECT * FROM "
+    + " JOIN ".join(f"({entity_sql(SUPPLIER_MONTH_SQL, SUPPLIER_MONTH, 'l_suppkey, month', a)}) {a}" for a in SUPPLIER_MONTH.attributes)
+    + " USING (l_suppkey, month)",
 )
 def entity_features_supplier_month(spark, folder):
     df = entity_features(supplier_month(spark, folder), SUPPLIER_MONTH)
-    return tidy(df.select("l_suppkey", "month", *[f"quantity_change_{s}" for s in ENTITY_FEATURES]))
+    names = [f"{a}_{s}" for a in SUPPLIER_MONTH.attributes for s in ENTITY_FEATURES]
+    return tidy(df.select("l_suppkey", "month", *names))
 
 
 @WORK.add(
@@ -194,15 +197,33 @@ def period_statistics_events(spark, folder):
     return tidy(period_statistics(events(spark, folder), EVENTS))
 
 
+def _ranked(p: float) -> str:
+    """The smallest value whose rank reaches ``p``."""
+    return f"list_sort(list(value) FILTER (WHERE value IS NOT NULL))[greatest(1, ceil({p} * count(value)))::INTEGER]"
+
+
 @WORK.add(
-    "calendar_features",
-    """SELECT event_id, hour(ts)::INTEGER AS hour, (isodow(ts) - 1)::INTEGER AS day_of_week,
+    "period_statistics_sketched",
+    f"""SELECT period, rows, {nums(*[f"value_{s}" for s in PEER_STATISTICS])} FROM (
+        SELECT {_DAY}::TIMESTAMP AS period, count(*) AS rows, avg(value) AS value_mean, stddev_samp(value) AS value_std,
+               {_ranked(0.5)} AS value_median, min(value) AS value_min, max(value) AS value_max,
+               {_ranked(0.25)} AS value_q25, {_ranked(0.75)} AS value_q75
+        FROM events GROUP BY ALL)""",
+)
+def period_statistics_sketched(spark, folder):
+    """The periods of the given tables hold fewer values than the sketch, whose ranks are then exact."""
+    return tidy(period_statistics(events(spark, folder), EVENTS, rank_error=0.0003))
+
+
+CALENDAR_SQL = """SELECT event_id, hour(ts)::INTEGER AS hour, (isodow(ts) - 1)::INTEGER AS day_of_week,
               day(ts)::INTEGER AS day_of_month, month(ts)::INTEGER AS month, quarter(ts)::INTEGER AS quarter,
               year(ts)::INTEGER AS year, (isodow(ts) >= 6)::INTEGER AS is_weekend,
               (ts::DATE = last_day(ts::DATE))::INTEGER AS is_month_end,
               (ts::DATE = last_day(ts::DATE) AND month(ts) % 3 = 0)::INTEGER AS is_quarter_end
-       FROM events""",
-)
+       FROM events"""
+
+
+@WORK.add("calendar_features", CALENDAR_SQL)
 def calendar_features_events(spark, folder):
     return calendar_features(events(spark, folder), EVENTS).drop("user_id", "ts", "value")
 

@@ -19,8 +19,9 @@ from panelwatch.operators.sweep import sweep, sweep_metrics
 from panelwatch.operators.threshold import below, contamination_threshold
 from panelwatch.session import shared_folder
 from workloads import Workloads
+from workloads.evaluation import metrics_sql
 from workloads.summaries import SCORED_ORDERS_SQL, scored_orders
-from workloads.tables import EVENTS, ORDERS, events, num, nums, orders, table, tidy
+from workloads.tables import COMPONENTS, EVENTS, ORDERS, VECTORS, events, num, nums, orders, table, tidy, vector_panel
 
 WORK = Workloads()
 
@@ -268,3 +269,28 @@ def _sweep_results(spark, folder):
 @WORK.add("algorithm_sweep")
 def algorithm_sweep(spark, folder):
     return _sweep_results(spark, folder)
+
+
+_SHARES = [0.05, 0.1, 0.2]
+_SCALED_LOF_SQL = _LOF_SQL.replace(
+    "SELECT vec_id, embedding::DOUBLE[64] AS x FROM embeddings",
+    """SELECT vec_id, list((p - m) / CASE WHEN w = 0 THEN 1 ELSE w END ORDER BY i)::DOUBLE[64] AS x
+            FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS p, unnest(range(len(embedding))) AS i FROM embeddings)
+            JOIN (SELECT i, quantile_cont(p, 0.5) AS m, quantile_cont(p, 0.75) - quantile_cont(p, 0.25) AS w
+                  FROM (SELECT unnest(embedding)::DOUBLE AS p, unnest(range(len(embedding))) AS i FROM embeddings) GROUP BY i)
+            USING (i) GROUP BY vec_id""",
+)
+
+
+@WORK.add(
+    "contamination_sweep",
+    f"""SELECT algorithm, {num("contamination")}, tn, fp, fn, tp, {nums("accuracy", "precision", "recall", "f1_score", "auc", "anomaly_rate")}
+        FROM ({metrics_sql(f"""
+            {_SCALED_LOF_SQL}, cut AS (SELECT unnest({_SHARES})::DOUBLE AS contamination,
+                                              unnest([{", ".join(f"(SELECT quantile_cont(score, {c}) FROM factor)" for c in _SHARES)}]) AS cut)
+            SELECT 'local_outlier_factor' AS algorithm, contamination, label % 2 = 1 AS truth, score < cut AS flag
+            FROM factor JOIN embeddings ON id = vec_id, cut""", "algorithm, contamination")})""",
+)
+def contamination_sweep(spark, folder):
+    """One fit of the local outlier factor on the vectors, judged at three shares."""
+    return tidy(sweep_metrics(sweep(vector_panel(spark, folder), VECTORS, ["local_outlier_factor"], _SHARES, COMPONENTS)))

@@ -15,6 +15,8 @@ EVENTS_BY_HOUR = PanelSpec(
 )
 CUSTOMERS = PanelSpec("c_nationkey", ("c_acctbal",), None, ("c_custkey",))
 SUPPLIER_MONTH = PanelSpec("l_suppkey", ("quantity_change", "price_change"), "month")
+VECTORS = PanelSpec("label", ("x0",), None, ("vec_id",), label="odd")
+COMPONENTS = [f"x{i}" for i in range(64)]
 
 SUPPLIER_MONTH_SQL = """
     SELECT l_suppkey, month,
@@ -43,6 +45,12 @@ def customers(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
 
 
+def vector_panel(spark: SparkSession, folder: str) -> DataFrame:
+    """Vectors as a panel of 64 columns; an odd label is taken as the truth."""
+    columns = [F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(COMPONENTS)]
+    return table(spark, folder, "embeddings").select("vec_id", "label", *columns, (F.col("label") % 2).alias("odd"))
+
+
 def supplier_month(spark: SparkSession, folder: str) -> DataFrame:
     """Month-on-month changes per supplier; a supplier has at most one row per month, so its window stays short."""
     month = F.date_trunc("month", "l_shipdate").cast("timestamp_ntz").alias("month")
