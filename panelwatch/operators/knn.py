@@ -1,19 +1,21 @@
 """Exact nearest neighbours of vectors.
 
-A reference set within a fixed number of bytes is sent to every task. A larger one is cut into cells around pivots
-(Lu et al., "Efficient processing of k nearest neighbor joins using MapReduce", 2012): every query first gets an upper
-bound for its k-th distance from the cells' radii, then meets only the cells that can hold something closer. Cells are
-packed in blocks of bounded size, so a dense cell becomes many blocks and no task sees all of it.
+A reference set within a fixed number of bytes is sent to every task. A larger one becomes a metric tree of two levels:
+cells around pivots (Lu et al., "Efficient processing of k nearest neighbor joins using MapReduce", 2012), and in each
+cell balls around centres of its own, so that balls stay small however many references there are. A query is compared
+with the members of the ball it lies in first. The distance of its k-th neighbour there bounds the search: by the
+triangle inequality only cells, and in them only balls, that reach into that distance are looked at. Large balls are cut
+into blocks, so no task sees all of one.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwatch.session import staged
@@ -21,6 +23,8 @@ from panelwatch.session import staged
 _BROADCAST_BYTES = 64 << 20
 _BLOCK_ROWS = 1_000
 _ROWS_PER_CELL = 20_000
+_ROWS_PER_BALL = 250
+_AT_ONCE = 20_000
 _MAX_PIVOTS = 1_024
 _HASH_RANGE = 1 << 40
 _PAIRS = "id long, ref long, distance double"
@@ -89,12 +93,12 @@ def _against_all(queries: DataFrame, refs: DataFrame, k: int, skip_self: bool) -
 
 @dataclass(frozen=True)
 class _Cells:
-    """Pivots and, for each cell: farthest member, distance of the k-th member from the pivot, number of blocks."""
+    """Pivots and, for each cell: farthest member, distance of the k-th member from the pivot, number of members."""
 
     pivots: np.ndarray
     radius: np.ndarray
     kth: np.ndarray
-    blocks: np.ndarray
+    count: np.ndarray
 
 
 def _pivot_distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -102,35 +106,30 @@ def _pivot_distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(squares, 0.0))
 
 
-def _by_cells(queries: DataFrame, refs: DataFrame, k: int, skip_self: bool, n: int) -> DataFrame:
-    placed, cells = _placed_in_cells(refs, n, k + 1 if skip_self else k)
-    blocks = (
-        placed.groupBy("cell", "block")
-        .agg(F.collect_list(F.struct("id", "x")).alias("members"))
-        .withColumnRenamed("members", "ref_members")
-    )
-    visits = (
-        _visits(queries, cells, k)
-        .groupBy("cell", "block", "chunk")
-        .agg(F.collect_list(F.struct("id", "x")).alias("members"))
-    )
+def _behind_planes(far: np.ndarray, own: np.ndarray, between: np.ndarray) -> np.ndarray:
+    """Lower bounds of the distance from each row to the points that are nearer to another centre than to its own."""
+    own_far = far[np.arange(len(own)), own]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        plane = (far**2 - own_far[:, None] ** 2) / (2 * between[own])
+    return np.where(np.isfinite(plane), plane, 0.0)
 
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for members, ref_members in zip(batch["members"], batch["ref_members"]):
-                yield _top_pairs(*_unpacked(members), *_unpacked(ref_members), k, skip_self)
 
-    pairs = visits.join(blocks, ["cell", "block"]).select("members", "ref_members").mapInPandas(search, _PAIRS)
+def _by_cells(queries: DataFrame, refs: DataFrame, k: int, skip_self: bool, n: int) -> DataFrame:
+    in_cells, cells = _placed_in_cells(refs, n, k + 1 if skip_self else k)
+    members, balls = _balls(in_cells, cells, k + 1 if skip_self else k)
+    homes = staged(_homes(queries, cells, balls))
+    first = staged(_searched(homes, members, balls, k, skip_self))
+    kth = first.groupBy("id").agg(F.when(F.count(F.lit(1)) >= k, F.max("distance")).alias("found"))
+    known = homes.join(kth, "id", "left").select(
+        "id", "x", F.col("cell").alias("home"), F.col("ball").alias("home_ball"), F.least("bound", "found").alias("bound")
+    )
+    others = _searched(_visits(known, cells, balls), members, balls, k, skip_self)
     rank = F.row_number().over(Window.partitionBy("id").orderBy("distance", "ref"))
-    return pairs.withColumn("rank", rank).filter(F.col("rank") <= k).drop("rank")
-
-
-def _unpacked(members) -> tuple[np.ndarray, np.ndarray]:
-    return np.array([m["id"] for m in members]), np.stack([m["x"] for m in members])
+    return first.unionByName(others).withColumn("rank", rank).filter(F.col("rank") <= k).drop("rank")
 
 
 def _placed_in_cells(refs: DataFrame, n: int, needed: int) -> tuple[DataFrame, _Cells]:
-    """Every reference with its cell and block, staged because statistics and blocks both read it."""
+    """Every reference with its cell, staged because several steps read it, and what is known of the cells."""
     wanted = max(2, min(_MAX_PIVOTS, n // _ROWS_PER_CELL))
     rate = min(_HASH_RANGE, 2 * wanted * _HASH_RANGE // n)
     hashed = refs.withColumn("h", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(_HASH_RANGE)))
@@ -146,52 +145,164 @@ def _placed_in_cells(refs: DataFrame, n: int, needed: int) -> tuple[DataFrame, _
                 cell = far.argmin(axis=1)
                 yield batch.assign(cell=cell.astype(np.int32), far=far[np.arange(len(cell)), cell])
 
-    in_cells = staged(
-        refs.select("id", "x").mapInPandas(assign, "id long, x array<double>, cell int, far double")
-    )
+    in_cells = staged(refs.select("id", "x").mapInPandas(assign, "id long, x array<double>, cell int, far double"))
     stats = in_cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("radius")).collect()
-    # The rank filter lets every task drop all but its nearest members of a cell before the shuffle.
-    rank = F.row_number().over(Window.partitionBy("cell").orderBy("far", "id"))
-    ranked = in_cells.select("cell", "far", rank.alias("r")).filter(F.col("r") <= needed)
-    bounds = ranked.groupBy("cell").agg(F.max(F.when(F.col("r") == needed, F.col("far"))).alias("kth")).collect()
+    bounds = _nearest_members(in_cells, ["cell"], needed).collect()
     radius, kth, count = np.zeros(len(pivots)), np.full(len(pivots), np.inf), np.zeros(len(pivots), dtype=int)
     for s in stats:
         radius[s["cell"]], count[s["cell"]] = s["radius"], s["n"]
     for b in bounds:
         kth[b["cell"]] = b["kth"] if b["kth"] is not None else np.inf
-    cells = _Cells(pivots, radius, kth, -(-count // _BLOCK_ROWS))
-    block_count = F.get(F.array(*[F.lit(int(b)) for b in cells.blocks]), F.col("cell"))
-    placed = in_cells.select("id", "x", "cell", F.pmod(F.xxhash64("id"), block_count).cast("int").alias("block"))
-    return placed, cells
+    return in_cells, _Cells(pivots, radius, kth, count)
 
 
-def _visits(queries: DataFrame, cells: _Cells, k: int) -> DataFrame:
-    """(id, x, cell, block, chunk): the blocks each query has to look at; chunks hold about a block of queries each."""
+def _nearest_members(placed: DataFrame, group: list[str], needed: int) -> DataFrame:
+    """The distance of the ``needed``-th member from the centre of its group, NULL for smaller groups."""
+    # The rank filter lets every task drop all but its nearest members of a group before the shuffle.
+    rank = F.row_number().over(Window.partitionBy(*group).orderBy("far", "id"))
+    ranked = placed.select(*group, "far", rank.alias("r")).filter(F.col("r") <= needed)
+    return ranked.groupBy(*group).agg(F.max(F.when(F.col("r") == needed, F.col("far"))).alias("kth"))
 
-    def plan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        between = _pivot_distances(cells.pivots, cells.pivots)
-        filled = cells.blocks > 0
-        for batch in batches:
-            if not len(batch):
-                continue
-            far = _pivot_distances(np.stack(batch["x"].to_numpy()), cells.pivots)
-            slack = 1e-6 * (1.0 + far.max())
-            bound = (far + cells.kth).min(axis=1) + slack
-            own = far.argmin(axis=1)
-            own_far = far[np.arange(len(own)), own]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                plane = (far**2 - own_far[:, None] ** 2) / (2 * between[own])
-            plane = np.where(np.isfinite(plane), plane, 0.0)
-            lower = np.maximum(far - cells.radius[None, :], plane)
-            row, cell = np.nonzero((lower <= bound[:, None]) & filled[None, :])
-            yield pd.DataFrame(
-                {"id": batch["id"].to_numpy()[row], "x": batch["x"].to_numpy()[row], "cell": cell.astype(np.int32)}
-            )
-
-    planned = queries.select("id", "x").mapInPandas(plan, "id long, x array<double>, cell int")
-    block_count = F.get(F.array(*[F.lit(int(b)) for b in cells.blocks]), F.col("cell"))
-    chunks = queries.count() // _BLOCK_ROWS + 1
-    return planned.select(
-        "id", "x", "cell", F.pmod(F.xxhash64("id"), F.lit(chunks)).alias("chunk"),
-        F.explode(F.sequence(F.lit(0), block_count - 1)).alias("block"),
+
+def _of_cell(values: np.ndarray) -> Column:
+    return F.get(F.array(*[F.lit(int(v)) for v in values]), F.col("cell"))
+
+
+def _beside(rows: DataFrame, counts: np.ndarray, balls: DataFrame, step: Callable, schema: str) -> DataFrame:
+    """``step(rows, balls of their cell)`` for the rows of every cell, at most about ``_AT_ONCE`` of them together."""
+    chunks = np.maximum(1, -(-counts // _AT_ONCE))
+    ours = rows.withColumn("chunk", F.pmod(F.xxhash64("id"), _of_cell(chunks)).cast("int"))
+    theirs = balls.select(*[F.col(c).alias(c) for c in balls.columns]).withColumn("chunk", F.explode(F.sequence(F.lit(0), _of_cell(chunks) - 1)))
+
+    def both(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        found = [step(left.iloc[s : s + _BLOCK_ROWS], right.sort_values("ball")) for s in range(0, len(left) if len(right) else 0, _BLOCK_ROWS)]
+        return pd.concat(found) if found else step(left.iloc[:0], right.iloc[:0])
+
+    return ours.groupBy("cell", "chunk").cogroup(theirs.groupBy("cell", "chunk")).applyInPandas(both, schema)
+
+
+def _matrix(x: pd.Series, like: pd.Series) -> np.ndarray:
+    dims = len(x.iloc[0]) if len(x) else len(like.iloc[0]) if len(like) else 0
+    return np.stack(x.to_numpy()) if len(x) else np.empty((0, dims))
+
+
+def _balls(in_cells: DataFrame, cells: _Cells, needed: int) -> tuple[DataFrame, DataFrame]:
+    """Members ``id, x, cell, ball, block`` and balls ``cell, ball, centre, radius, kth, blocks``, both staged.
+
+    Centres are the members of a cell with the least hashes, one for every ``_ROWS_PER_BALL`` of them.
+    """
+    wanted = np.clip(cells.count // max(_ROWS_PER_BALL, 4 * needed), 1, _MAX_PIVOTS)
+    # About twice as many as wanted come through the filter, or all of a small cell.
+    rates = np.minimum(_HASH_RANGE, np.where(wanted > 64, 2 * wanted * (_HASH_RANGE // np.maximum(cells.count, 1)), _HASH_RANGE))
+    h = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(_HASH_RANGE))
+    place = F.row_number().over(Window.partitionBy("cell").orderBy("h", "id"))
+    centres = staged(
+        in_cells.withColumn("h", h).filter(F.col("h") < _of_cell(rates)).withColumn("ball", place - 1)
+        .filter(F.col("ball") < _of_cell(wanted)).select("cell", "ball", F.col("x").alias("centre"))
+    )
+
+    def assign(rows: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows):
+            return pd.DataFrame({c: [] for c in ("id", "x", "cell", "ball", "far")})
+        far = _pivot_distances(_matrix(rows["x"], near["centre"]), np.stack(near["centre"].to_numpy()))
+        ball = far.argmin(axis=1)
+        return pd.DataFrame({
+            "id": rows["id"], "x": rows["x"], "cell": rows["cell"], "ball": near["ball"].to_numpy()[ball], "far": far[np.arange(len(ball)), ball],
+        })
+
+    placed = staged(_beside(in_cells.drop("far"), cells.count, centres, assign, "id long, x array<double>, cell int, ball int, far double"))
+    sizes = placed.groupBy("cell", "ball").agg(
+        F.max("far").alias("radius"), F.ceil(F.count(F.lit(1)) / F.lit(_BLOCK_ROWS)).cast("int").alias("blocks")
     )
+    nearest_ones = _nearest_members(placed, ["cell", "ball"], needed)
+    balls = staged(centres.join(sizes, ["cell", "ball"]).join(nearest_ones, ["cell", "ball"]))
+    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block")
+    members = placed.join(balls.select("cell", "ball", "blocks"), ["cell", "ball"]).select("id", "x", "cell", "ball", block)
+    return staged(members), balls
+
+
+def _homes(queries: DataFrame, cells: _Cells, balls: DataFrame) -> DataFrame:
+    """``id, x, cell, ball, bound``: the ball each query lies in, and a first bound of the distance of its k-th neighbour."""
+
+    def cell_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                far = _pivot_distances(np.stack(batch["x"].to_numpy()), cells.pivots)
+                bound = (far + cells.kth).min(axis=1)
+                yield batch.assign(cell=np.where(cells.count > 0, far, np.inf).argmin(axis=1).astype(np.int32), bound=bound)
+
+    def ball_of(rows: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows):
+            return pd.DataFrame({c: [] for c in ("id", "x", "cell", "ball", "bound")})
+        far = _pivot_distances(_matrix(rows["x"], near["centre"]), np.stack(near["centre"].to_numpy()))
+        kth = near["kth"].fillna(np.inf).to_numpy(dtype=float)
+        return pd.DataFrame({
+            "id": rows["id"], "x": rows["x"], "cell": rows["cell"], "ball": near["ball"].to_numpy()[far.argmin(axis=1)],
+            "bound": np.minimum(rows["bound"].to_numpy(), (far + kth).min(axis=1)),
+        })
+
+    placed = staged(queries.select("id", "x").mapInPandas(cell_of, "id long, x array<double>, cell int, bound double"))
+    return _beside(placed, _counts(placed, cells), balls, ball_of, "id long, x array<double>, cell int, ball int, bound double")
+
+
+def _counts(placed: DataFrame, cells: _Cells) -> np.ndarray:
+    counts = np.zeros(len(cells.pivots), dtype=int)
+    for r in placed.groupBy("cell").count().collect():
+        counts[r["cell"]] = r["count"]
+    return counts
+
+
+def _visits(known: DataFrame, cells: _Cells, balls: DataFrame) -> DataFrame:
+    """``id, x, cell, ball``: the balls that may hold a nearer neighbour than ``bound``, without the query's own."""
+
+    def slack(bound: np.ndarray, far: np.ndarray) -> np.ndarray:
+        return (bound + 1e-6 * (1.0 + far.max(initial=0.0)))[:, None]
+
+    def to_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        between, filled = _pivot_distances(cells.pivots, cells.pivots), cells.count > 0
+        for batch in batches:
+            if len(batch):
+                far = _pivot_distances(np.stack(batch["x"].to_numpy()), cells.pivots)
+                lower = np.maximum(far - cells.radius[None, :], _behind_planes(far, far.argmin(axis=1), between))
+                row, cell = np.nonzero((lower <= slack(batch["bound"].to_numpy(), far)) & filled[None, :])
+                yield batch.iloc[row].assign(cell=cell.astype(np.int32))
+
+    def to_balls(rows: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows):
+            return pd.DataFrame({c: [] for c in ("id", "x", "cell", "ball")})
+        centres, ball = np.stack(near["centre"].to_numpy()), near["ball"].to_numpy()
+        far = _pivot_distances(_matrix(rows["x"], near["centre"]), centres)
+        planes = _behind_planes(far, far.argmin(axis=1), _pivot_distances(centres, centres))
+        lower = np.maximum(far - near["radius"].to_numpy()[None, :], planes)
+        done = (rows["home"] == rows["cell"]).to_numpy()[:, None] & (rows["home_ball"].to_numpy()[:, None] == ball[None, :])
+        row, col = np.nonzero((lower <= slack(rows["bound"].to_numpy(), far)) & ~done)
+        return pd.DataFrame({"id": rows["id"].to_numpy()[row], "x": rows["x"].to_numpy()[row], "cell": rows["cell"].to_numpy()[row], "ball": ball[col]})
+
+    schema = "id long, x array<double>, home int, home_ball int, bound double, cell int"
+    planned = staged(known.select("id", "x", "home", "home_ball", "bound").mapInPandas(to_cells, schema))
+    return _beside(planned, _counts(planned, cells), balls, to_balls, "id long, x array<double>, cell int, ball int")
+
+
+def _searched(visits: DataFrame, members: DataFrame, balls: DataFrame, k: int, skip_self: bool) -> DataFrame:
+    """The k nearest members of each visited ball, block by block; about a block of queries meets a block of members."""
+    visits = staged(visits.select("id", "x", "cell", "ball"))
+    chunks = visits.groupBy("cell", "ball").agg(F.ceil(F.count(F.lit(1)) / F.lit(_BLOCK_ROWS)).cast("int").alias("chunks"))
+    sized = visits.join(chunks.join(balls.select("cell", "ball", "blocks"), ["cell", "ball"]), ["cell", "ball"])
+    asked = sized.select(
+        "cell", "ball", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
+        F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("chunk"), F.struct("id", "x").alias("member"),
+    ).groupBy("cell", "ball", "block", "chunk").agg(F.collect_list("member").alias("members"))
+    blocks = members.groupBy("cell", "ball", "block").agg(F.collect_list(F.struct("id", "x")).alias("ref_members"))
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for ours, theirs in zip(batch["members"], batch["ref_members"]):
+                yield _top_pairs(*_unpacked(ours), *_unpacked(theirs), k, skip_self)
+
+    pairs = asked.join(blocks, ["cell", "ball", "block"]).select("members", "ref_members").mapInPandas(search, _PAIRS)
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("distance", "ref"))
+    return pairs.withColumn("rank", rank).filter(F.col("rank") <= k).drop("rank")
+
+
+def _unpacked(members) -> tuple[np.ndarray, np.ndarray]:
+    return np.array([m["id"] for m in members]), np.stack([m["x"] for m in members])

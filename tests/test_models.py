@@ -107,6 +107,8 @@ def test_local_outlier_factor_with_copies_matches_brute_force(spark):
 def test_neighbours_by_cells_are_exact(spark, monkeypatch):
     monkeypatch.setattr(knn, "_ROWS_PER_CELL", 40)
     monkeypatch.setattr(knn, "_BLOCK_ROWS", 30)
+    monkeypatch.setattr(knn, "_ROWS_PER_BALL", 20)
+    monkeypatch.setattr(knn, "_AT_ONCE", 50)
     rng = np.random.default_rng(4)
     x = np.concatenate([rng.normal(size=(300, 3)), rng.normal(size=(200, 3)) * 0.1 + 6])
     df = vectors(spark, x).persist()
@@ -120,6 +122,30 @@ def test_neighbours_by_cells_are_exact(spark, monkeypatch):
     np.testing.assert_allclose(pairs[0]["distance"].to_numpy().reshape(500, 5), np.sort(d, axis=1)[:, :5])
 
 
+def test_neighbours_in_many_dimensions_spare_most_comparisons(spark, monkeypatch):
+    """Clusters in 64 dimensions, with copies and far points: rows equal brute force at a fraction of its comparisons."""
+    for name, value in (("_ROWS_PER_CELL", 400), ("_ROWS_PER_BALL", 40), ("_BLOCK_ROWS", 100)):
+        monkeypatch.setattr(knn, name, value)
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(60, 64)) * 4
+    x = np.concatenate([centres[rng.integers(0, 60, 3_900)] + rng.normal(size=(3_900, 64)) * 0.4, rng.normal(size=(60, 64)) * 20, np.tile(centres[:1], (40, 1))])
+    df = vectors(spark, x).persist()
+    compared = []
+    searched = knn._searched
+
+    def counted(visits, members, *rest):
+        sizes = members.groupBy("cell", "ball").count()
+        compared.append(visits.join(sizes, ["cell", "ball"]).agg(F.sum("count")).first()[0] or 0)
+        return searched(visits, members, *rest)
+
+    monkeypatch.setattr(knn, "_searched", counted)
+    found = nearest(df, df, 10, True, broadcast_bytes=0).toPandas().sort_values(["id", "distance", "ref"], ignore_index=True)
+    whole = nearest(df, df, 10, True).toPandas().sort_values(["id", "distance", "ref"], ignore_index=True)
+    np.testing.assert_allclose(found["distance"], whole["distance"], atol=1e-6)
+    assert found["id"].tolist() == whole["id"].tolist()
+    assert sum(compared) < 0.2 * len(x) ** 2
+
+
 def test_class_weights(spark):
     df = spark.createDataFrame([(1,), (0,), (0,), (0,), (None,)], "y int")
     assert {r["y"]: r["weight"] for r in class_weights(df, "y").collect()} == {1: 2.0, 0: 4 / 6}
