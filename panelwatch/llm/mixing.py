@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelwatch.llm.hashing import words
-from panelwatch.llm.tables import encoded, in_chunks
+from panelwatch.llm.tables import encoded, in_chunks, unused
 from panelwatch.session import staged
 
 _PRINTABLE = 95
@@ -127,10 +127,11 @@ def copies_of(rate: Column, row: Column) -> Column:
 
 
 def mixed(df: DataFrame, labels: DataFrame, targets: dict[str, float], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``df`` with every row as often as ``mix`` says."""
-    found = mix(df, labels, targets, key, text).select(F.col("row").alias("__row"), F.col("copies").alias("__copies"))
-    once = found.groupBy("__row").agg(F.first("__copies").alias("__copies"))
-    keyed = df.withColumn("__row", F.xxhash64(F.col(f"`{key}`"), F.coalesce(F.col(f"`{text}`"), F.lit(""))))
-    taken = keyed.join(once, "__row").filter("__copies > 0")
-    each = F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy")
-    return taken.select(*[F.col(f"`{c}`") for c in df.columns], each).drop("__copy")
+    """``df`` with every row as often as ``mix`` says; columns of any name are kept."""
+    row, copies, copy = (unused(df, name) for name in ("__row", "__copies", "__copy"))
+    found = mix(df, labels, targets, key, text).select(F.col("row").alias(row), F.col("copies").alias(copies))
+    once = found.groupBy(row).agg(F.first(copies).alias(copies))
+    keyed = df.withColumn(row, F.xxhash64(F.col(f"`{key}`"), F.coalesce(F.col(f"`{text}`"), F.lit(""))))
+    taken = keyed.join(once, row).filter(F.col(copies) > 0)
+    each = F.explode(F.sequence(F.lit(1), F.col(copies))).alias(copy)
+    return taken.select(*[F.col(f"`{c}`") for c in df.columns], each).drop(copy)

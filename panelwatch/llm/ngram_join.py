@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from panelwatch.llm.hashing import grams, mixed, words
 from panelwatch.llm.linking import components, in_blocks, links_within, spanning
-from panelwatch.llm.tables import encoded, in_chunks
+from panelwatch.llm.tables import encoded, in_chunks, unused
 from panelwatch.session import staged
 
 _LARGE_BUCKET = 1024
@@ -250,12 +250,16 @@ def ngram_join(df: DataFrame, **options) -> DataFrame:
 
 
 def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of ``df`` whose id names their class, and those without id that are alone; of repeated rows one."""
+    """The rows of ``df`` whose id names their class, and those without id that are alone; of repeated rows one.
+
+    Columns of any name are kept.
+    """
+    of, id_, source = (unused(df, name) for name in ("__of", "__id", "__source"))
     kept = ngram_classes(df, key, text, **options).filter(F.coalesce(F.col("class_id") == F.col("doc_id"), F.col("class_id").isNull()))
-    kept = staged(kept.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source")))
-    keyed = df.withColumn("__of", F.unhex(F.md5(F.coalesce(F.col(f"`{text}`"), F.lit("")))))
-    same = (keyed["__of"] == F.col("__source")) & keyed[key].eqNullSafe(F.col("__id"))
+    kept = staged(kept.select(F.col("doc_id").alias(id_), F.col("source").alias(source)))
+    keyed = df.withColumn(of, F.unhex(F.md5(F.coalesce(F.col(f"`{text}`"), F.lit("")))))
+    same = (keyed[of] == F.col(source)) & keyed[key].eqNullSafe(F.col(id_))
     rows = keyed.join(kept.distinct(), same, "left_semi")
-    if not kept.groupBy("__id", "__source").count().filter("count > 1").isEmpty():
-        rows = rows.dropDuplicates([key, "__of"])
-    return rows.drop("__of")
+    if not kept.groupBy(id_, source).count().filter("count > 1").isEmpty():
+        rows = rows.dropDuplicates([key, of])
+    return rows.drop(of)

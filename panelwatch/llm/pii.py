@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelwatch.llm.tables import unused
 from panelwatch.session import staged
 
 KINDS = ("email", "ip", "card", "phone")
@@ -21,10 +24,10 @@ _PATTERNS = {
 _NEEDS = {"email": "@", "ip": r"\.[0-9]", "card": "[0-9][ -]?[0-9]", "phone": r"\+[0-9]"}
 _IN_TOKEN = r"""[^\s,;"'()<>\[\]=]"""
 _TOKEN = rf"""(?<!{_IN_TOKEN})(?:(?![0-9@]){_IN_TOKEN})*+[0-9@]{_IN_TOKEN}*+"""
-_PLACED = "array<struct<value:string,start:int>>"
+_PLACED = "array<struct<value:string,start:int,before:string>>"
 _SPANS = "array<struct<kind:int,start:int,end:int>>"
 _TOKENS = "array<struct<token:string,start:int,end:int,left:string>>"
-_LEFT_CHARS = 40
+_LONG_WORD, _CHUNK = 40, 64
 
 
 def _luhn(digits: Column) -> Column:
@@ -51,21 +54,48 @@ def _valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, also where it is used inside other lambdas."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _chunks(items: Column, size: int = _CHUNK) -> Column:
+    """``items`` (a lambda variable) in pieces, so that work for each item does not go through all of them."""
+    pieces = F.transform(
+        F.sequence(F.lit(0), F.floor((F.size(items) - 1) / size).cast("int")), lambda c: F.slice(items, c * size + 1, size)
+    )
+    return F.filter(pieces, lambda piece: F.size(piece) > 0)
+
+
 def _placed(text: Column, pattern: str) -> Column:
-    """Value and start (in characters) of every match: lengths of the matches and of what lies between, added up."""
-    between = F.split(text, pattern, -1)
-    pairs = F.transform(
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
-        lambda m, i: F.struct(m.alias("m"), F.length(F.get(between, i)).alias("skipped")),
+    """Value and start (in characters) of every match, and what stands before it from the match before on.
+
+    Starts are the lengths of the matches and of what lies between, added up; the work grows with the text.
+    """
+    pairs = F.arrays_zip(
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("b")
     )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_PLACED).alias("out"))
+
+    def with_before(found: Column) -> Column:
+        return F.transform(
+            found,
+            lambda p, i: F.struct(p["m"].alias("m"), F.length(p["b"]).alias("skipped"), F.concat(F.coalesce(F.get(found, i - 1)["m"], F.lit("")), p["b"]).alias("before")),
+        )
 
     def step(acc: Column, pair: Column) -> Column:
         begin = acc["at"] + pair["skipped"]
-        found = F.struct(pair["m"].alias("value"), begin.alias("start"))
+        found = F.struct(pair["m"].alias("value"), begin.alias("start"), pair["before"].alias("before"))
         return F.struct((begin + F.length(pair["m"])).alias("at"), F.concat(acc["out"], F.array(found)).alias("out"))
 
-    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+    def chunk(acc: Column, piece: Column) -> Column:
+        start = F.struct(acc["at"].alias("at"), F.array().cast(_PLACED).alias("out"))
+        return _let(
+            F.aggregate(piece, start, step), lambda r: F.struct(r["at"].alias("at"), F.concat(acc["out"], F.array(r["out"])).alias("out"))
+        )
+
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_PLACED}>").alias("out"))
+    matched = _let(F.filter(pairs, lambda p: p["m"].isNotNull()), with_before)
+    return _let(matched, lambda found: F.aggregate(_chunks(found), begin, chunk, lambda acc: F.flatten(acc["out"])))
 
 
 def _base_of(text: Column, k: int, kind: str) -> Column:
@@ -89,21 +119,47 @@ def described(spans: Column) -> Column:
 
 
 def _tokens(text: Column) -> Column:
-    """Identifier-like tokens (with a digit or @), where they stand, and the word before."""
+    """Identifier-like tokens (with a digit or @), where they stand, and the word before (a digest of a very long one).
+
+    The word before reaches back to the token before at most.
+    """
 
     def token(m: Column) -> Column:
         value = F.regexp_replace(m["value"], r"[.:!?]+$", "")
-        first = F.greatest(m["start"] - (_LEFT_CHARS - 1), F.lit(1))
-        before = F.substring(text, first, m["start"] - first + 1)
+        left = F.lower(F.regexp_extract(m["before"], r"(\S*+)\s*$", 1))
         return F.struct(
             value.alias("token"), m["start"].alias("start"), (m["start"] + F.length(value)).alias("end"),
-            F.lower(F.regexp_extract(before, r"(\S*)\s*$", 1)).alias("left"),
+            F.when(F.length(left) < _LONG_WORD, left).otherwise(F.md5(left)).alias("left"),
         )
 
     found = F.transform(_placed(text, _TOKEN), token).cast(_TOKENS)
     return F.when(text.rlike("[0-9@]"), found).otherwise(F.array().cast(_TOKENS))
 
 
+def _with_kind(tokens: Column, base: Column) -> Column:
+    """``tokens`` with the kind of the base span each one touches, or null.
+
+    Tokens stand in order, so the spans near a piece of them are picked once for the piece, and again for its pieces.
+    """
+
+    def near(spans: Column, piece: Column) -> Column:
+        begin, end = F.get(piece, 0)["start"], F.get(piece, F.size(piece) - 1)["end"]
+        return F.filter(spans, lambda s: (s["start"] < end) & (s["end"] > begin))
+
+    def named(t: Column, spans: Column) -> Column:
+        touched = F.filter(spans, lambda s: (s["start"] < t["end"]) & (s["end"] > t["start"]))
+        return F.struct(*[t[c].alias(c) for c in ("token", "start", "end", "left")], F.get(touched, 0)["kind"].alias("kind"))
+
+    def small(piece: Column, spans: Column) -> Column:
+        return _let(near(spans, piece), lambda few: F.transform(piece, lambda t: named(t, few)))
+
+    def large(piece: Column, spans: Column) -> Column:
+        return _let(near(spans, piece), lambda some: F.flatten(F.transform(_chunks(piece), lambda part: small(part, some))))
+
+    pieces = _let(tokens, lambda all_: _chunks(all_, _CHUNK * _CHUNK))
+    return _let(base, lambda spans: F.flatten(F.transform(pieces, lambda piece: large(piece, spans))))
+
+
 def shape(token: Column) -> Column:
     """Every digit as 0 and every run of letters as a, so that identifiers built alike look alike."""
     return F.regexp_replace(F.regexp_replace(token, r"[0-9]", "0"), r"\p{L}+", "a")
@@ -165,12 +221,14 @@ def find_pii(
     """
     whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     seen = df.select(F.col(f"`{key}`").alias("doc_id"), whole.alias("text"))
-    seen = seen.select("doc_id", row_key("doc_id", "text").alias("row"), base_spans(F.col("text")).alias("base"), _tokens(F.col("text")).alias("tokens"))
-    found = staged(seen)
     base = F.col("base")
-    inside = F.filter(base, lambda s: (s["start"] < F.col("t.end")) & (s["end"] > F.col("t.start")))
-    uses = found.filter(F.size("tokens") > 0).select("row", "base", F.explode("tokens").alias("t")).select(
-        "row", "t.token", "t.left", "t.start", "t.end", F.get(inside, 0)["kind"].alias("kind")
+    tokens = _let(
+        F.struct(base_spans(F.col("text")).alias("base"), _tokens(F.col("text")).alias("tokens")),
+        lambda both: F.struct(both["base"].alias("base"), _with_kind(both["tokens"], both["base"]).alias("tokens")),
+    )
+    found = staged(seen.select("doc_id", row_key("doc_id", "text").alias("row"), tokens.alias("both")).select("doc_id", "row", "both.base", "both.tokens"))
+    uses = found.filter(F.size("tokens") > 0).select("row", F.explode("tokens").alias("t")).select(
+        "row", "t.token", "t.left", "t.start", "t.end", "t.kind"
     )
     learned = learn_instances(uses.select("token", "left", "kind"), rounds, least_support, least_score)
     added = (
@@ -195,29 +253,46 @@ def row_key(key: str, text: str) -> Column:
     return F.xxhash64(F.col(key), F.col(text))
 
 
-def redact(df: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``df`` with each span of personal data replaced by its kind in brackets; spans that overlap become one.
-
-    Only the rows that have spans are looked up by key; texts without spans, nulls among them, stay as they are.
-    """
-    found = find_pii(df, key, text, **options).filter(F.size("all_spans") > 0)
-    spans = found.groupBy(F.col("row").alias("__row")).agg(F.first("all_spans").alias("__spans"))
-    by_start = F.array_sort(F.transform("__spans", lambda s: F.struct(s["start"], s["end"], s["kind"])))
-    whole = F.col(f"`{text}`")
+def _replaced(text: Column, spans: Column) -> Column:
+    """``text`` with the spans (start, end, kind; in order of start) replaced, one piece of the text for some spans each."""
     name = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = F.array(F.substring(whole, acc["at"] + 1, s["start"] - acc["at"]), F.get(name, s["kind"]))
+    def piece_step(acc: Column, piece: Column) -> Column:
+        stop = F.greatest(acc["at"], F.array_max(F.transform(piece, lambda s: s["end"])))
+        part = F.substring(acc["rest"], F.lit(1), stop - acc["at"])
+
+        def in_part(here: Column) -> Column:
+            def step(inner: Column, s: Column) -> Column:
+                fresh = F.array(F.substring(here, inner["at"] - acc["at"] + 1, s["start"] - inner["at"]), F.get(name, s["kind"]))
+                return F.struct(
+                    F.greatest(inner["at"], s["end"]).alias("at"),
+                    F.when(s["start"] >= inner["at"], F.concat(inner["out"], fresh)).otherwise(inner["out"]).alias("out"),
+                )
+
+            start = F.struct(acc["at"].alias("at"), F.array().cast("array<string>").alias("out"))
+            return F.aggregate(piece, start, step, lambda inner: F.array_join(inner["out"], ""))
+
         return F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(s["start"] >= acc["at"], F.concat(acc["out"], fresh)).otherwise(acc["out"]).alias("out"),
+            stop.alias("at"), F.substring(acc["rest"], stop - acc["at"] + 1, F.length(acc["rest"])).alias("rest"),
+            F.concat(acc["out"], F.array(_let(part, in_part))).alias("out"),
         )
 
-    def done(acc: Column) -> Column:
-        return F.concat(F.array_join(acc["out"], ""), F.substring(whole, acc["at"] + 1, F.length(whole)))
+    begin = F.struct(F.lit(0).alias("at"), text.alias("rest"), F.array().cast("array<string>").alias("out"))
+    return F.aggregate(_chunks(spans), begin, piece_step, lambda acc: F.concat(F.array_join(acc["out"], ""), acc["rest"]))
+
+
+def redact(df: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """``df`` with each span of personal data replaced by its kind in brackets; spans that overlap become one.
 
-    clean = F.when(F.col("__spans").isNull(), whole).otherwise(F.aggregate(by_start, begin, step, done))
-    keyed = df.withColumn("__row", F.xxhash64(F.col(f"`{key}`"), F.coalesce(whole, F.lit(""))))
+    Only the rows that have spans are looked up by key; texts without spans, nulls among them, stay as they are. Columns
+    of any name are kept.
+    """
+    row, spans = unused(df, "__row"), unused(df, "__spans")
+    found = find_pii(df, key, text, **options).filter(F.size("all_spans") > 0)
+    known = found.groupBy(F.col("row").alias(row)).agg(F.first("all_spans").alias(spans))
+    by_start = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"], s["end"], s["kind"])))
+    whole = F.col(f"`{text}`")
+    clean = F.when(F.col(spans).isNull(), whole).otherwise(_let(by_start, lambda found: _replaced(whole, found)))
+    keyed = df.withColumn(row, F.xxhash64(F.col(f"`{key}`"), F.coalesce(whole, F.lit(""))))
     columns = [clean.alias(c) if c == text else F.col(f"`{c}`") for c in df.columns]
-    return keyed.join(spans, "__row", "left").select(*columns)
+    return keyed.join(known, row, "left").select(*columns)

@@ -22,6 +22,14 @@ def crc_mod(key: Column, n: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(n)), F.lit(-1))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` is called so (case does not matter)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def parts_for(spark: SparkSession, rows: int, rows_each: int) -> int:
     """Partitions for ``rows`` rows, at least as many as the session's shuffles have."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), ceil(rows / rows_each))

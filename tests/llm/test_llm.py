@@ -301,19 +301,49 @@ def test_a_hot_group_does_not_hide_missed_pairs(spark):
     assert all(found[i] == w for i, w in want.items() if w[0] != 1)
 
 
-def test_top_k_equals_sorting_all(spark):
-    rng = np.random.default_rng(7)
-    rows = [(i, [float(v) for v in np.round(rng.normal(size=6) * 3) / 3], 0) for i in range(700)]
-    rows += [(700, None, 0), (701, [float("inf")] * 6, 0), (702, [3.0e7] * 6, 0), (750, [1.0, 2.0], 0)]
-    x = {r[0]: np.floor(256 * np.array(r[1], dtype=np.float32).astype(float)) for r in rows if r[0] not in (700, 701)}
+def _plain_top_k(rows, k=5):
+    x = {}
+    for i, v, _ in sorted((r for r in rows if None not in r[:2]), key=lambda r: (r[0], r[1])):
+        if all(c is not None and math.isfinite(c) for c in v):
+            x.setdefault(i, [math.floor(256 * float(np.float32(c))) for c in v])
     want = []
     for q in x:
         if q % 50 == 0:
-            s = sorted((-int(sum(int(a) * int(b) for a, b in zip(x[q], v))), i) for i, v in x.items() if i != q and len(v) == len(x[q]))[:5]
-            want += [(q, k + 1, i, -v) for k, (v, i) in enumerate(s)]
-    for blocks in (4096, 100):
-        found = top_k_search(_vectors(spark, rows), "vec_id", "embedding", F.col("id") % 50 == 0, block_rows=blocks, query_rows=5)
-        assert sorted(map(tuple, found.collect())) == sorted(want)
+            held = {i: max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(x[q], v)))) for i, v in x.items() if i != q and len(v) == len(x[q])}
+            want += [(q, rank, i, s) for rank, (s, i) in enumerate(sorted(((s, i) for i, s in held.items()), key=lambda t: (-t[0], t[1]))[:k], 1)]
+    return sorted(want)
+
+
+@pytest.mark.parametrize("dims, block_rows", [(6, 4096), (6, 100), (768, 4096), (1024, 60)])
+def test_top_k_equals_sorting_all(spark, dims, block_rows):
+    rng = np.random.default_rng(7)
+    n = 700 if dims < 100 else 300
+    rows = [(i, [float(v) for v in np.round(rng.normal(size=dims) * 3) / 3], 0) for i in range(n)]
+    rows += [(700, None, 0), (701, [float("inf")] * dims, 0), (702, [3.0e7] * dims, 0), (703, [-3.0e7] * dims, 0), (704, [2.9e7] * dims, 0), (750, [1.0, 2.0], 0)]
+    rows += [(800, [3.0e7] * dims, 0), (50, [9.0] * dims, 0), (None, [5.0] * dims, 0), (850, [], 0), (851, [], 0), (710, [None] * dims, 0), (100, rows[100][1], 0)]
+    found = top_k_search(_vectors(spark, rows), "vec_id", "embedding", F.col("id") % 50 == 0, block_rows=block_rows, query_rows=5)
+    assert sorted(map(tuple, found.collect())) == _plain_top_k(rows)
+
+
+def test_reading_stops_early_and_known_bounds_close_blocks(monkeypatch):
+    """With a few strong candidates most scores are never completed, and a block below the bound is not searched at all."""
+    from panelwatch.llm import topk
+
+    rng = np.random.default_rng(17)
+    x = np.floor(rng.exponential(20.0, size=(3_000, 8)))
+    x[::300] += 400
+    q, ids = np.floor(rng.exponential(20.0, size=(4, 8))), np.arange(3_000)
+    completed = []
+    exact = topk.exact_scores
+    monkeypatch.setattr(topk, "exact_scores", lambda x, q: completed.append(len(x)) or exact(x, q))
+    a, b, s = topk.top_k_block(np.full(4, -1), q, ids, x, 5)
+    for i in range(4):
+        whole = (x @ q[i]).astype(int)
+        order = np.lexsort((ids, -whole))[:5]
+        assert b[a == i].tolist() == order.tolist() and s[a == i].tolist() == whole[order].tolist()
+    assert sum(completed) < 4 * 300
+    completed.clear()
+    assert len(topk.top_k_block(np.full(4, -1), q, ids, x, 5, known=np.full(4, 1e9))[0]) == 0 and sum(completed) == 0
 
 
 # language model

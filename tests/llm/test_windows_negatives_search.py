@@ -218,3 +218,20 @@ def test_empty_tables(spark):
     assert ranked_search(some, items).count() == 0
     vectors = spark.createDataFrame([], "vec_id long, label int, embedding array<float>")
     assert hard_negatives(vectors, F.col("id") % 2 == 0, F.col("label")).count() == 0
+
+
+@pytest.mark.parametrize("n", [4_000, 40_000])
+def test_personal_data_in_one_long_text(spark, n):
+    """Every identifier of a long text is found at its place, and all are replaced."""
+    from panelwatch.llm import pii
+
+    parts = [f"word{i % 7} {i}.{i % 250}.3.4" if i % 3 else f"x{i}@mail.org," for i in range(n)]
+    text = " ".join(parts)
+    base = [(k, m.start(), m.end()) for k, p in (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"))
+            for m in re.finditer(p, text) if k == "email" or all(int(x) <= 255 for x in m[0].split("."))]
+    table = docs(spark, [(1, text)])
+    row = pii.find_pii(table).first()
+    want = hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in base).encode()).hexdigest()
+    assert row["base_sha256"] == want and row["n_email"] == len(range(0, n, 3))
+    clean = pii.redact(table).first()["text"]
+    assert clean.count("[EMAIL]") == row["n_email"] and "@" not in clean
