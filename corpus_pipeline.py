@@ -12,15 +12,17 @@ from panelwatch.llm.ngram_join import one_of_each
 from panelwatch.llm.packing import pack_documents
 from panelwatch.llm.pii import redact
 from panelwatch.llm.queries import TARGETS, domains
-from panelwatch.llm.tables import crc_mod, table
+from panelwatch.llm.tables import crc_mod, table, unused
 from panelwatch.llm.toxicity import fit_toxicity, score_toxicity
 from panelwatch.session import shared_folder
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents scored under 0.5; learned from the labelled ones that are not held out."""
+    """Documents scored under 0.5, and those without a word; learned from the labelled ones that are not held out."""
     model = fit_toxicity(docs, table(spark, folder, "labels"), train=crc_mod(F.col("key"), 5) != 0)
-    return score_toxicity(docs, model, score="__score").filter("__score < 0.5").drop("__score")
+    score = unused(docs, "__score")
+    has_word = F.coalesce(F.col("text").rlike(r"\S"), F.lit(False))
+    return score_toxicity(docs, model, score=score).filter((F.col(score) < 0.5) | ~has_word).drop(score)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -29,9 +31,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataF
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Spans of personal data replaced by their kind; ``n_chars`` counts the new text."""
+    """Spans of personal data replaced by their kind; ``n_chars`` counts the new text (as it was for a null text)."""
     clean = redact(docs)
-    return clean.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in clean.columns else clean
+    if "n_chars" not in clean.columns:
+        return clean
+    return clean.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
 
 
 def mix_domains(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -52,7 +56,8 @@ STAGES = [
     ("packing", pack),
 ]
 
-# Learned scores and rates, and sampled paths, are beyond SQL; tests hold run() against a plain Python version.
+# Learned scores and rates, and sampled paths, are beyond SQL. The tests compare each stage with plain Python on its own
+# input (mixing: whole documents and their total), and run() with its stages.
 ORACLE_SQL = None
 
 
