@@ -15,6 +15,7 @@ from panelwatch.functions.exprs import is_true
 from panelwatch.operators.calendar import calendar_features
 from panelwatch.operators.entity import entity_features
 from panelwatch.operators.iforest import IsolationForest, fit_isolation_forest
+from panelwatch.operators.logistic import LinearModel
 from panelwatch.operators.lof import LocalOutlierFactor, fit_local_outlier_factor
 from panelwatch.operators.ocsvm import OneClassSvm, fit_one_class_svm
 from panelwatch.operators.peers import peer_features
@@ -183,7 +184,7 @@ class Model:
         )
 
     def _with_score(self, vectors: DataFrame) -> DataFrame:
-        if self.supervised:
+        if self.supervised and not isinstance(self.estimator, LinearModel):
             return with_probability(self.estimator, vectors, _VECTOR)
         if isinstance(self.estimator, LocalOutlierFactor):
             return self.estimator.score(vectors, _VECTOR)
@@ -200,6 +201,7 @@ class Model:
             "input_columns": list(self.input_columns),
             "threshold": self.threshold,
             "small_period": self.small_period,
+            "estimator": type(self.estimator).__name__,
             "training_stats": self.training_stats,
         }
 
@@ -227,7 +229,9 @@ class Model:
         spark.createDataFrame([(json.dumps(self.info()),)], "value string").coalesce(1).write.text(f"{path}/settings")
         self.scaler.to_table(spark).coalesce(1).write.parquet(f"{path}/scaler")
         target = f"{path}/estimator"
-        if self.supervised:
+        if isinstance(self.estimator, LinearModel):
+            self.estimator.to_table(spark).coalesce(1).write.parquet(f"{target}/linear")
+        elif self.supervised:
             self.estimator.write().save(target)
         elif isinstance(self.estimator, IsolationForest):
             nodes = spark.createDataFrame(self.estimator.nodes)
@@ -251,7 +255,7 @@ class Model:
             tuple(settings["feature_columns"]),
             tuple(settings["input_columns"]),
             Scaler.from_table(spark.read.parquet(f"{path}/scaler")),
-            _load_estimator(spark, detector.algorithm, f"{path}/estimator"),
+            _load_estimator(spark, detector.algorithm, f"{path}/estimator", settings.get("estimator")),
             settings["threshold"],
             settings["small_period"],
             settings["training_stats"],
@@ -262,10 +266,12 @@ def _replaced(model: Model, **changes) -> Model:
     return Model(**{**vars(model), **changes})
 
 
-def _load_estimator(spark: SparkSession, algorithm: str, path: str):
+def _load_estimator(spark: SparkSession, algorithm: str, path: str, kind: str | None):
     if algorithm == "random_forest":
         return RandomForestClassificationModel.load(path)
     if algorithm == "logistic_regression":
+        if kind == "LinearModel":
+            return LinearModel.from_table(spark.read.parquet(f"{path}/linear"))
         return LogisticRegressionModel.load(path)
     table = spark.read.parquet(path)
     if algorithm == "isolation_forest":

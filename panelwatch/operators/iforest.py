@@ -82,8 +82,36 @@ def fit_isolation_forest(
     n = rows.count()
     if n == 0:
         raise ValueError("no rows to fit on")
+    return grow_forest(pool_rows(rows, row_id, F.col(vector), n, n_trees, sample_rows, seed), n, n_trees, sample_rows, seed)
+
+
+def pool_rows(
+    rows: DataFrame, row_id: list[str], vector: Column, n: int, n_trees: int = 200, sample_rows: int = 256, seed: int = 42
+) -> DataFrame:
+    """``place, hash, x``: the rows of ``rows`` that are in the pool of a table of ``n`` rows.
+
+    Trees draw from the rows with the smallest hashes, enough of them that no tree has to take most of the pool; while the
+    table is not larger, the pool is the whole table. Who is in it depends on row ids and ``n`` alone, and a larger ``n``
+    only takes rows out, so the pool of a grown table lies in the old pool and the new rows.
+    """
+    placed = rows.select(
+        F.pmod(F.xxhash64(*row_id, F.lit(seed + 1)), F.lit(_HASH_RANGE)).alias("place"), F.xxhash64(*row_id, F.lit(seed)).alias("hash"), vector.alias("x")
+    )
+    return in_pool(placed, n, n_trees, sample_rows)
+
+
+def in_pool(pool: DataFrame, n: int, n_trees: int, sample_rows: int) -> DataFrame:
+    """What is left of a pool when the table has ``n`` rows."""
+    return pool.filter(F.col("place") < min(_HASH_RANGE, _pool_size(n, n_trees, sample_rows) * _HASH_RANGE // n))
+
+
+def _pool_size(n: int, n_trees: int, sample_rows: int) -> int:
+    return 2 * n_trees * min(sample_rows, n)
+
+
+def grow_forest(pool: DataFrame, n: int, n_trees: int = 200, sample_rows: int = 256, seed: int = 42) -> IsolationForest:
+    """The forest of a table of ``n`` rows from its pool."""
     size = min(sample_rows, n)
-    samples = _tree_samples(rows, row_id, vector, n, n_trees, size, seed)
     depth = _depth(size)
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -92,22 +120,13 @@ def fit_isolation_forest(
         rng = np.random.default_rng([seed, tree])
         return _grow(np.stack(pdf["x"].to_numpy()), tree, depth, rng)
 
-    nodes = samples.groupBy("tree").applyInPandas(grow, _NODE_SCHEMA).toPandas()
+    nodes = _tree_samples(pool, n, n_trees, size).groupBy("tree").applyInPandas(grow, _NODE_SCHEMA).toPandas()
     return IsolationForest(nodes, size)
 
 
-def _tree_samples(
-    rows: DataFrame, row_id: list[str], vector: str, n: int, n_trees: int, size: int, seed: int
-) -> DataFrame:
-    """(tree, place, x): about twice ``size`` rows for each tree, of which the lowest places are used.
-
-    Trees draw from a pool of the rows with the smallest hashes, large enough that no tree has to take most of it; while
-    the table is not larger than that, the pool is the whole table. Both depend on row ids alone.
-    """
-    x = F.col(vector).alias("x")
-    pool_size = 2 * n_trees * size
-    pool = F.pmod(F.xxhash64(*row_id, F.lit(seed + 1)), F.lit(_HASH_RANGE)) < min(_HASH_RANGE, pool_size * _HASH_RANGE // n)
-    rate = min(_HASH_RANGE, 2 * size * _HASH_RANGE // min(n, pool_size))
+def _tree_samples(pool: DataFrame, n: int, n_trees: int, size: int) -> DataFrame:
+    """(tree, place, x): about twice ``size`` rows for each tree, of which the lowest places are used."""
+    rate = min(_HASH_RANGE, 2 * size * _HASH_RANGE // min(n, 2 * n_trees * size))
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -118,8 +137,7 @@ def _tree_samples(
                 if len(drawn):
                     yield pd.DataFrame({"tree": tree, "place": place[drawn], "x": batch["x"].to_numpy()[drawn]})
 
-    hashed = rows.filter(pool).select(F.xxhash64(*row_id, F.lit(seed)).alias("hash"), x)
-    return hashed.mapInPandas(draw, "tree int, place long, x array<double>")
+    return pool.select("hash", "x").mapInPandas(draw, "tree int, place long, x array<double>")
 
 
 def _mixed(hashes: np.ndarray, tree: int) -> np.ndarray:

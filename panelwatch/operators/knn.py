@@ -25,6 +25,9 @@ _BLOCK_ROWS = 1_000
 _ROWS_PER_CELL = 20_000
 _ROWS_PER_BALL = 250
 _AT_ONCE = 20_000
+# Of random trees: rows of a group, levels above groups, sampled rows for each of their nodes, rows of a leaf, and queries
+# on which their result is measured.
+_GROUP_ROWS, _MOST_LEVELS, _PER_NODE, _LEAF_ROWS, _AUDITED = 50_000, 12, 16, 256, 256
 _MAX_PIVOTS = 1_024
 _HASH_RANGE = 1 << 40
 _PAIRS = "id long, ref long, distance double"
@@ -306,3 +309,107 @@ def _searched(visits: DataFrame, members: DataFrame, balls: DataFrame, k: int, s
 
 def _unpacked(members) -> tuple[np.ndarray, np.ndarray]:
     return np.array([m["id"] for m in members]), np.stack([m["x"] for m in members])
+
+
+def nearest_in_trees(
+    queries: DataFrame, refs: DataFrame, k: int, skip_self: bool = False, target: float = 0.9, trees: int = 4, most_trees: int = 64,
+    group_rows: int = _GROUP_ROWS,
+) -> tuple[DataFrame, float]:
+    """Like ``nearest``, from candidates that random trees bring together, and the share of true neighbours among them.
+
+    A tree halves the references by a random direction again and again, so rows of one leaf are near each other; every
+    leaf is searched exactly. The upper levels come from a bounded sample and deal rows out to groups; the lower ones are
+    grown inside each group. The share is measured on ``_AUDITED`` queries against all references, in one pass. ``trees``
+    more are grown until it reaches ``target``; where ``most_trees`` do not reach it, the exact search is used.
+    """
+    n = refs.count()
+    if not n:
+        return queries.sparkSession.createDataFrame([], _PAIRS), 1.0
+    depth = min(_MOST_LEVELS, max(0, (-(-n // group_rows) - 1).bit_length()))
+    h = F.pmod(F.xxhash64("id", F.lit(17)), F.lit(_HASH_RANGE))
+    sample = refs.withColumn("h", h).filter(F.col("h") < min(_HASH_RANGE, 2 * _PER_NODE * 2**depth * _HASH_RANGE // n)).select("x").toPandas()
+    if not len(sample):
+        sample = refs.limit(1).select("x").toPandas()
+    points = np.stack(sample["x"].to_numpy())
+    audited = staged(queries.select("id", "x").orderBy(F.xxhash64("id", F.lit(19)), "id").limit(_AUDITED))
+    true = staged(_audit(audited, refs, k, skip_self))
+    both = staged(
+        refs.select("id", "x", F.lit(False).alias("asks")).unionByName(queries.select("id", "x", F.lit(True).alias("asks")))
+    )
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("distance", "ref"))
+    found = None
+    for first in range(0, most_trees, trees):
+        for tree in range(first, min(first + trees, most_trees)):
+            pairs = _in_tree(both, points, tree, depth, k, skip_self)
+            found = pairs if found is None else found.unionByName(pairs)
+        # A pair may come from several trees, with the same distance.
+        best = found.groupBy("id", "ref").agg(F.min("distance").alias("distance")).withColumn("rank", rank)
+        found = staged(best.filter(F.col("rank") <= k).drop("rank"))
+        far = true.groupBy("id").agg(F.max("distance").alias("far"), F.count(F.lit(1)).alias("wanted"))
+        near = found.join(far, "id").filter(F.col("distance") <= F.col("far") * (1 + 1e-9)).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+        share = far.join(near, "id", "left").agg(F.avg(F.coalesce(F.least("n", "wanted"), F.lit(0)) / F.col("wanted"))).first()[0]
+        if share is None or share >= target:
+            return found, 1.0 if share is None else float(share)
+    return nearest(queries, refs, k, skip_self), 1.0
+
+
+def _audit(audited: DataFrame, refs: DataFrame, k: int, skip_self: bool) -> DataFrame:
+    """The true neighbours of a few queries, which every task compares with its references."""
+    local = audited.toPandas()
+    shared = refs.sparkSession.sparkContext.broadcast((local["id"].to_numpy(), _matrix(local["x"], local["x"])))
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, x = shared.value
+        for batch in batches:
+            for start in range(0, len(batch) if len(ids) else 0, _BLOCK_ROWS):
+                part = batch.iloc[start : start + _BLOCK_ROWS]
+                yield _top_pairs(ids, x, part["id"].to_numpy(), np.stack(part["x"].to_numpy()), k, skip_self)
+
+    pairs = refs.select("id", "x").mapInPandas(search, _PAIRS)
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("distance", "ref"))
+    return pairs.withColumn("rank", rank).filter(F.col("rank") <= k).drop("rank")
+
+
+def _in_tree(both: DataFrame, points: np.ndarray, tree: int, depth: int, k: int, skip_self: bool) -> DataFrame:
+    """The k nearest references of every query within its leaf of one random tree."""
+    rng = np.random.default_rng([23, tree])
+    directions = rng.normal(size=(points.shape[1], max(depth, 1)))
+    cuts = np.zeros(2**depth)
+    node, sides = np.ones(len(points), dtype=np.int64), points @ directions
+    for level in range(depth):
+        for at in range(2**level, 2 ** (level + 1)):
+            inside = sides[node == at, level]
+            cuts[at] = np.median(inside) if len(inside) else 0.0
+        node = 2 * node + (sides[:, level] > cuts[node])
+    leaf_rows = max(_LEAF_ROWS, 4 * k)
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                side = np.stack(batch["x"].to_numpy()) @ directions
+                at = np.ones(len(batch), dtype=np.int64)
+                for level in range(depth):
+                    at = 2 * at + (side[:, level] > cuts[at])
+                yield batch.assign(leaf=at)
+
+    def search(group: pd.DataFrame) -> pd.DataFrame:
+        x, ids, asks = np.stack(group["x"].to_numpy()), group["id"].to_numpy(), group["asks"].to_numpy(dtype=bool)
+        grown = np.random.default_rng([29, tree, int(group["leaf"].iloc[0])])
+        todo, found = [np.arange(len(x))], []
+        while todo:
+            members = todo.pop()
+            refs = members[~asks[members]]
+            side = x[members] @ grown.normal(size=x.shape[1])
+            right = side > np.median(side[~asks[members]]) if len(refs) else np.zeros(len(members), dtype=bool)
+            # Equal projections cannot be parted; such a leaf is searched as it is.
+            if len(refs) > leaf_rows and 0 < (right & ~asks[members]).sum():
+                todo += [members[right], members[~right]]
+                continue
+            wanted = members[asks[members]]
+            for s in range(0, len(wanted), _BLOCK_ROWS):
+                some = wanted[s : s + _BLOCK_ROWS]
+                found.append(_top_pairs(ids[some], x[some], ids[refs], x[refs], k, skip_self))
+        return pd.concat(found) if found else pd.DataFrame({"id": ids[:0], "ref": ids[:0], "distance": np.empty(0)})
+
+    dealt = both.mapInPandas(deal, "id long, x array<double>, asks boolean, leaf long")
+    return dealt.groupBy("leaf").applyInPandas(search, _PAIRS)

@@ -1,4 +1,4 @@
-"""Local outlier factor of every row against all training rows.
+"""Local outlier factor of every row against all training rows, exact or from a measured share of the neighbours.
 
 Rows with equal vectors are kept once with their number of copies, so a vector that fills a third of the table is one
 row here. What remains are joins over at most k neighbours per row.
@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelwatch.operators.knn import nearest
+from panelwatch.operators.knn import nearest, nearest_in_trees
 from panelwatch.plans.totals import numbered
 from panelwatch.session import staged
 
@@ -20,10 +20,16 @@ _FLOOR = 1e-10
 
 @dataclass(frozen=True)
 class LocalOutlierFactor:
-    """``reference``: (id, x, copies, k_distance, density, factor), one row per distinct training vector."""
+    """``reference``: (id, x, copies, k_distance, density, factor), one row per distinct training vector.
+
+    ``recall`` is the measured share of true neighbours that the training rows were given: 1 for the exact search.
+    ``target`` is the share that approximate searches aim at; without one, new rows are searched exactly.
+    """
 
     reference: DataFrame
     k: int
+    recall: float = 1.0
+    target: float | None = None
 
     def training_score(self, rows: DataFrame, vector: str) -> DataFrame:
         """Training rows with ``score``, the negative factor of each one without itself."""
@@ -32,7 +38,7 @@ class LocalOutlierFactor:
     def score(self, rows: DataFrame, vector: str) -> DataFrame:
         """``rows`` with ``score``, the negative factor of each row taken as a new point."""
         points = staged(_distinct(rows, vector, None))
-        pairs = nearest(points.select("id", "x"), self.reference.select("id", "x"), self.k)
+        pairs, _ = _neighbours(points, self.reference, self.k, False, self.target)
         known = self.reference.select(F.col("id").alias("ref"), "copies", "k_distance", "density")
         used = _with_used(pairs.join(known, "ref"), F.lit(self.k))
         n = F.sum("used")
@@ -42,6 +48,13 @@ class LocalOutlierFactor:
         return _attached(rows, vector, points.join(factors, "id"))
 
 
+def _neighbours(points: DataFrame, refs: DataFrame, k: int, skip_self: bool, target: float | None) -> tuple[DataFrame, float]:
+    points, refs = points.select("id", "x"), refs.select("id", "x")
+    if target is None:
+        return nearest(points, refs, k, skip_self), 1.0
+    return nearest_in_trees(points, refs, k, skip_self, target)
+
+
 def _plain(vector: str) -> Column:
     """The vector with -0.0 as 0.0, so that equal vectors are equal keys."""
     return F.transform(F.col(vector), lambda v: v + F.lit(0.0))
@@ -69,17 +82,25 @@ def _with_used(pairs: DataFrame, room: Column) -> DataFrame:
     return pairs.withColumn("used", F.greatest(F.lit(0), F.least(F.col("copies"), left)))
 
 
-def fit_local_outlier_factor(rows: DataFrame, vector: str, k: int = 20, row_id: str | None = None) -> LocalOutlierFactor:
+def fit_local_outlier_factor(
+    rows: DataFrame, vector: str, k: int = 20, row_id: str | None = None, approx: bool = False, recall: float = 0.9
+) -> LocalOutlierFactor:
     """Neighbours, k-distance, density and factor of every distinct vector; a row is not its own neighbour.
 
     Equal distances are settled by the smaller id; ``row_id`` names a unique integer column to take ids from.
+
+    ``approx`` takes neighbours from random trees instead of the exact search, whose work can grow with the square of
+    the rows in many dimensions. Trees are added until the share of true neighbours, measured on a few rows against all,
+    reaches ``recall``; it is reported as ``recall`` of the result.
     """
     points = staged(_distinct(rows, vector, row_id))
     total = points.agg(F.sum("copies")).first()[0] or 0
     if total < 2:
         raise ValueError("the local outlier factor needs at least two rows")
     k = min(k, total - 1)
-    pairs = nearest(points.select("id", "x"), points.select("id", "x"), k, skip_self=True)
+    target = recall if approx else None
+    pairs, share = _neighbours(points, points, k, True, target)
+    pairs = pairs if target is None else staged(pairs)
     # The other copies of a vector are its nearest neighbours, at distance 0.
     own = points.select("id", F.least(F.col("copies") - 1, F.lit(k)).alias("own"))
     copies = points.select(F.col("id").alias("ref"), "copies")
@@ -104,4 +125,4 @@ def fit_local_outlier_factor(rows: DataFrame, vector: str, k: int = 20, row_id:
         .join(around, "id", "left")
         .select("id", "x", "copies", "k_distance", "density", factor.alias("factor"))
     )
-    return LocalOutlierFactor(staged(reference), k)
+    return LocalOutlierFactor(staged(reference), k, share, target)

@@ -146,6 +146,38 @@ def test_neighbours_in_many_dimensions_spare_most_comparisons(spark, monkeypatch
     assert sum(compared) < 0.2 * len(x) ** 2
 
 
+def test_neighbours_in_trees_reach_their_share(spark):
+    rng = np.random.default_rng(8)
+    x = np.concatenate([(rng.normal(size=(12, 24)) * 3)[rng.integers(0, 12, 2_500)] + rng.normal(size=(2_500, 24)), np.ones((300, 24)) * 7])
+    new = x[:200] + rng.normal(size=(200, 24)) * 0.1
+    df, asked = vectors(spark, x).persist(), vectors(spark, new).persist()
+    for queries, points, own in ((df, x, True), (asked, new, False)):
+        pairs, share = knn.nearest_in_trees(queries, df, 8, own, target=0.95, trees=2, group_rows=400)
+        found = pairs.toPandas()
+        assert not found.duplicated(["id", "ref"]).any() and found.groupby("id").size().eq(8).all()
+        d = np.sqrt(((points[:, None] - x[None]) ** 2).sum(-1))
+        if own:
+            np.fill_diagonal(d, np.inf)
+        np.testing.assert_allclose(found["distance"], d[found["id"], found["ref"]], atol=1e-9)
+        kth = np.sort(d, axis=1)[:, 7]
+        true = (found["distance"].to_numpy() <= kth[found["id"]] + 1e-9).sum() / (8 * len(points))
+        assert share >= 0.95 and abs(true - share) < 0.05
+    exact, share = knn.nearest_in_trees(df, df, 8, True, target=1.01, trees=1, most_trees=1)
+    assert share == 1.0 and exact.count() == 8 * len(x)
+
+
+def test_approximate_outlier_factor_reports_its_recall(spark):
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.normal(size=(1_500, 16)), rng.normal(size=(20, 16)) * 6])
+    df = vectors(spark, x).persist()
+    exact, near = fit_local_outlier_factor(df, "x", 15, "id"), fit_local_outlier_factor(df, "x", 15, "id", approx=True, recall=0.95)
+    assert exact.recall == 1.0 and 0.95 <= near.recall <= 1.0
+    a, b = scores(exact.training_score(df, "x")), scores(near.training_score(df, "x"))
+    assert np.abs(a - b).mean() < 0.02 and set(np.argsort(a)[:20]) == set(np.argsort(b)[:20])
+    new = vectors(spark, rng.normal(size=(100, 16)))
+    assert np.abs(scores(exact.score(new, "x")) - scores(near.score(new, "x"))).mean() < 0.02
+
+
 def test_class_weights(spark):
     df = spark.createDataFrame([(1,), (0,), (0,), (0,), (None,)], "y int")
     assert {r["y"]: r["weight"] for r in class_weights(df, "y").collect()} == {1: 2.0, 0: 4 / 6}

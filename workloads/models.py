@@ -17,6 +17,7 @@ from panelwatch.operators.scale import Scaler
 from panelwatch.operators.supervised import class_weights
 from panelwatch.operators.sweep import sweep, sweep_metrics
 from panelwatch.operators.threshold import below, contamination_threshold
+from panelwatch.operators.update import fit_with_memory, update
 from panelwatch.session import shared_folder
 from workloads import Workloads
 from workloads.evaluation import metrics_sql
@@ -178,6 +179,37 @@ def logistic_regression_documents(spark, folder):
     return _scored(Detector("logistic_regression"), df, DOCS, _DOC_FEATURES).select("doc_id", *_VERDICT)
 
 
+def _newton_sql(steps: int) -> str:
+    """Newton steps of the balanced, penalised loss of one scaled feature, one subquery each."""
+    ctes = []
+    for i in range(steps):
+        ctes.append(f"""w{i + 1} AS (
+            SELECT a - (h22 * g1 - h12 * g2) / (h11 * h22 - h12 * h12) AS a, b - (h11 * g2 - h12 * g1) / (h11 * h22 - h12 * h12) AS b
+            FROM (SELECT any_value(a) AS a, any_value(b) AS b, sum(u * (p - y) * x) + any_value(a) AS g1, sum(u * (p - y)) AS g2,
+                         sum(u * p * (1 - p) * x * x) + 1 + 1e-9 AS h11, sum(u * p * (1 - p) * x) AS h12, sum(u * p * (1 - p)) + 1e-9 AS h22
+                  FROM (SELECT *, 1 / (1 + exp(-(a * x + b))) AS p FROM labelled, w{i})))""")
+    return f"""
+        WITH docs AS (SELECT doc_id, n_chars::DOUBLE AS n, toxic AS y FROM documents LEFT JOIN labels USING (doc_id)),
+             scaled AS (SELECT doc_id, y, (n - m) / w AS x FROM docs, (SELECT quantile_cont(n, 0.5) AS m, quantile_cont(n, 0.75) - quantile_cont(n, 0.25) AS w FROM docs)),
+             labelled AS (SELECT x, y, count(*) OVER () / (2 * count(*) OVER (PARTITION BY y)) AS u FROM scaled WHERE y IS NOT NULL),
+             w0 AS (SELECT 0::DOUBLE AS a, 0::DOUBLE AS b), {", ".join(ctes)}
+        SELECT doc_id, 1 / (1 + exp(-(a * x + b))) AS score FROM scaled, w{steps}"""
+
+
+@WORK.add(
+    "logistic_regression_newton",
+    f"""SELECT doc_id, {num("score")}, score > 0.5 AS is_anomaly, {num("score", "confidence")},
+               CASE WHEN NOT score > 0.5 THEN 'NORMAL' WHEN score > 0.8 THEN 'HIGH_CONFIDENCE_ANOMALY'
+                    WHEN score > 0.6 THEN 'MEDIUM_CONFIDENCE_ANOMALY' ELSE 'LOW_CONFIDENCE_ANOMALY' END AS indicator
+        FROM ({_newton_sql(12)})""",
+)
+def logistic_regression_newton(spark, folder):
+    """Toxicity by the length of a document: coefficients as a table, fitted by sums that can be updated."""
+    df = documents(spark, folder)
+    model, _ = fit_with_memory(Detector("logistic_regression"), df, DOCS, ["n_chars"])
+    return tidy(model.score(df).select("doc_id", *_VERDICT))
+
+
 @WORK.add("pseudo_label_documents")
 def pseudo_label_documents(spark, folder):
     """Only confirmed toxic documents carry a label, too few to learn from."""
@@ -227,6 +259,18 @@ def refit_with_new_rows(spark, folder):
     return _alike(again.score(later, history=earlier), direct.score(later, history=earlier), "o_orderkey")
 
 
+@WORK.add("forest_updated_by_memory", "SELECT doc_id, true AS alike FROM documents")
+def forest_updated_by_memory(spark, folder):
+    """Documents arrive in two parts; the forest that has seen one after the other against one of the whole table."""
+    df = documents(spark, folder)
+    detector = Detector("isolation_forest")
+    model, memory = fit_with_memory(detector, df.filter("doc_id % 3 > 0"), DOCS, _DOC_FEATURES)
+    model, _ = update(model, memory, df.filter("doc_id % 3 = 0"))
+    found = model.score(df).select("doc_id", F.col("score").alias("found"))
+    whole = detector.fit(df, DOCS, _DOC_FEATURES).score(df)
+    return whole.join(found, "doc_id", "left").select("doc_id", F.coalesce(F.abs(F.col("found") - F.col("score")) < 1e-7, F.lit(False)).alias("alike"))
+
+
 @WORK.add(
     "combined_keep_last",
     """SELECT o_orderkey, o_custkey, o_orderdate, o_totalprice FROM orders

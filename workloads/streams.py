@@ -11,9 +11,8 @@ from panelwatch.config import ENTITY_FEATURES
 from panelwatch.operators.entity import RULE_FEATURES
 from panelwatch.session import shared_folder
 from panelwatch.streaming.events import period_rates, sketched_rates, stream_entity_periods, stream_period_sketches
-from panelwatch.streaming.keyed import stream_feature_rows
+from panelwatch.streaming.keyed import score_by_state, stream_feature_rows
 from panelwatch.streaming.rolling import stream_features
-from panelwatch.streaming.score import score_stream
 from workloads import Workloads
 from workloads.features import CALENDAR_SQL, entity_sql, peer_sql, rule_sql
 from workloads.tables import EVENTS, events, num, nums, table, tidy
@@ -94,23 +93,19 @@ def stream_all_features(spark, folder):
 
 @WORK.add("stream_scores", "SELECT event_id, true AS equals_batch FROM events")
 def stream_scores(spark, folder):
-    """Events scored in several micro-batches of whole days against the same events scored as one table."""
+    """Events scored from bounded state in micro-batches of whole days against the same events scored as one table."""
     df = events(spark, folder)
     model = Detector("isolation_forest", options={"n_trees": 50}).fit(df, EVENTS)
-    arriving, out, keep = (_fresh(spark, purpose) for purpose in ("arriving", "scored", "seen"))
-    days = df.agg(F.min("ts").alias("first"), F.max("ts").alias("last")).first()
-    part = F.floor(_PARTS * F.datediff("ts", F.lit(days["first"])) / (F.datediff(F.lit(days["last"]), F.lit(days["first"])) + 1))
-    numbered = df.select("event_id", "user_id", "ts", "value", part.alias("part"))
-    for i in range(_PARTS):
-        numbered.filter(F.col("part") == i).drop("part").coalesce(1).write.mode("append").parquet(arriving)
+    out = _fresh(spark, "scored")
 
     def write(scored, batch_id):
         scored.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    stream = spark.readStream.schema(numbered.drop("part").schema).option("maxFilesPerTrigger", 1).parquet(arriving)
-    score_stream(stream, model, write, _fresh(spark, "checkpoint"), available_now=True, keep=keep).awaitTermination()
-    found = spark.read.parquet(out)
-    whole = model.score(numbered.drop("part")).select("event_id", F.col("score").alias("want"), F.col("is_anomaly").alias("flagged"))
+    score_by_state(
+        _by_days(spark, folder, df), model, write, _fresh(spark, "checkpoint"), _fresh(spark, "state"), "2 days", available_now=True
+    ).awaitTermination()
+    found = spark.read.parquet(out).filter("NOT late").select("event_id", "score", "is_anomaly")
+    whole = model.score(df).select("event_id", F.col("score").alias("want"), F.col("is_anomaly").alias("flagged"))
     same = (F.abs(F.col("score") - F.col("want")) < 1e-9) & (F.col("is_anomaly") == F.col("flagged"))
     return whole.join(found, "event_id", "left").select("event_id", F.coalesce(same, F.lit(False)).alias("equals_batch"))
 
