@@ -11,6 +11,7 @@ from panelwatch.operators.ground_truth import fold_of, hybrid_truth, ml_truth
 from panelwatch.operators.peers import peer_features, period_statistics
 from panelwatch.operators.sweep import sweep
 from panelwatch.plans.quantiles import sketch_size
+from workloads.evaluation import ground_truth_forest
 
 PANEL = PanelSpec("g", ("x",), None, ("id",), label="y")
 
@@ -51,6 +52,19 @@ def test_hybrid_truth_is_either_one(spark):
         ml_truth(a, PANEL, folds=1)
 
 
+def test_forest_truth_keeps_every_supplier_month(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    rows = [(int(s), float(rng.integers(1, 50)), float(rng.gamma(2.0, 500.0)), f"20{y}-{m:02}-10 00:00:00" if s or m > 1 else None)
+            for s in range(6) for y in (20, 21) for m in range(1, 13)]
+    lines = spark.createDataFrame(rows, "l_suppkey long, l_quantity double, l_extendedprice double, day string")
+    lines.withColumn("l_shipdate", F.col("day").cast("timestamp_ntz")).drop("day").write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = ground_truth_forest(spark, str(tmp_path)).toPandas()
+    # Supplier 0 has one group of lines without a date for the two months that are missing.
+    assert len(found) == 6 * 24 - 1 and found["month"].isna().sum() == 1 and not found.duplicated(["l_suppkey", "month"]).any()
+    assert found.notna()[["statistical", "ml", "hybrid"]].all(axis=None)
+    assert (found["hybrid"] == (found["statistical"] | found["ml"])).all() and 0 < found["ml"].sum() < len(found) / 2
+
+
 def test_a_sweep_fits_an_algorithm_once(spark, points, monkeypatch):
     fits = []
     fit_score = Detector.fit_score
