@@ -5,7 +5,8 @@ cells around pivots (Lu et al., "Efficient processing of k nearest neighbor join
 cell balls around centres of its own, so that balls stay small however many references there are. A query is compared
 with the members of the ball it lies in first. The distance of its k-th neighbour there bounds the search: by the
 triangle inequality only cells, and in them only balls, that reach into that distance are looked at. Large balls are cut
-into blocks, so no task sees all of one.
+into blocks, so no task sees all of one. Where a few queries show that most balls would have to be visited, all pairs are
+compared instead, in groups of bounded size.
 """
 
 from __future__ import annotations
@@ -25,10 +26,18 @@ _BLOCK_ROWS = 1_000
 _ROWS_PER_CELL = 20_000
 _ROWS_PER_BALL = 250
 _AT_ONCE = 20_000
+# Of comparing all pairs: references and candidate pairs at once, pairs of a task, and bytes of the queries and of the
+# references that meet in one group.
+_REF_STEP, _PAIR_STEP = 2_048, 100_000
+_TASK_PAIRS = 250_000_000
+_CHUNK_BYTES, _REF_BYTES = 24 << 20, 48 << 20
+# A search by balls goes on only if a query visits few of them, measured on some queries.
+_FEW_VISITS, _TRIED = 32, 512
 # Of random trees: rows of a group, levels above groups, sampled rows for each of their nodes, rows of a leaf, and queries
 # on which their result is measured.
 _GROUP_ROWS, _MOST_LEVELS, _PER_NODE, _LEAF_ROWS, _AUDITED = 50_000, 12, 16, 256, 256
 _MAX_PIVOTS = 1_024
+_MOST_TASKS = 8_192
 _HASH_RANGE = 1 << 40
 _PAIRS = "id long, ref long, distance double"
 
@@ -38,30 +47,54 @@ def _top_pairs(
 ) -> pd.DataFrame:
     """The k nearest references of every row, by (distance, reference id).
 
-    Squared distances from one matrix product pick candidates with a margin for rounding; those are then recomputed
-    from differences.
+    Squared distances from matrix products, a block of references at a time, pick candidates with a margin for rounding;
+    those are then recomputed from differences. The distance of the k-th neighbour found so far bounds the next blocks.
     """
     if not len(x) or not len(refs):
         return pd.DataFrame({"id": ids[:0], "ref": ref_ids[:0], "distance": np.empty(0)})
     lengths, ref_lengths = (x**2).sum(axis=1), (refs**2).sum(axis=1)
-    rough = lengths[:, None] + ref_lengths[None, :] - 2 * (x @ refs.T)
-    if skip_self:
-        rough[ids[:, None] == ref_ids[None, :]] = np.inf
-    if k < rough.shape[1]:
-        kth = np.partition(rough, k - 1, axis=1)[:, k - 1]
-        margin = 1e-10 * (lengths + ref_lengths.max() + 1e-300)
-        row, col = np.nonzero(rough <= (kth + margin)[:, None])
-    else:
-        row, col = np.nonzero(np.isfinite(rough))
-    keep = np.isfinite(rough[row, col])
-    row, col = row[keep], col[keep]
-    distance = np.sqrt(((x[row] - refs[col]) ** 2).sum(axis=1))
-    best = np.lexsort((ref_ids[col], distance, row))
-    row, col, distance = row[best], col[best], distance[best]
-    first = np.concatenate([[True], row[1:] != row[:-1]]) if len(row) else np.empty(0, dtype=bool)
-    start = np.maximum.accumulate(np.where(first, np.arange(len(row)), 0)) if len(row) else np.empty(0, dtype=int)
-    kept = np.arange(len(row)) - start < k
-    return pd.DataFrame({"id": ids[row[kept]], "ref": ref_ids[col[kept]], "distance": distance[kept]})
+    margin = 1e-10 * (lengths + ref_lengths.max() + 1e-300)
+    reach, twice = np.full(len(x), np.inf), -2.0 * x
+    best = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0)
+    found, waiting = [best], 0
+    room = np.empty((len(x), min(_REF_STEP, len(refs))))
+    for s in range(0, len(refs), _REF_STEP):
+        block = refs[s : s + _REF_STEP]
+        # Without the lengths of the rows, which the limits lack too.
+        rough = np.matmul(twice, block.T, out=room if len(block) == room.shape[1] else None)
+        rough += ref_lengths[s : s + _REF_STEP]
+        if s == 0 and k < len(refs) and k < len(block):
+            if skip_self:
+                rough[ids[:, None] == ref_ids[None, : len(block)]] = np.inf
+            reach = np.partition(rough, k - 1, axis=1)[:, k - 1] + lengths
+        at = np.flatnonzero((rough <= (reach + margin - lengths)[:, None]).ravel())
+        at = at[np.isfinite(rough.ravel()[at])]
+        row, col = np.divmod(at, len(block))
+        col += s
+        if skip_self:
+            others = ids[row] != ref_ids[col]
+            row, col = row[others], col[others]
+        for c in range(0, len(row), _PAIR_STEP):
+            part = slice(c, c + _PAIR_STEP)
+            found.append((row[part], col[part], np.sqrt(((x[row[part]] - refs[col[part]]) ** 2).sum(axis=1))))
+        waiting += len(row)
+        if waiting >= k * len(x) or s + _REF_STEP >= len(refs):
+            best = _first_k(*[np.concatenate(f) for f in zip(*found)], ref_ids, k)
+            found, waiting = [best], 0
+            row, _, distance = best
+            full = np.flatnonzero(np.bincount(row, minlength=len(x)) == k)
+            if len(full):
+                reach[full] = np.minimum(reach[full], distance[np.searchsorted(row, full, side="right") - 1] ** 2)
+    row, col, distance = best
+    return pd.DataFrame({"id": ids[row], "ref": ref_ids[col], "distance": distance})
+
+
+def _first_k(row: np.ndarray, col: np.ndarray, distance: np.ndarray, ref_ids: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """The first ``k`` pairs of every row, sorted by (row, distance, reference id)."""
+    order = np.lexsort((ref_ids[col], distance, row))
+    row, col, distance = row[order], col[order], distance[order]
+    kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[kept], col[kept], distance[kept]
 
 
 def nearest(
@@ -76,22 +109,56 @@ def nearest(
         return queries.sparkSession.createDataFrame([], _PAIRS)
     if size["n"] * size["d"] * 8 <= broadcast_bytes:
         return _against_all(queries, refs, k, skip_self)
-    return _by_cells(queries, refs, k, skip_self, size["n"])
+    return _by_cells(queries, refs, k, skip_self, size["n"], size["d"])
 
 
 def _against_all(queries: DataFrame, refs: DataFrame, k: int, skip_self: bool) -> DataFrame:
+    """Every query against all references; the queries are dealt out so that the work of a task does not grow."""
     local = refs.select("id", "x").orderBy("id").toPandas()
     shared = queries.sparkSession.sparkContext.broadcast((local["id"].to_numpy(), np.stack(local["x"].to_numpy())))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ref_ids, matrix = shared.value
-        step = max(1, 4_000_000 // len(ref_ids))
         for batch in batches:
-            for start in range(0, len(batch), step):
-                part = batch.iloc[start : start + step]
+            for start in range(0, len(batch), _BLOCK_ROWS):
+                part = batch.iloc[start : start + _BLOCK_ROWS]
                 yield _top_pairs(part["id"].to_numpy(), np.stack(part["x"].to_numpy()), ref_ids, matrix, k, skip_self)
 
-    return queries.select("id", "x").mapInPandas(search, _PAIRS)
+    tasks = -(-queries.count() * len(local) // _TASK_PAIRS)
+    return queries.select("id", "x").repartition(max(1, tasks)).mapInPandas(search, _PAIRS)
+
+
+def _by_blocks(queries: DataFrame, refs: DataFrame, k: int, skip_self: bool, n: int, dims: int) -> DataFrame:
+    """All pairs, where nothing can be ruled out: chunks of queries meet blocks of references, each pair of them once.
+
+    The work grows with the product of both tables, but that of a group does not, and every group is a task of its own.
+    """
+    chunks, blocks = _grid(queries.count(), n, dims)
+    tasks = min(4 * chunks * blocks, _MOST_TASKS)  # more than groups, so that few of them share a task
+    part = F.xxhash64("id", "x", F.lit(13))
+    ours = queries.select("id", "x", F.pmod(part, F.lit(chunks)).cast("int").alias("chunk"), _each(blocks).alias("block"))
+    theirs = refs.select("id", "x", _each(chunks).alias("chunk"), F.pmod(part, F.lit(blocks)).cast("int").alias("block"))
+
+    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        ids, x, ref_ids, matrix = left["id"].to_numpy(), _matrix(left["x"], right["x"]), right["id"].to_numpy(), _matrix(right["x"], left["x"])
+        steps = range(0, max(1, len(left)), _BLOCK_ROWS)
+        return pd.concat([_top_pairs(ids[s : s + _BLOCK_ROWS], x[s : s + _BLOCK_ROWS], ref_ids, matrix, k, skip_self) for s in steps])
+
+    def dealt(df: DataFrame):
+        return df.repartition(tasks, "chunk", "block").groupBy("chunk", "block")
+
+    pairs = dealt(ours).cogroup(dealt(theirs)).applyInPandas(search, _PAIRS)
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("distance", "ref"))
+    return pairs.withColumn("rank", rank).filter(F.col("rank") <= k).drop("rank")
+
+
+def _each(n: int) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+
+def _grid(n_queries: int, n_refs: int, dims: int) -> tuple[int, int]:
+    """In how many chunks of queries and blocks of references all pairs are dealt out."""
+    return max(1, -(-n_queries * dims * 8 // _CHUNK_BYTES)), max(1, -(-n_refs * dims * 8 // _REF_BYTES))
 
 
 @dataclass(frozen=True)
@@ -117,7 +184,7 @@ def _behind_planes(far: np.ndarray, own: np.ndarray, between: np.ndarray) -> np.
     return np.where(np.isfinite(plane), plane, 0.0)
 
 
-def _by_cells(queries: DataFrame, refs: DataFrame, k: int, skip_self: bool, n: int) -> DataFrame:
+def _by_cells(queries: DataFrame, refs: DataFrame, k: int, skip_self: bool, n: int, dims: int) -> DataFrame:
     in_cells, cells = _placed_in_cells(refs, n, k + 1 if skip_self else k)
     members, balls = _balls(in_cells, cells, k + 1 if skip_self else k)
     homes = staged(_homes(queries, cells, balls))
@@ -126,6 +193,8 @@ def _by_cells(queries: DataFrame, refs: DataFrame, k: int, skip_self: bool, n: i
     known = homes.join(kth, "id", "left").select(
         "id", "x", F.col("cell").alias("home"), F.col("ball").alias("home_ball"), F.least("bound", "found").alias("bound")
     )
+    if _visits_of_each(known, cells, balls) > max(_FEW_VISITS, 2 * sum(_grid(queries.count(), n, dims))):
+        return _by_blocks(queries, refs, k, skip_self, n, dims)
     others = _searched(_visits(known, cells, balls), members, balls, k, skip_self)
     rank = F.row_number().over(Window.partitionBy("id").orderBy("distance", "ref"))
     return first.unionByName(others).withColumn("rank", rank).filter(F.col("rank") <= k).drop("rank")
@@ -286,6 +355,12 @@ def _visits(known: DataFrame, cells: _Cells, balls: DataFrame) -> DataFrame:
     return _beside(planned, _counts(planned, cells), balls, to_balls, "id long, x array<double>, cell int, ball int")
 
 
+def _visits_of_each(known: DataFrame, cells: _Cells, balls: DataFrame) -> float:
+    """How many balls a query has to visit, in the mean over about ``_TRIED`` of them."""
+    tried = staged(known.orderBy(F.xxhash64("id", F.lit(31))).limit(_TRIED))
+    return _visits(tried, cells, balls).count() / max(1, tried.count())
+
+
 def _searched(visits: DataFrame, members: DataFrame, balls: DataFrame, k: int, skip_self: bool) -> DataFrame:
     """The k nearest members of each visited ball, block by block; about a block of queries meets a block of members."""
     visits = staged(visits.select("id", "x", "cell", "ball"))

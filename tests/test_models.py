@@ -146,6 +146,32 @@ def test_neighbours_in_many_dimensions_spare_most_comparisons(spark, monkeypatch
     assert sum(compared) < 0.2 * len(x) ** 2
 
 
+def test_neighbours_without_clusters_are_compared_in_bounded_groups(spark, monkeypatch):
+    """Where no ball can be ruled out, no query is sent to every ball; neither way has a task of more than its pairs."""
+    sizes = {"_ROWS_PER_CELL": 200, "_ROWS_PER_BALL": 10, "_BLOCK_ROWS": 64, "_REF_STEP": 50, "_FEW_VISITS": 4, "_TRIED": 64}
+    for name, value in (sizes | {"_CHUNK_BYTES": 450 * 64 * 8, "_REF_BYTES": 300 * 64 * 8, "_TASK_PAIRS": 150 * 200}).items():
+        monkeypatch.setattr(knn, name, value)
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(900, 64))
+    x[100:140] = x[0]
+    df, new = vectors(spark, x).coalesce(1).persist(), vectors(spark, rng.normal(size=(333, 64))).coalesce(1).persist()
+    visits, searched, asked = knn._visits, knn._searched, []
+    monkeypatch.setattr(knn, "_visits", lambda known, *rest: asked.append(known.count()) or visits(known, *rest))
+    monkeypatch.setattr(knn, "_searched", lambda homes, *rest: asked.append("homes") or searched(homes, *rest))
+    for queries, points, own in ((df, x, True), (new, np.array([r["x"] for r in new.orderBy("id").collect()]), False)):
+        d = np.sqrt(((points[:, None] - x[None]) ** 2).sum(-1))
+        if own:
+            np.fill_diagonal(d, np.inf)
+        want = np.argsort(np.round(d, 9), axis=1, kind="stable")[:, :12]
+        pairs = {size: nearest(queries, df, 12, own, broadcast_bytes=size) for size in (1 << 20, 0)}
+        assert pairs[1 << 20].rdd.getNumPartitions() == -(-len(points) * len(x) // (150 * 200))
+        for found in pairs.values():
+            found = found.toPandas().sort_values(["id", "distance", "ref"], ignore_index=True)
+            np.testing.assert_allclose(found["distance"].to_numpy().reshape(-1, 12), np.take_along_axis(d, want, 1), atol=1e-9)
+            assert found["ref"].tolist() == want.ravel().tolist()
+    assert asked == ["homes", 64, "homes", 64]
+
+
 def test_neighbours_in_trees_reach_their_share(spark):
     rng = np.random.default_rng(8)
     x = np.concatenate([(rng.normal(size=(12, 24)) * 3)[rng.integers(0, 12, 2_500)] + rng.normal(size=(2_500, 24)), np.ones((300, 24)) * 7])
