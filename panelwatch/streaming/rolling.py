@@ -18,7 +18,7 @@ from panelwatch.functions.exprs import finite
 from panelwatch.operators.entity import RULE_FEATURES
 
 _KEPT = 50
-_INSTANT, _MILLIS = "__instant", "__millis"
+_INSTANT, _MILLIS, _FEATURES = "__instant", "__millis", "__features"
 
 
 def stream_features(
@@ -77,10 +77,10 @@ def _features(stream: DataFrame, spec: PanelSpec, rules: bool, carried: list[str
     inputs = [stream.schema[c] for c in dict.fromkeys([spec.key, *spec.order])]
     out = T.StructType(
         [
-            *inputs,
-            *[T.StructField(a, T.DoubleType()) for a in spec.attributes],
+            *([] if carried else inputs),
+            *([] if carried else [T.StructField(a, T.DoubleType()) for a in spec.attributes]),
             *[T.StructField(c, T.StringType()) for c in carried],
-            *[T.StructField(n, T.DoubleType()) for n in names],
+            T.StructField(_FEATURES, T.ArrayType(T.DoubleType())),
             T.StructField("late", T.BooleanType()),
         ]
     )
@@ -102,40 +102,65 @@ def _features(stream: DataFrame, spec: PanelSpec, rules: bool, carried: list[str
         if state.hasTimedOut:
             state.remove()
             return
-        rows = pd.concat(list(chunks), ignore_index=True).sort_values(order, ignore_index=True)
-        rows[key] = group_key[0]
+        parts = list(chunks)
+        rows = _sorted(parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True), order)
         kept = state.get if state.exists else None
-        rows["late"] = _late(rows[order], [d(t) for d, t in zip(decoders, kept[len(arrays) :])] if kept else None)
-        fresh, result = rows[~rows["late"]], rows.copy()
+        late = _late(rows[order], [d(t) for d, t in zip(decoders, kept[len(arrays) :])] if kept else None)
+        fresh = np.flatnonzero(~late)
+        # Plain arrays and few columns: there are as many calls as entities, and a step on a frame or a column of it costs
+        # as much as a feature.
+        result = {c: rows[c].array for c in column_order if c in rows.columns} | {key: group_key[0], "late": late}
+        matrix = np.full((len(rows), len(names)), np.nan)
         tails = []
         for i, a in enumerate(attributes):
             old = np.array(kept[2 * i], dtype=float) if kept else np.empty(0)
             old_filled = np.array(kept[2 * i + 1], dtype=float) if kept else np.empty(0)
-            values = np.concatenate([old, fresh[a].to_numpy(dtype=float)])
-            new = pd.Series(np.concatenate([old_filled[-1:], fresh[a].to_numpy(dtype=float)])).ffill()
-            filled = np.concatenate([old_filled, new.to_numpy()[len(old_filled[-1:]) :]])
-            for name, column in features(values, filled).items():
-                result.loc[fresh.index, f"{a}_{name}"] = column[len(old) :]
+            arrived = rows[a].to_numpy(dtype=float)[fresh]
+            values = np.concatenate([old, arrived])
+            filled = np.concatenate([old_filled, _filled(np.concatenate([old_filled[-1:], arrived]))[len(old_filled[-1:]) :]])
+            if len(fresh):
+                found = features(values, filled)
+                for j, name in enumerate(suffixes, i * len(suffixes)):
+                    matrix[fresh, j] = found[name][len(old) :]
             tails += [values[-_KEPT:].tolist(), filled[-_KEPT:].tolist()]
         last = [kept[-1]] if kept and forget_after else []
         if len(fresh):
-            last = [int(fresh[_MILLIS].iloc[-1])] if forget_after else []
-            state.update((*tails, *_encoded(fresh[order].iloc[-1]), *last))
+            last = [int(rows[_MILLIS].iloc[fresh[-1]])] if forget_after else []
+            state.update((*tails, *_encoded([rows[c].iloc[fresh[-1]] for c in order]), *last))
         if last:
             state.setTimeoutTimestamp(max(last[0], state.getCurrentWatermarkMs()) + 1)
-        yield result.reindex(columns=column_order)
+        result[_FEATURES] = list(matrix)
+        yield pd.DataFrame({c: result[c] for c in column_order}, index=pd.RangeIndex(len(rows)), copy=False)
 
     cleaned = stream.select(
         *[F.col(c) for c in dict.fromkeys([spec.key, *spec.order])], *[finite(a).alias(a) for a in spec.attributes], *carried,
         *([F.col(spec.time).cast("timestamp").alias(_INSTANT)] if forget_after else []),
     )
+    known = [F.when(~F.isnan(F.col(_FEATURES)[i]), F.col(_FEATURES)[i]).alias(n) for i, n in enumerate(names)]
+    shown = [*[F.col(f"`{c}`") for c in column_order if c not in (_FEATURES, "late")], *known, "late"]
     if not forget_after:
-        return cleaned.groupBy(spec.key).applyInPandasWithState(advance, out, state_type, "append", GroupStateTimeout.NoTimeout)
+        return cleaned.groupBy(spec.key).applyInPandasWithState(advance, out, state_type, "append", GroupStateTimeout.NoTimeout).select(*shown)
     dated = cleaned.withColumn(_MILLIS, F.unix_millis(_INSTANT)).withWatermark(_INSTANT, forget_after)
-    return dated.groupBy(spec.key).applyInPandasWithState(advance, out, state_type, "append", GroupStateTimeout.EventTimeTimeout)
+    return dated.groupBy(spec.key).applyInPandasWithState(advance, out, state_type, "append", GroupStateTimeout.EventTimeTimeout).select(*shown)
 
 
-def _encoded(place: pd.Series) -> list[str]:
+def _sorted(rows: pd.DataFrame, order: list[str]) -> pd.DataFrame:
+    if len(rows) == 1:
+        return rows
+    columns = [rows[c] for c in order]
+    if not all(isinstance(c.dtype, np.dtype) and c.dtype.kind in "iufM" for c in columns):
+        return rows.sort_values(order, ignore_index=True)
+    at = np.lexsort([c.to_numpy() for c in reversed(columns)])
+    return rows.take(at).reset_index(drop=True)
+
+
+def _filled(v: np.ndarray) -> np.ndarray:
+    """Missing values as the known value before, if there is one."""
+    at = np.where(np.isnan(v), 0, np.arange(len(v)))
+    return v[np.maximum.accumulate(at)]
+
+
+def _encoded(place: list) -> list[str]:
     """The order values as text that ``_decoder`` of their type reads back without loss."""
     return [v.isoformat() if isinstance(v, (pd.Timestamp, date)) else str(v) for v in place]
 
@@ -158,10 +183,12 @@ def _decoder(kind: T.DataType) -> Callable[[str], object]:
 
 def _late(order: pd.DataFrame, last: list | None) -> np.ndarray:
     """Rows at or before the last position seen, or with a part of their position missing."""
-    late = order.isna().any(axis=1).to_numpy(dtype=bool)
+    late = np.zeros(len(order), dtype=bool)
+    for _, column in order.items():
+        late |= column.isna().to_numpy(dtype=bool)
     if last is None:
         return late
-    placed = order[~late]
+    placed = order[~late] if late.any() else order
     behind, equal = np.zeros(len(placed), dtype=bool), np.ones(len(placed), dtype=bool)
     for (_, column), bound in zip(placed.items(), last):
         behind |= equal & (column < bound).to_numpy(dtype=bool)
