@@ -169,6 +169,17 @@ def test_an_entity_that_returns_after_it_was_forgotten_starts_anew(spark, tmp_pa
     assert found.loc[50, "v_ma_5"] == 8.0 and found.loc[50, "v_change"] == 0.0 and not found["late"].any()
 
 
+def test_order_of_whole_and_broken_numbers_is_remembered(spark, tmp_path):
+    """The newest position of an entity is kept by column, so a whole number stays one beside a broken one."""
+    frames = [[(1.0, 1, 0.5, 2.0), (1.0, 2, 0.5, 4.0)], [(1.0, 2, 0.75, None), (1.0, 2, 0.25, 9.0), (1.0, 3, 0.5, 8.0)]]
+    stream = one_file_each(spark, str(tmp_path / "in"), frames, "k double, step long, part double, v double")
+    featured = stream_features(stream, PanelSpec("k", ("v",), None, ("step", "part")))
+    query = featured.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(str(tmp_path / "out"))
+    query.awaitTermination()
+    found = spark.read.parquet(str(tmp_path / "out")).orderBy("step", "part").select("late", "v_ma_5", "v_momentum_5").collect()
+    assert [tuple(r) for r in found] == [(False, 2.0, 0.0), (True, None, None), (False, 3.0, 0.0), (False, 3.0, 0.0), (False, 14 / 3, 0.0)]
+
+
 def test_sketched_periods_are_near_exact_and_merge_late_rows(spark, tmp_path):
     start = datetime(2024, 1, 1)
     ids = np.arange(60_000)
