@@ -48,23 +48,28 @@ class IsolationForest:
             is_leaf = np.isinf(split[:, i])
             path[is_leaf, 2 * i + 1] = path[is_leaf, i]
         expected = float(_average_path(np.array([self.sample_rows]))[0]) or 1.0
-        roots = np.arange(trees, dtype=np.int64) * width
+        roots = np.arange(trees, dtype=np.int32) * np.int32(width)
         flat = (feature.ravel(), split.ravel(), path.ravel())
 
         @F.pandas_udf("double")
         def forest_score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             features, splits, paths = flat
+            down = np.int32(1) - roots  # places count on from tree to tree, and children lie in the tree of their parent
             for batch in batches:
-                scores = np.empty(len(batch))
+                vectors, scores = batch.to_numpy(), np.empty(len(batch))
                 for start in range(0, len(batch), _BATCH):
-                    x = np.stack(batch.iloc[start : start + _BATCH].to_numpy())
-                    row = np.arange(len(x))[:, None] * x.shape[1]
-                    node = np.zeros((len(x), trees), dtype=np.int64)
+                    part = vectors[start : start + _BATCH]
+                    x = np.concatenate(part)
+                    row = (np.arange(len(part), dtype=np.int32) * np.int32(len(x) // len(part)))[:, None]
+                    here = np.repeat(roots[None, :], len(part), axis=0)
                     for _ in range(depth):
-                        here = node + roots
-                        right = x.ravel()[row + features[here]] > splits[here]
-                        node = 2 * node + 1 + right
-                    mean_path = paths[node + roots].mean(axis=1)
+                        at = features.take(here)
+                        at += row
+                        right = x.take(at) > splits.take(here)
+                        here *= 2
+                        here += down
+                        here += right
+                    mean_path = paths.take(here).mean(axis=1)
                     scores[start : start + _BATCH] = -(2.0 ** (-mean_path / expected))
                 yield pd.Series(scores)
 

@@ -8,6 +8,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,11 +16,12 @@ from panelwatch.functions.exprs import finite
 from panelwatch.plans.segments import GroupSizes, group_sizes, segment_rows
 from panelwatch.plans.totals import running_total
 
-_QUICK_SKETCH_ACCURACY = 1_000
-_SKETCH_ACCURACY = 10_000
-_LARGE_TABLE = 10_000_000
+_QUICK_SKETCH_ACCURACY = 1_000  # marks may be off by this part of the rows, twice
+_POINTS = 1_024  # values of a bracket that a task hands on
+_VALUES_AT_ONCE = 65_536
+_THINNED_AT_ONCE = 64
 _GROUPS_AT_ONCE = 10  # the percentile aggregate of a task keeps the values of many groups side by side
-_COLLECTED_VALUES = 10_000
+_COLLECTED_VALUES = 500_000  # values of a bracket that one task may sort
 _MAX_COLUMNS_PER_JOB = 100
 
 
@@ -105,9 +107,10 @@ def table_quantiles(
 ) -> dict[str, list[float | None]]:
     """Quantiles of whole columns, as plain numbers; missing and infinite values do not count.
 
-    A small table takes one ``percentile`` job. Otherwise each wanted rank is bracketed by a sketch, the bracket is
-    counted exactly, and the sketch is repeated inside it until so few values are left that they can be sorted. Every
-    pass leaves a few numbers per task, and narrows each bracket by two to four orders of magnitude.
+    A small table takes one ``percentile`` job. Otherwise each wanted rank is bracketed by two values, taken from what
+    every task thins its values to, and one exact pass counts what lies around the bracket and sorts what lies inside.
+    Only where a bracket holds too much for one task, or misses its rank, both passes are repeated inside it. The driver
+    gets a few numbers per bracket.
     """
     limit = values_at_once if values_at_once is not None else segment_rows(df.sparkSession)
     result: dict[str, list[float | None]] = {}
@@ -136,7 +139,7 @@ class _Bracket(NamedTuple):
     size: int
 
     def ends(self, accuracy: int) -> tuple[float, float]:
-        """Two probabilities whose sketch quantiles enclose the ranks, unless the sketch breaks its error bound."""
+        """Two shares of the values that enclose the ranks, unless the marks are off by more than ``accuracy`` allows."""
         slack, last = 2.0 / accuracy + 2.0 / self.size, max(1, self.size - 1)
         return max(0.0, self.ranks[0] / last - slack), min(1.0, self.ranks[-1] / last + slack)
 
@@ -160,22 +163,13 @@ def _bracketed(narrow: DataFrame, sizes: list[int], probs: list[float]) -> list[
 
 
 def _narrowed(narrow: DataFrame, brackets: list[_Bracket], values: dict) -> list[_Bracket]:
-    """Sketch inside every bracket, count exactly around what it finds, and keep what is still open."""
-    accuracy = _SKETCH_ACCURACY if max(b.size for b in brackets) > _LARGE_TABLE else _QUICK_SKETCH_ACCURACY
+    """Mark off every bracket by thinned values, count exactly around the marks, and keep what is still open."""
     spans: dict[tuple, list[_Bracket]] = {}
     for b in brackets:
         spans.setdefault((b.column, b.low, b.high), []).append(b)
-    sketches = []
-    for (column, low, high), members in spans.items():
-        v = F.col(f"v{column}")
-        grid = F.array(*[F.lit(p) for b in members for p in b.ends(accuracy)])
-        sketches.append(F.percentile_approx(F.when((v > low) & (v < high), v), grid, accuracy))
-    jobs = []
-    for members, found in zip(spans.values(), narrow.agg(*sketches).first()):
-        jobs += [(b, found[2 * j], found[2 * j + 1]) for j, b in enumerate(members)]
-
     still_open = []
-    for (b, low, high), seen in zip(jobs, _counted_around(narrow, jobs, accuracy)):
+    jobs = _marked(narrow, spans)
+    for (b, low, high), seen in zip(jobs, _counted_around(narrow, jobs)):
         below, at_low, between, at_high, few = seen
         marks = [(below, None), (at_low, low), (between, few), (at_high, high), (b.size, None)]
         start, areas = 0, []
@@ -189,7 +183,7 @@ def _narrowed(narrow: DataFrame, brackets: list[_Bracket], values: dict) -> list
             if place in (1, 3):
                 values.update({(b.column, b.skipped + first + r): content for r in ranks})
             elif place == 2 and few is not None:
-                values.update({(b.column, b.skipped + first + r): few[r] for r in ranks})
+                values.update({(b.column, b.skipped + first + r): few[first + r] for r in ranks})
             else:
                 span = [(b.low, low), None, (low, high), None, (high, b.high)][place]
                 size = min(end, b.size) - first
@@ -197,38 +191,116 @@ def _narrowed(narrow: DataFrame, brackets: list[_Bracket], values: dict) -> list
     return still_open
 
 
-def _counted_around(narrow: DataFrame, jobs: list[tuple[_Bracket, float, float]], accuracy: int) -> list[tuple]:
-    """For each (bracket, low, high): values below low, at low, between, at high, and the sorted ones between if few."""
-    limits = [(b.column, b.low, b.high, low, high) for b, low, high in jobs]
-    listed = [b.size * 8.0 / accuracy + 8 <= _COLLECTED_VALUES for b, _, _ in jobs]
+def _thinned(values: np.ndarray, weights: np.ndarray | None, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """At most ``most`` of the values, in order and evenly spaced by rank, each with the weight of those it stands for."""
+    order = np.argsort(values) if weights is not None else None
+    values = np.sort(values) if order is None else values[order]
+    if len(values) <= most:
+        return values, np.ones(len(values)) if order is None else weights[order]
+    if order is None:
+        total, at = float(len(values)), ((np.arange(most) + 0.5) * len(values) / most).astype(np.int64)
+    else:
+        reached = np.cumsum(weights[order])
+        total = float(reached[-1])
+        at = np.minimum(np.searchsorted(reached, (np.arange(most) + 0.5) * total / most), len(values) - 1)
+    return values[at], np.full(most, total / most)
+
+
+def _marked(narrow: DataFrame, spans: dict[tuple, list[_Bracket]]) -> list[tuple[_Bracket, float, float]]:
+    """(bracket, low, high): two values that enclose its ranks, as far as thinned values tell.
+
+    Every task hands on some ``_POINTS`` values of each span, whatever its size, and they meet in one group per span.
+    """
+    keys, members = list(spans), list(spans.values())
+    ends = [[b.ends(_QUICK_SKETCH_ACCURACY) for b in of] for of in members]
+
+    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = [[] for _ in keys]
+        points: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in keys]
+        sizes = [0] * len(keys)
+
+        def flush(j: int) -> None:
+            if sizes[j]:
+                points[j].append(_thinned(np.concatenate(held[j]), None, _POINTS))
+                held[j], sizes[j] = [], 0
+            if len(points[j]) > _THINNED_AT_ONCE:
+                points[j] = [_thinned(*map(np.concatenate, zip(*points[j])), _POINTS)]
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts, kept = np.zeros((len(limits), 4), dtype=np.int64), [[] for _ in limits]
         for batch in batches:
-            columns = batch.to_numpy(dtype=float, na_value=np.nan)
-            for j, (column, outer_low, outer_high, low, high) in enumerate(limits):
-                v = columns[:, column]
-                v = v[(v > outer_low) & (v < outer_high) & (v <= high)]
-                inner = v[(v > low) & (v < high)]
-                counts[j] += (
-                    np.count_nonzero(v < low),
-                    np.count_nonzero(v == low),
-                    len(inner),
-                    np.count_nonzero(v == high) if high > low else 0,
+            for j, (column, low, high) in enumerate(keys):
+                v = batch.column(column).to_numpy(zero_copy_only=False)
+                v = v[(v > low) & (v < high)]
+                held[j].append(v)
+                sizes[j] += len(v)
+                if sizes[j] >= _VALUES_AT_ONCE:
+                    flush(j)
+        for j in range(len(keys)):
+            flush(j)
+            if points[j]:
+                value, weight = _thinned(*map(np.concatenate, zip(*points[j])), _POINTS)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(value), j, dtype=np.int32)), pa.array(value), pa.array(weight)], names=["span", "value", "weight"]
                 )
-                if listed[j]:
-                    kept[j].append(inner)
-        yield pd.DataFrame(
-            {
-                "job": range(len(limits)),
-                **{name: counts[:, i] for i, name in enumerate(("below", "at_low", "between", "at_high"))},
-                "few": [np.concatenate(k) if k else np.empty(0) for k in kept],
-            }
+
+    def mark(batch: pd.DataFrame) -> pd.DataFrame:
+        batch = batch.sort_values("value")
+        span, value = int(batch["span"].iloc[0]), batch["value"].to_numpy()
+        share = np.cumsum(batch["weight"].to_numpy()) / batch["weight"].sum()
+        at = np.minimum(np.searchsorted(share, np.array(ends[span])), len(value) - 1)
+        return pd.DataFrame({"span": span, "place": range(len(at)), "low": value[at[:, 0]], "high": value[at[:, 1]]})
+
+    thinned = narrow.mapInArrow(thin, "span int, value double, weight double")
+    found = thinned.groupBy("span").applyInPandas(mark, "span int, place int, low double, high double").collect()
+    return [(members[r["span"]][r["place"]], r["low"], r["high"]) for r in found]
+
+
+def _counted_around(narrow: DataFrame, jobs: list[tuple[_Bracket, float, float]]) -> list[tuple]:
+    """For each (bracket, low, high): values below low, at low, between, at high, and the wanted ones between if few."""
+    listed = [min(b.size, b.size * 8.0 / _QUICK_SKETCH_ACCURACY + 8) <= _COLLECTED_VALUES for b, _, _ in jobs]
+    by_column: dict[int, list[int]] = {}
+    for j, (b, _, _) in enumerate(jobs):
+        by_column.setdefault(b.column, []).append(j)
+    edges = {
+        i: np.array([[jobs[j][0].low, jobs[j][1], jobs[j][2], jobs[j][0].high] for j in of]) for i, of in by_column.items()
+    }
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, kept = np.zeros((len(jobs), 4), dtype=np.int64), [[] for _ in jobs]
+        for batch in batches:
+            for column, of in by_column.items():
+                v = batch.column(column).to_numpy(zero_copy_only=False)
+                v = np.sort(v[~np.isnan(v)])
+                outer_low, low, high, outer_high = edges[column].T
+                start, stop = np.searchsorted(v, outer_low, "right"), np.searchsorted(v, outer_high, "left")
+                places = [np.searchsorted(v, low, "left"), np.searchsorted(v, low, "right"), np.searchsorted(v, high, "left"), np.searchsorted(v, high, "right")]
+                a, b, c, d = (np.clip(x, start, np.maximum(start, stop)) for x in places)
+                c = np.maximum(b, c)
+                counts[of] += np.stack((a - start, b - a, c - b, np.where(high > low, d - c, 0)), axis=1)
+                for k, j in enumerate(of):
+                    if listed[j] and c[k] > b[k]:
+                        kept[j].append(v[b[k] : c[k]])
+        few = [np.concatenate(k) if k else np.empty(0) for k in kept]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.arange(len(jobs), dtype=np.int32)), *map(pa.array, np.ascontiguousarray(counts.T)), pa.array(few, pa.list_(pa.float64()))],
+            names=["job", "below", "at_low", "between", "at_high", "few"],
         )
 
-    schema = "job int, below long, at_low long, between long, at_high long, few array<double>"
-    totals = narrow.mapInPandas(count, schema).groupBy("job").agg(
-        *[F.sum(c) for c in ("below", "at_low", "between", "at_high")], F.flatten(F.collect_list("few"))
+    def pick(batch: pd.DataFrame) -> pd.DataFrame:
+        j = int(batch["job"].iloc[0])
+        b = jobs[j][0]
+        total = [int(batch[c].sum()) for c in ("below", "at_low", "between", "at_high")]
+        ranks, wanted = [], []
+        if listed[j]:
+            first = total[0] + total[1]
+            inside = [r - first for r in b.ranks if first <= r < first + total[2]]
+            few = np.concatenate(batch["few"].tolist())
+            if inside:
+                ranks, wanted = [first + r for r in inside], np.partition(few, inside)[inside].tolist()
+        return pd.DataFrame([(j, *total, ranks, wanted)], columns=["job", "below", "at_low", "between", "at_high", "ranks", "wanted"])
+
+    schema = "job int, below long, at_low long, between long, at_high long"
+    found = narrow.mapInArrow(count, f"{schema}, few array<double>").groupBy("job").applyInPandas(
+        pick, f"{schema}, ranks array<long>, wanted array<double>"
     )
-    rows = {r[0]: r[1:] for r in totals.collect()}
-    return [(*rows[j][:4], sorted(rows[j][4]) if listed[j] else None) for j in range(len(limits))]
+    rows = {r[0]: r[1:] for r in found.collect()}
+    return [(*rows[j][:4], dict(zip(rows[j][4], rows[j][5])) if listed[j] else None) for j in range(len(jobs))]

@@ -83,3 +83,21 @@ def test_bracketed_quantiles_take_several_rounds(spark, monkeypatch):
     got = table_quantiles(df, ["a", "b"], probs, values_at_once=0)
     for c in ("a", "b"):
         np.testing.assert_allclose(got[c], np.quantile(pdf[c], probs), atol=1e-12)
+
+
+def test_bracketed_quantiles_read_a_large_column_twice(spark, monkeypatch):
+    from panelwatch.plans import quantiles
+
+    rounds, once = [], quantiles._narrowed
+    monkeypatch.setattr(quantiles, "_narrowed", lambda *args: rounds.append(1) or once(*args))
+    # Rising, scrambled, with one value on most rows, and constant.
+    df = spark.range(0, 3_000_000, 1, 12).selectExpr(
+        "cast(id as double) as a", "cast(pmod(id * 7919, 3000017) as double) as b", "if(id % 10 < 7, 0, id) / 2 as c", "1D as d"
+    )
+    probs = [0.1, 0.25, 0.75]
+    got = table_quantiles(df, ["a", "b", "c", "d"], probs)
+    assert len(rounds) == 1
+    at = np.arange(3_000_000)
+    want = {"a": at, "b": at * 7919 % 3000017, "c": np.where(at % 10 < 7, 0, at) / 2, "d": np.ones(1)}
+    for c in want:
+        np.testing.assert_allclose(got[c], np.quantile(want[c].astype(float), probs), rtol=1e-12)
