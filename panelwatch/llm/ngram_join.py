@@ -9,7 +9,7 @@ from math import ceil, log
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelwatch.llm.hashing import grams, mixed, words
@@ -20,6 +20,8 @@ from panelwatch.session import staged
 _LARGE_BUCKET = 1024
 _DEPTH = 3
 _MOST_BRANCHES = 6
+_BITS_EACH = 16
+_MOST_BITS = 1 << 28
 
 
 def shingles(texts: list[bytes], size: int) -> list[np.ndarray]:
@@ -173,10 +175,13 @@ def ngram_classes(
         return _more_keys(docs, names.join(sets.select("name", "source"), "name"), size, seeds)
 
     buckets = staged(chosen_paths(sets.select("name", "keys"), runs, branches, further))
-    wanted = buckets.select("name").distinct().join(sets, "name").select("name", "source", "copies", "least")
+    # A set carries its buckets, at most one for each branch of a run, so that sets need not meet them in another shuffle.
+    within = buckets.groupBy("name").agg(F.collect_list(F.struct("path", "size")).alias("buckets"))
+    wanted = within.join(sets, "name").select("name", "source", "copies", "buckets")
     payload = staged(_sets_of(docs, wanted, size))
-    kin = components(_links(buckets, payload, threshold))
-    members = payload.join(kin, F.col("name") == F.col("id")).select("id", "component", "copies", "set")
+    kin = components(_links(payload, threshold))
+    near = _passing(payload.drop("buckets"), "name", kin, "id").join(kin, F.col("name") == F.col("id"))
+    members = near.select("id", "component", "copies", "set")
     links = links_within(members, "id", "copies", near_sets(threshold), "set", "binary")
     least = kin.join(sets.select(F.col("name").alias("id"), "least"), "id").groupBy("component").agg(F.min("least").alias("class_id"))
     found = links.join(kin, "id").join(least, "component").select(F.col("id").alias("name"), "links", "class_id")
@@ -190,6 +195,33 @@ def ngram_classes(
     )
 
 
+def _passing(rows: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> DataFrame:
+    """``rows`` whose ``key`` may be a ``wanted_key`` of ``wanted`` (which was written out): most others are left out.
+
+    A join would send every row through a shuffle, so rows first pass a bitmap of the hashes of the wanted keys with
+    ``_BITS_EACH`` bits for each; what it lets through in error is left to the join. The bitmap is sent to every task and
+    has ``_MOST_BITS`` bits at most.
+    """
+    bits = min(_MOST_BITS, 1 << max(15, (_BITS_EACH * wanted.count()).bit_length()))
+
+    def place(of: str) -> Column:
+        return F.pmod(F.xxhash64(of), F.lit(bits)) + 1
+
+    marks = wanted.groupBy(F.bitmap_bucket_number(place(wanted_key)).alias("__bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(place(wanted_key))).alias("__bitmap")
+    )
+    at = F.bitmap_bit_position(place(key))
+    byte = F.conv(F.hex(F.substring("__bitmap", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    marked = (F.bitmap_bucket_number(place(key)) == F.col("__bucket")) & (F.getbit(byte, (at % 8).cast("int")) == 1)
+    return rows.join(F.broadcast(marks), marked, "left_semi")
+
+
+def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted`` (one row per ``source``) with the text of one row of ``docs`` that has this source."""
+    wanted = staged(wanted)
+    return _passing(docs.select("source", "text"), "source", wanted, "source").join(wanted, "source").dropDuplicates(["source"])
+
+
 def _more_keys(docs: DataFrame, wanted: DataFrame, size: int, seeds: range) -> DataFrame:
     """``name, more``: for each of ``wanted`` (``name, source``) one sampled token per seed."""
 
@@ -203,12 +235,12 @@ def _more_keys(docs: DataFrame, wanted: DataFrame, size: int, seeds: range) -> D
             listed = pa.FixedSizeListArray.from_arrays(pa.array(keys.view(np.int64).ravel()), len(seeds)).cast(pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column("name"), listed], names=["name", "more"])
 
-    texts = docs.select("source", "text").join(wanted, "source").dropDuplicates(["name"])
-    return texts.select("name", "text").mapInArrow(sign, "name binary, more array<long>")
+    return _texts_of(docs, wanted).select("name", "text").mapInArrow(sign, "name binary, more array<long>")
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """``wanted`` (one row per set) with the set itself, made again from one of its texts."""
+    kept = ["name", "copies", "buckets"]
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -216,14 +248,14 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
             for first, last in in_chunks(texts):
                 found += [x.tobytes() for x in shingles(texts[first:last], size)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("name"), batch.column("copies"), pa.array(found, pa.binary())], names=["name", "copies", "set"]
+                [*(batch.column(c) for c in kept), pa.array(found, pa.binary())], names=[*kept, "set"]
             )
 
-    texts = docs.select("source", "text").join(wanted, "source").dropDuplicates(["name"])
-    return texts.select("name", "copies", "text").mapInArrow(again, "name binary, copies long, set binary")
+    texts = _texts_of(docs, wanted).select(*kept, "text")
+    return texts.mapInArrow(again, "name binary, copies long, buckets array<struct<path: bigint, size: bigint>>, set binary")
 
 
-def _links(buckets: DataFrame, payload: DataFrame, threshold: float) -> DataFrame:
+def _links(payload: DataFrame, threshold: float) -> DataFrame:
     near = near_sets(threshold)
 
     def compare(batch: pd.DataFrame) -> pd.DataFrame:
@@ -238,8 +270,8 @@ def _links(buckets: DataFrame, payload: DataFrame, threshold: float) -> DataFram
                 found += [(a[s + r], b[t + c]) for r, c in spanning(hit) if a[s + r] != b[t + c]]
         return pd.DataFrame(found, columns=["a", "b"])
 
-    dealt = in_blocks(buckets, ["path"], "size", "name").join(payload.select("name", "set"), "name")
-    return dealt.select("path", "i", "j", "own", "name", "set").groupBy("path", "i", "j").applyInPandas(
+    rows = payload.select("name", "set", F.inline("buckets"))
+    return in_blocks(rows, ["path"], "size", "name").select("path", "i", "j", "own", "name", "set").groupBy("path", "i", "j").applyInPandas(
         compare, "a binary, b binary"
     )
 

@@ -426,3 +426,24 @@ def test_empty_tables(spark):
     assert score_texts(none, F.lit(False)).count() == 0
     assert near_vectors(_vectors(spark, [])).count() == 0
     assert top_k_search(_vectors(spark, []), "vec_id", "embedding", F.lit(True)).count() == 0
+
+
+@pytest.mark.parametrize("most_bits", [1 << 28, 64])
+def test_only_wanted_texts_are_sent_to_the_join(spark, monkeypatch, most_bits):
+    from panelwatch.llm import ngram_join
+
+    monkeypatch.setattr(ngram_join, "_MOST_BITS", most_bits)
+    texts = [(f"text {i % 700}",) for i in range(900)]
+    docs = spark.createDataFrame(texts, "text string").select(F.unhex(F.md5("text")).alias("source"), "text").repartition(5)
+    names = [(f"text {i}", i) for i in range(0, 700, 7)]
+    wanted = spark.createDataFrame(names, "text string, name long").select(F.unhex(F.md5("text")).alias("source"), "name")
+    monkeypatch.setattr(ngram_join, "staged", lambda df: df.repartition(2).cache())
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = ngram_join._texts_of(docs, wanted)
+        got = sorted((r["name"], r["text"]) for r in found.collect())
+        plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == [(i, t) for t, i in names]
+    assert "LeftSemi" in plan and "SortMergeJoin" in plan
