@@ -121,6 +121,17 @@ _CAUSAL = _DISTANCE >= 0
 _ALL = CLASSES + 1  # with the padding
 
 
+_held: dict[str, np.ndarray] = {}
+
+
+def _room(name: str, shape: tuple[int, ...], kind: type = np.float32) -> np.ndarray:
+    """An array that the next batch of windows uses again: fresh memory for a product costs more than the product."""
+    size = int(np.prod(shape))
+    if name not in _held or len(_held[name]) < size:
+        _held[name] = np.empty(size, kind)
+    return _held[name][:size].reshape(shape)
+
+
 def _tables(model):
     """What attention needs of each pair of classes and of each distance, so that no pair of inputs is multiplied.
 
@@ -139,7 +150,8 @@ def _tables(model):
 
 def _pairs(u: np.ndarray) -> np.ndarray:
     """The place in ``weight`` of every asking input and every input of its window."""
-    return u[:, SPAN:, None].astype(np.int32) * np.int32(_ALL) + u[:, None, :]
+    pairs = _room("pairs", (len(u), SPAN, 2 * SPAN), np.int64)
+    return np.add(u[:, SPAN:, None] * np.int64(_ALL), u[:, None, :], out=pairs)
 
 
 def log_probability(model: dict[str, np.ndarray], classes: Classes, ids: list[np.ndarray]) -> np.ndarray:
@@ -161,7 +173,7 @@ def log_probability(model: dict[str, np.ndarray], classes: Classes, ids: list[np
         np.take(v, u, axis=0, out=vs[:m], mode="clip")
         np.matmul(p[:m], vs[:m], out=o[:m])
         flat = o[:m].reshape(-1, WIDTH + 1)
-        h = flat[:, :WIDTH] / np.maximum(flat[:, WIDTH:], 1e-30)
+        h = np.divide(flat[:, :WIDTH], np.maximum(flat[:, WIDTH:], 1e-30), out=_room("h", (len(flat), WIDTH)))
         z, b = logits[: m * SPAN], prior[: m * SPAN]
         np.matmul(h, model["o"], out=z)
         np.take(r, u[:, SPAN:].ravel(), axis=0, out=b, mode="clip")
@@ -177,29 +189,36 @@ def log_probability(model: dict[str, np.ndarray], classes: Classes, ids: list[np
 def gradients(model: dict[str, np.ndarray], u: np.ndarray, y: np.ndarray, ok: np.ndarray) -> dict[str, np.ndarray]:
     """Of the mean loss of the real predictions of some windows, by what is learned; ``y`` are classes."""
     q, weight, v, near, r = _tables(model)
-    asked = u[:, SPAN:].ravel()
+    n, asked = len(u), u[:, SPAN:].ravel()
     pairs = _pairs(u)
-    p = weight.ravel().take(pairs)
+    p = np.take(weight.ravel(), pairs, out=_room("p", pairs.shape), mode="clip")
     p *= near
     # Weights summed by the class that is looked at, for every asking input.
-    places = (np.arange(len(asked), dtype=np.int32) * np.int32(_ALL)).reshape(-1, SPAN, 1) + u[:, None, :]
-    looked = np.bincount(places.ravel(), p.ravel(), len(asked) * _ALL).astype(np.float32).reshape(-1, _ALL)
-    o = looked @ v
+    places = _room("places", pairs.shape, np.int64)
+    np.add((np.arange(len(asked)) * _ALL).reshape(n, SPAN, 1), u[:, None, :], out=places)
+    summed = _room("summed", pairs.shape, np.float64)
+    summed[:] = p
+    looked = _room("looked", (len(asked), _ALL))
+    looked.ravel()[:] = np.bincount(places.ravel(), summed.ravel(), looked.size)
+    o = np.matmul(looked, v, out=_room("o", (len(asked), WIDTH + 1)))
     z = np.maximum(o[:, WIDTH:], 1e-30)
-    h = o[:, :WIDTH] / z
-    d = h @ model["o"]
-    d += r.take(asked, axis=0)
+    h = np.divide(o[:, :WIDTH], z, out=_room("h", (len(asked), WIDTH)))
+    d = np.matmul(h, model["o"], out=_room("d", (len(asked), CLASSES)))
+    d += np.take(r, asked, axis=0, out=_room("prior", d.shape), mode="clip")
     np.exp(d, out=d)
     share = (ok.ravel() / np.float32(max(1, ok.sum()))).astype(np.float32)
     d *= (share / (d @ np.ones(CLASSES, np.float32)))[:, None]
     d[np.arange(len(d)), y.ravel()] -= share
-    dh = (d @ model["o"].T) / z
-    do = np.empty((len(dh), WIDTH + 1), np.float32)
+    dh = np.matmul(d, model["o"].T, out=_room("dh", h.shape))
+    dh /= z
+    do = _room("do", (len(dh), WIDTH + 1))
     do[:, :WIDTH] = dh
     do[:, WIDTH] = -np.einsum("ij,ij->i", dh, h)
-    ds = do.reshape(-1, SPAN, WIDTH + 1) @ v.take(u, axis=0).transpose(0, 2, 1)
+    vs = np.take(v, u, axis=0, out=_room("vs", (n, 2 * SPAN, WIDTH + 1)), mode="clip")
+    ds = np.matmul(do.reshape(n, SPAN, WIDTH + 1), vs.transpose(0, 2, 1), out=_room("ds", pairs.shape))
     ds *= p
-    of_pair = np.bincount(pairs.ravel(), ds.ravel(), _ALL * _ALL).astype(np.float32).reshape(_ALL, _ALL)
+    summed[:] = ds
+    of_pair = np.bincount(pairs.ravel(), summed.ravel(), _ALL * _ALL).astype(np.float32).reshape(_ALL, _ALL)
     grad = {
         "q": (of_pair @ model["k"])[:CLASSES] / np.float32(np.sqrt(WIDTH)),
         "k": of_pair.T @ q,

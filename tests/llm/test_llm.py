@@ -447,3 +447,26 @@ def test_only_wanted_texts_are_sent_to_the_join(spark, monkeypatch, most_bits):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert got == [(i, t) for t, i in names]
     assert "LeftSemi" in plan and "SortMergeJoin" in plan
+
+
+def test_gradients_of_a_batch_reuse_memory_and_keep_their_values():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    model = attention.start_model(rng.integers(0, 100, (64, 64)).astype(float))
+
+    def batch(n):
+        return rng.integers(0, 64, (n, 32)).astype(np.uint8), rng.integers(0, 64, (n, 16)), rng.random((n, 16)) < 0.9
+
+    first, second = batch(128), batch(70)
+    got = attention.gradients(model, *first)
+    kept = {name: value.copy() for name, value in got.items()}
+    tracemalloc.start()
+    attention.gradients(model, *second)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    again = attention.gradients(model, *first)
+    for name in kept:
+        np.testing.assert_array_equal(got[name], kept[name])
+        np.testing.assert_array_equal(again[name], kept[name])
+    assert peak < 1_500_000
