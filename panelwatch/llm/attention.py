@@ -104,16 +104,12 @@ def windows(
     inputs[at + 1] = classes[flat]
     targets[at] = flat
     real[ranges(base + SPAN, sizes)] = True
-    left = base[owner] + place * SPAN
+    at = base[owner] // SPAN + place  # every text begins at a whole span, so windows are two spans in a row
     if chosen is not None:
         mine = chosen(owner)
-        left, owner = left[mine], owner[mine]
-    return (
-        inputs[left[:, None] + np.arange(2 * SPAN)],
-        targets[left[:, None] + SPAN + np.arange(SPAN)],
-        real[left[:, None] + SPAN + np.arange(SPAN)],
-        owner,
-    )
+        at, owner = at[mine], owner[mine]
+    spans = inputs.reshape(-1, SPAN)
+    return np.concatenate((spans[at], spans[at + 1]), axis=1), targets.reshape(-1, SPAN)[at + 1], real.reshape(-1, SPAN)[at + 1], owner
 
 
 _DISTANCE = (SPAN + np.arange(SPAN))[:, None] - np.arange(2 * SPAN)[None, :]
@@ -136,12 +132,12 @@ def _tables(model):
     """What attention needs of each pair of classes and of each distance, so that no pair of inputs is multiplied.
 
     ``weight`` holds the exponential of the score of an asking class (row) and a class that is looked at; paddings are
-    not looked at. ``near`` is the factor of the distance, 0 for what comes later. Values carry a 1 that sums weights.
+    not looked at. ``near`` is the factor of the distance, 0 for what comes later.
     """
     q = np.concatenate((model["q"] / np.float32(np.sqrt(WIDTH)), np.zeros((1, WIDTH), np.float32)))
     weight = np.exp(q @ model["k"].T)
     weight[:, _PAD] = 0.0
-    v = np.concatenate((model["v"], np.ones((_ALL, 1), np.float32)), axis=1)
+    v = model["v"].copy()
     v[_PAD] = 0.0
     near = np.where(_CAUSAL, np.exp(model["b"][np.maximum(_DISTANCE, 0)]), 0.0).astype(np.float32)
     r = np.concatenate((model["r"], np.zeros((1, CLASSES), np.float32)))
@@ -150,8 +146,13 @@ def _tables(model):
 
 def _pairs(u: np.ndarray) -> np.ndarray:
     """The place in ``weight`` of every asking input and every input of its window."""
-    pairs = _room("pairs", (len(u), SPAN, 2 * SPAN), np.int64)
-    return np.add(u[:, SPAN:, None] * np.int64(_ALL), u[:, None, :], out=pairs)
+    pairs, wide = _room("pairs", (len(u), SPAN, 2 * SPAN), np.int64), u.astype(np.int64)
+    return np.add((wide[:, SPAN:] * _ALL)[:, :, None], wide[:, None, :], out=pairs)
+
+
+def _one_over_sums(p: np.ndarray) -> np.ndarray:
+    """For every asking input, as a column."""
+    return (1.0 / np.maximum(p.reshape(-1, 2 * SPAN) @ np.ones(2 * SPAN, np.float32), np.float32(1e-30)))[:, None]
 
 
 def log_probability(model: dict[str, np.ndarray], classes: Classes, ids: list[np.ndarray]) -> np.ndarray:
@@ -161,7 +162,7 @@ def log_probability(model: dict[str, np.ndarray], classes: Classes, ids: list[np
     out = np.zeros(len(ids))
     n, ones = _STEP_WINDOWS, np.ones(CLASSES, np.float32)
     # Buffers small enough for the processor's cache, used again by every batch.
-    vs, o = np.empty((n, 2 * SPAN, WIDTH + 1), np.float32), np.empty((n, SPAN, WIDTH + 1), np.float32)
+    vs, o = np.empty((n, 2 * SPAN, WIDTH), np.float32), np.empty((n, SPAN, WIDTH), np.float32)
     p = np.empty((n, SPAN, 2 * SPAN), np.float32)
     logits, prior = np.empty((n * SPAN, CLASSES), np.float32), np.empty((n * SPAN, CLASSES), np.float32)
     rows = np.arange(n * SPAN)
@@ -172,8 +173,8 @@ def log_probability(model: dict[str, np.ndarray], classes: Classes, ids: list[np
         p[:m] *= near
         np.take(v, u, axis=0, out=vs[:m], mode="clip")
         np.matmul(p[:m], vs[:m], out=o[:m])
-        flat = o[:m].reshape(-1, WIDTH + 1)
-        h = np.divide(flat[:, :WIDTH], np.maximum(flat[:, WIDTH:], 1e-30), out=_room("h", (len(flat), WIDTH)))
+        h = o[:m].reshape(-1, WIDTH)
+        h *= _one_over_sums(p[:m])
         z, b = logits[: m * SPAN], prior[: m * SPAN]
         np.matmul(h, model["o"], out=z)
         np.take(r, u[:, SPAN:].ravel(), axis=0, out=b, mode="clip")
@@ -186,6 +187,17 @@ def log_probability(model: dict[str, np.ndarray], classes: Classes, ids: list[np
     return out / np.log(10.0)
 
 
+def _by_class(values: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Sums of the rows of ``values`` (one for each input) by the class of the input."""
+    order = np.argsort(u.ravel(), kind="stable")
+    found = np.flatnonzero(counts := np.bincount(u.ravel(), minlength=_ALL))
+    ends = np.cumsum(counts)
+    rows = np.take(values, order, axis=0, out=_room("rows", values.shape), mode="clip")
+    out = np.zeros((_ALL, values.shape[1]), np.float32)
+    out[found] = np.add.reduceat(rows, (ends - counts)[found], axis=0)
+    return out
+
+
 def gradients(model: dict[str, np.ndarray], u: np.ndarray, y: np.ndarray, ok: np.ndarray) -> dict[str, np.ndarray]:
     """Of the mean loss of the real predictions of some windows, by what is learned; ``y`` are classes."""
     q, weight, v, near, r = _tables(model)
@@ -193,37 +205,34 @@ def gradients(model: dict[str, np.ndarray], u: np.ndarray, y: np.ndarray, ok: np
     pairs = _pairs(u)
     p = np.take(weight.ravel(), pairs, out=_room("p", pairs.shape), mode="clip")
     p *= near
-    # Weights summed by the class that is looked at, for every asking input.
-    places = _room("places", pairs.shape, np.int64)
-    np.add((np.arange(len(asked)) * _ALL).reshape(n, SPAN, 1), u[:, None, :], out=places)
-    summed = _room("summed", pairs.shape, np.float64)
-    summed[:] = p
-    looked = _room("looked", (len(asked), _ALL))
-    looked.ravel()[:] = np.bincount(places.ravel(), summed.ravel(), looked.size)
-    o = np.matmul(looked, v, out=_room("o", (len(asked), WIDTH + 1)))
-    z = np.maximum(o[:, WIDTH:], 1e-30)
-    h = np.divide(o[:, :WIDTH], z, out=_room("h", (len(asked), WIDTH)))
+    vs = np.take(v, u, axis=0, out=_room("vs", (n, 2 * SPAN, WIDTH)), mode="clip")
+    h = np.matmul(p, vs, out=_room("h", (n, SPAN, WIDTH))).reshape(-1, WIDTH)
+    over = _one_over_sums(p)
+    h *= over
     d = np.matmul(h, model["o"], out=_room("d", (len(asked), CLASSES)))
     d += np.take(r, asked, axis=0, out=_room("prior", d.shape), mode="clip")
     np.exp(d, out=d)
-    share = (ok.ravel() / np.float32(max(1, ok.sum()))).astype(np.float32)
-    d *= (share / (d @ np.ones(CLASSES, np.float32)))[:, None]
-    d[np.arange(len(d)), y.ravel()] -= share
+    # Rows of d are left as multiples of the softmax; each row's factor is put into the narrow arrays beside it.
+    total = d @ np.ones(CLASSES, np.float32)
+    d[np.arange(len(d)), y.ravel()] -= total
+    scale = (ok.ravel() / (total * np.float32(max(1, ok.sum())))).astype(np.float32)[:, None]
     dh = np.matmul(d, model["o"].T, out=_room("dh", h.shape))
-    dh /= z
-    do = _room("do", (len(dh), WIDTH + 1))
-    do[:, :WIDTH] = dh
-    do[:, WIDTH] = -np.einsum("ij,ij->i", dh, h)
-    vs = np.take(v, u, axis=0, out=_room("vs", (n, 2 * SPAN, WIDTH + 1)), mode="clip")
-    ds = np.matmul(do.reshape(n, SPAN, WIDTH + 1), vs.transpose(0, 2, 1), out=_room("ds", pairs.shape))
+    dh *= scale * over
+    ds = np.matmul(dh.reshape(n, SPAN, WIDTH), vs.transpose(0, 2, 1), out=_room("ds", pairs.shape))
+    ds -= np.einsum("ij,ij->i", dh, h).reshape(n, SPAN, 1)
     ds *= p
-    summed[:] = ds
-    of_pair = np.bincount(pairs.ravel(), summed.ravel(), _ALL * _ALL).astype(np.float32).reshape(_ALL, _ALL)
+    of_pair = np.zeros(_ALL * _ALL, np.float32)
+    np.add.at(of_pair, pairs.ravel(), ds.ravel())
+    of_pair = of_pair.reshape(_ALL, _ALL)
+    dv = np.matmul(p.transpose(0, 2, 1), dh.reshape(n, SPAN, WIDTH), out=_room("dv", (n, 2 * SPAN, WIDTH)))
+    h *= scale
+    # Products of a few windows at a time, then summed: one long product of two narrow arrays takes twice as long.
+    each = np.matmul(h.reshape(n, SPAN, WIDTH).transpose(0, 2, 1), d.reshape(n, SPAN, CLASSES), out=_room("each", (n, WIDTH, CLASSES)))
     grad = {
         "q": (of_pair @ model["k"])[:CLASSES] / np.float32(np.sqrt(WIDTH)),
         "k": of_pair.T @ q,
-        "v": looked.T @ dh,
-        "o": h.T @ d,
+        "v": _by_class(dv.reshape(-1, WIDTH), u),
+        "o": each.sum(axis=0),
         "b": np.bincount(_DISTANCE[_CAUSAL], ds.sum(axis=0)[_CAUSAL], 2 * SPAN).astype(np.float32),
     }
     grad["k"][_PAD] = grad["v"][_PAD] = 0.0

@@ -43,6 +43,8 @@ class Subwords:
             self._pieces = tiktoken.Encoding(
                 "ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
             )
+            self._lengths = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
+            self._lengths[list(ranks.values())] = list(map(len, ranks))
 
     @classmethod
     def at(cls, path: str) -> Subwords:
@@ -81,12 +83,35 @@ class Subwords:
         pieces = pa.StringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts), pa.py_buffer(data))
         coded = pc.dictionary_encode(pieces)
         codes = coded.indices.to_numpy()
-        vectors = list(map(self._pieces.encode_ordinary, coded.dictionary.to_pylist()))
-        flat = np.fromiter(chain.from_iterable(vectors), dtype=np.uint32)
-        sizes = np.fromiter(map(len, vectors), dtype=np.int64, count=len(vectors))
-        starts = np.cumsum(sizes) - sizes
+        flat, sizes, starts = self._ids_of(coded.dictionary)
         piece_sizes = sizes[codes]
         before = np.concatenate(([0], np.cumsum(piece_sizes)))
         take = np.repeat((starts[codes] - before[:-1]).astype(np.int32), piece_sizes)
         take += np.arange(before[-1], dtype=np.int32)
         return flat[take], np.diff(before[np.searchsorted(cuts, bounds)])
+
+    def _ids_of(self, pieces: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct pieces in any order, and for each piece how many they are and where they begin.
+
+        Pieces that begin with a space are encoded in one call, as one text, and parted by the lengths of their tokens;
+        the others (first ones of a text, single spaces) are encoded one by one.
+        """
+        offsets, body = (np.frombuffer(b, dtype=t) if b else np.empty(0, t) for b, t in zip(pieces.buffers()[1:], (np.int32, np.uint8)))
+        offsets = offsets[pieces.offset : pieces.offset + len(pieces) + 1]
+        joins = (body[offsets[:-1]] == 0x20) & (np.diff(offsets) > 1)
+        joined = pieces.filter(pa.array(joins))
+        text = pc.binary_join(pa.ListArray.from_arrays([0, len(joined)], joined), "")[0].as_py()
+        ids = np.array(self._pieces.encode_ordinary(text), dtype=np.uint32)
+        ends = np.cumsum(self._lengths[ids])
+        wanted = np.cumsum(np.diff(offsets)[joins])
+        upto = np.searchsorted(ends, wanted) + 1
+        if len(ids) and not np.array_equal(ends[np.minimum(upto, len(ends)) - 1], wanted):
+            joins[:], ids, upto = False, ids[:0], upto[:0]  # some token reaches over a border
+        single = list(map(self._pieces.encode_ordinary, pieces.filter(pa.array(~joins)).to_pylist()))
+        sizes = np.empty(len(pieces), dtype=np.int64)
+        sizes[joins] = np.diff(upto, prepend=0)
+        sizes[~joins] = np.fromiter(map(len, single), dtype=np.int64, count=len(single))
+        order = np.argsort(~joins, kind="stable")
+        starts = np.empty_like(sizes)
+        starts[order] = np.cumsum(sizes[order]) - sizes[order]
+        return np.concatenate((ids, np.fromiter(chain.from_iterable(single), dtype=np.uint32))), sizes, starts

@@ -470,3 +470,98 @@ def test_gradients_of_a_batch_reuse_memory_and_keep_their_values():
         np.testing.assert_array_equal(got[name], kept[name])
         np.testing.assert_array_equal(again[name], kept[name])
     assert peak < 1_500_000
+
+
+def _plain_gradients(model, u, y, ok):
+    """Masked attention of one asking input after the other, in doubles, with its loss by central differences."""
+    span, width = attention.SPAN, attention.WIDTH
+
+    def loss(m):
+        total = 0.0
+        for w in range(len(u)):
+            for i in range(span):
+                if ok[w, i]:
+                    seen = [j for j in range(span + i + 1) if u[w, j] != attention.CLASSES]
+                    a = np.exp([m["q"][u[w, span + i]] @ m["k"][u[w, j]] / math.sqrt(width) + m["b"][span + i - j] for j in seen])
+                    z = (a / a.sum()) @ m["v"][u[w, seen]] @ m["o"] + m["r"][u[w, span + i]]
+                    total -= z[y[w, i]] - math.log(np.exp(z).sum())
+        return total / ok.sum()
+
+    wide = {k: x.astype(np.float64) for k, x in model.items()}
+
+    def slope(name, at):
+        ends = []
+        for step in (1e-5, -1e-5):
+            moved = {k: x.copy() for k, x in wide.items()}
+            moved[name][at] += step
+            ends.append(loss(moved))
+        return (ends[0] - ends[1]) / 2e-5
+
+    return slope
+
+
+@pytest.mark.parametrize("n", [1, 3, 9])
+def test_gradients_equal_those_of_plain_masked_attention(n):
+    rng = np.random.default_rng(20 + n)
+    model = attention.start_model(rng.integers(0, 50, (64, 64)).astype(float))
+    for name in ("q", "k", "v", "o", "b"):
+        model[name] += rng.normal(0, 0.5, model[name].shape).astype(np.float32)
+    u, y, ok = rng.integers(0, 6, (n, 32)).astype(np.uint8), rng.integers(0, 64, (n, 16)), rng.random((n, 16)) < 0.8
+    u[0, :16] = attention.CLASSES  # paddings before the text
+    got = attention.gradients(model, u, y, ok)
+    slope = _plain_gradients(model, u, y, ok)
+    for name, g in got.items():
+        places = np.argsort(-np.abs(g).ravel())[:3]
+        for at in (np.unravel_index(p, g.shape) for p in places):
+            assert math.isclose(g[at], slope(name, at), rel_tol=2e-3, abs_tol=2e-5), (name, at)
+
+
+def test_gradients_take_little_fresh_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    model = attention.start_model(rng.integers(0, 100, (64, 64)).astype(float))
+    u, y, ok = rng.integers(0, 64, (128, 32)).astype(np.uint8), rng.integers(0, 64, (128, 16)), rng.random((128, 16)) < 0.9
+    attention.gradients(model, u, y, ok)
+    tracemalloc.start()
+    attention.gradients(model, u, y, ok)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 600_000
+
+
+def test_distinct_pieces_are_encoded_in_few_calls(monkeypatch):
+    from panelwatch.llm.subwords import Subwords, default_path
+
+    rng = np.random.default_rng(6)
+    odd = ["", " ", "a", " a", "a ", "\n", " \n", "\n a", "a\n\n b \n", "x\t y", "it's ok 'll", " 's", "é è", "  x", "日本 語", "1234 5678", "! ?", "\r\n a \r\n", "tail \t"]
+    texts = [*odd, *("".join(rng.choice(odd, 6)) for _ in range(200)), *(prose(rng, 60) for _ in range(60))]
+    coder = Subwords(default_path())
+    calls, plain = [], type(coder._pieces).encode_ordinary
+
+    class Counted:
+        def encode_ordinary(self, text):
+            calls.append(text)
+            return plain(pieces, text)
+
+    pieces, coder._pieces = coder._pieces, Counted()
+    ids, bounds = coder.encode([t.encode() for t in texts])
+    distinct = {p for t in texts for p in re.findall(r" ?[^ ]+", t)}
+    assert len(calls) < len(distinct) / 2
+    for i, t in enumerate(texts):
+        assert ids[bounds[i] : bounds[i + 1]].tolist() == coder._whole.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_pieces_are_encoded_alone_where_a_token_reaches_over_a_border():
+    from panelwatch.llm.subwords import Subwords, default_path
+
+    coder = Subwords(default_path())
+    texts = ["one two", "three one four"]
+
+    class Crossing:
+        def encode_ordinary(self, text):
+            return pieces.encode_ordinary(text) if text.count(" ") < 2 else pieces.encode_ordinary("x" * len(text.encode()))
+
+    pieces, coder._pieces = coder._pieces, Crossing()
+    ids, bounds = coder.encode([t.encode() for t in texts])
+    assert [ids[bounds[i] : bounds[i + 1]].tolist() for i in range(2)] == [coder._whole.encode(t, add_special_tokens=False).ids for t in texts]
