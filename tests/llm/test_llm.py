@@ -565,3 +565,32 @@ def test_pieces_are_encoded_alone_where_a_token_reaches_over_a_border():
     pieces, coder._pieces = coder._pieces, Crossing()
     ids, bounds = coder.encode([t.encode() for t in texts])
     assert [ids[bounds[i] : bounds[i + 1]].tolist() for i in range(2)] == [coder._whole.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_phrases_tell_of_passages_under_the_length(spark):
+    from panelwatch.llm.hashing import Fingerprints
+
+    rng = np.random.default_rng(11)
+    letters = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    passages = [letters(380) for _ in range(12)]
+    rows = [(i, letters(300 + 40 * i) + passages[i % 12] + letters(450)) for i in range(24)]
+    rows += [(100 + i, letters(600 + 50 * i)) for i in range(20)] + [(200, "x" * 700), (201, rows[3][1]), (202, None), (203, letters(399))]
+    rows += [(204, letters(250) + letters(40) * 30), (205, letters(500) + rows[30][1][:560] + letters(420))]
+
+    def cores(text):
+        """The bytes after every trigger: the least gram of some window that a 400-byte string opens."""
+        raw = text.encode()
+        high = Fingerprints(np.frombuffer(raw, dtype=np.uint8)).every(16) >> np.uint64(32) if len(raw) >= 400 else []
+        at = {int(s + np.argmin(high[s : s + 192])) for s in range(len(raw) - 399)}
+        return [raw[t : t + 209] for t in at]
+
+    of = {i: cores(t or "") for i, t in rows}
+    seen = Counter(c for cs in of.values() for c in cs)
+    want = {i: sum(seen[c] > 1 for c in cs) for i, cs in of.items()}
+    found = remove_repeats(docs(spark, rows, True), phrases=True)
+    assert found.columns[:5] == remove_repeats(docs(spark, rows, True)).columns
+    got = {r["doc_id"]: r for r in found.collect()}
+    assert {i: r["n_repeated_phrases"] for i, r in got.items()} == want
+    short = [got[i] for i in range(24) if i not in (3,)]
+    assert all(r["n_removed"] == 0 for r in short) and sum(r["n_repeated_phrases"] > 0 for r in short) >= 20
+    assert all(got[100 + i]["n_repeated_phrases"] == 0 for i in range(20) if i != 6) and got[200]["n_repeated_phrases"] > 0
