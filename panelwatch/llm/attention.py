@@ -13,8 +13,6 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from panelwatch.llm.tables import ranges
-
 SPAN = 16
 WIDTH = 16
 CLASSES = 64
@@ -98,12 +96,11 @@ def windows(
     inputs = np.full(int(room.sum()), _PAD, dtype=np.uint8)
     targets = np.full(int(room.sum()), END, dtype=np.int32)
     real = np.zeros(int(room.sum()), dtype=bool)
-    flat = np.concatenate(ids) if ids else np.empty(0, dtype=np.int64)
-    at = ranges(base + SPAN, sizes - 1)
+    for text, start, end in zip(ids, (base + SPAN).tolist(), (base + SPAN + sizes).tolist()):
+        inputs[start + 1 : end] = classes[text]
+        targets[start : end - 1] = text
+        real[start:end] = True
     inputs[base + SPAN] = classes[END]
-    inputs[at + 1] = classes[flat]
-    targets[at] = flat
-    real[ranges(base + SPAN, sizes)] = True
     at = base[owner] // SPAN + place  # every text begins at a whole span, so windows are two spans in a row
     if chosen is not None:
         mine = chosen(owner)

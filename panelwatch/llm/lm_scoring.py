@@ -28,18 +28,23 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """``word, n``: fingerprints of all words of the learning rows with their counts, added up per task first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held = (np.empty(0, np.int64), np.empty(0, np.int64))
+        parts: list[np.ndarray] = []
         size = 0
         for batch in batches:
             texts = encoded(batch.column(0))
             for first, last in in_chunks(texts):
-                held.append(words(texts[first:last])[0])
-                size += len(held[-1])
+                parts.append(words(texts[first:last])[0])
+                size += len(parts[-1])
                 if size > _FLUSH_WORDS:
-                    yield _batches(["word", "n"], *_counted(held))
-                    held, size = [], 0
+                    held, parts, size = _added(held, _counted(parts)), [], 0
+                    if len(held[0]) > _FLUSH_WORDS:
+                        yield _batches(["word", "n"], *held)
+                        held = (held[0][:0], held[1][:0])
         if size:
-            yield _batches(["word", "n"], *_counted(held))
+            held = _added(held, _counted(parts))
+        if len(held[0]):
+            yield _batches(["word", "n"], *held)
 
     found = docs.filter("not held_out").select("text").mapInArrow(count, "word long, n long")
     return found.groupBy("word").agg(F.sum("n").alias("n"))
@@ -50,6 +55,17 @@ def _counted(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return word.view(np.int64), n.astype(np.int64)
 
 
+def _added(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The counts of both, each word once."""
+    if not len(a[0]):
+        return b
+    word, of = np.unique(np.concatenate((a[0], b[0])), return_inverse=True)
+    n = np.zeros(len(word), np.int64)
+    for (w, m), at in zip((a, b), np.split(of, [len(a[0])])):
+        n[at] += m  # words of one side are distinct
+    return word, n
+
+
 def base_scores(docs: DataFrame, counts: DataFrame) -> DataFrame:
     """``row, n_tokens, n_known, train_tokens, base_score``, one row per distinct row.
 
@@ -80,10 +96,12 @@ def base_scores(docs: DataFrame, counts: DataFrame) -> DataFrame:
                 word, bounds = words(texts[first:last])
                 word = word.view(np.int64)
                 owner = np.repeat(np.arange(last - first), np.diff(bounds))
-                at = np.minimum(np.searchsorted(known, word), max(0, len(known) - 1))
-                hit = known[at] == word if len(known) else np.zeros(len(word), dtype=bool)
+                distinct, of = np.unique(word, return_inverse=True)  # sorted words are looked up much faster
+                at = np.minimum(np.searchsorted(known, distinct), max(0, len(known) - 1))
+                found = known[at] == distinct if len(known) else np.zeros(len(distinct), dtype=bool)
+                hit = found[of]
                 size = last - first
-                sums = np.bincount(owner[hit], logs[at[hit]] if len(known) else None, size) if hit.any() else np.zeros(size)
+                sums = np.bincount(owner[hit], logs[at][of[hit]] if len(known) else None, size) if hit.any() else np.zeros(size)
                 some = np.bincount(owner[hit], minlength=size)
                 yield _batches(names, rows[first:last], pa.nulls(size, pa.int64()), np.diff(bounds) + 1, some, sums)
                 rest = int((~hit).sum())

@@ -594,3 +594,16 @@ def test_phrases_tell_of_passages_under_the_length(spark):
     short = [got[i] for i in range(24) if i not in (3,)]
     assert all(r["n_removed"] == 0 for r in short) and sum(r["n_repeated_phrases"] > 0 for r in short) >= 20
     assert all(got[100 + i]["n_repeated_phrases"] == 0 for i in range(20) if i != 6) and got[200]["n_repeated_phrases"] > 0
+
+
+def test_counts_of_words_are_added_up():
+    from panelwatch.llm.lm_scoring import _added, _counted
+
+    rng = np.random.default_rng(12)
+    parts = [rng.integers(0, 1 << 63, 40).astype(np.uint64)[rng.integers(0, 40, n)] for n in (300, 1, 500)] + [np.arange(9, dtype=np.uint64)]
+    parts.append(parts[0][:100])
+    held = (np.empty(0, np.int64), np.empty(0, np.int64))
+    for p in parts:
+        held = _added(held, _counted([p]))
+    assert dict(zip(*map(np.ndarray.tolist, held))) == Counter(np.concatenate(parts).view(np.int64).tolist())
+    assert len(set(held[0].tolist())) == len(held[0])
