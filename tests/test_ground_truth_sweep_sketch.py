@@ -7,10 +7,15 @@ from pyspark.sql import functions as F
 
 from panelwatch import Detector
 from panelwatch.config import PanelSpec
+from panelwatch.operators import detector as detectors
+from panelwatch.operators import ground_truth
 from panelwatch.operators.ground_truth import fold_of, hybrid_truth, ml_truth
 from panelwatch.operators.peers import peer_features, period_statistics
+from panelwatch.operators.rules import apply_rules
 from panelwatch.operators.sweep import sweep
 from panelwatch.plans.quantiles import sketch_size
+from panelwatch.session import staged
+from workloads import evaluation
 from workloads.evaluation import ground_truth_forest
 
 PANEL = PanelSpec("g", ("x",), None, ("id",), label="y")
@@ -65,6 +70,35 @@ def test_forest_truth_keeps_every_supplier_month(spark, tmp_path):
     assert (found["hybrid"] == (found["statistical"] | found["ml"])).all() and 0 < found["ml"].sum() < len(found) / 2
 
 
+def test_truth_of_models_keeps_one_copy_of_the_features(spark, points, monkeypatch):
+    kept = []
+    for module in (ground_truth, detectors):
+        monkeypatch.setattr(module, "staged", lambda df: kept.append(df.columns) or staged(df))
+    found = ml_truth(points, PANEL, Detector(options={"n_trees": 5}), folds=3, feature_columns=["x", "z"])
+    assert found.count() == 300
+    assert [c for c in kept if "z" in c] == [[*points.columns, "__fold"]] and kept[1:] == [["g", "score"]] * 3
+
+
+def test_forest_truth_reads_the_lines_once(spark, tmp_path, monkeypatch):
+    lines = spark.createDataFrame([(s, float(s + m), 10.0 * m, f"2020-{m:02}-10") for s in range(3) for m in range(1, 13)], "l_suppkey long, l_quantity double, l_extendedprice double, day string")
+    lines.withColumn("l_shipdate", F.col("day").cast("timestamp_ntz")).drop("day").write.parquet(f"{tmp_path}/lineitem.parquet")
+    read = []
+    monkeypatch.setattr(evaluation, "ml_truth", lambda df, *a, **k: read.extend(df.inputFiles()) or df.withColumn("truth", F.lit(False)))
+    found = ground_truth_forest(spark, str(tmp_path))
+    assert found.count() == 36 and not any("lineitem" in f for f in [*read, *found.inputFiles()])
+
+
+def test_rows_are_not_shuffled_for_statistics_of_few_periods(spark):
+    rows = spark.createDataFrame([(i, i % 5, i // 5, float(i % 7)) for i in range(60)], "id long, k long, t long, v double")
+    spec = PanelSpec("k", ("v",), "t", ("id",))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for joined in (peer_features(rows, spec), apply_rules(rows, spec, periods=12)):
+            assert "BroadcastHashJoin" in joined._jdf.queryExecution().executedPlan().toString() and joined.count() == 60
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_a_sweep_fits_an_algorithm_once(spark, points, monkeypatch):
     fits = []
     fit_score = Detector.fit_score
