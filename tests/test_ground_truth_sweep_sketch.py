@@ -93,7 +93,7 @@ def test_rows_are_not_shuffled_for_statistics_of_few_periods(spark):
     spec = PanelSpec("k", ("v",), "t", ("id",))
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        for joined in (peer_features(rows, spec), apply_rules(rows, spec, periods=12)):
+        for joined in (peer_features(rows, spec, send_few=True), apply_rules(rows, spec, periods=12)):
             assert "BroadcastHashJoin" in joined._jdf.queryExecution().executedPlan().toString() and joined.count() == 60
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
